@@ -213,6 +213,160 @@ FROM h GROUP BY SONo, SOCustID, SOLineNo, SOLinePromisedDate
 """
 
 
+# ---------------------------------------------------------------- inventory
+BODIES["kpi_I2a_wip"] = f"""
+SELECT label, value FROM (
+  SELECT concat(WONo, ' | ', WOQtyOS, ' | ', COALESCE(WOPartNo, '')) AS label,
+         {age('WOSchedStartDate')} AS value, WOSchedStartDate
+  FROM worksOrder
+  WHERE WOQtyOS > 0 AND {ci('WOStatusDescription')} = 'wip'
+    AND NOT (rtrim(WOPartNo) ILIKE '%-REPAIR') AND NOT (rtrim(WOPartNo) ILIKE '%-RETURN')
+  ORDER BY WOSchedStartDate ASC NULLS FIRST, label ASC NULLS FIRST, value ASC NULLS FIRST
+  LIMIT 10)
+"""
+
+BODIES["kpi_I2b_wip"] = f"""
+SELECT WOPartNo AS label, {due('WOSchedStartDate')} AS value
+FROM worksOrder WHERE {ci('WOStatusDescription')} = 'on hold'
+"""
+
+BODIES["kpi_I6_location"] = f"""
+SELECT left(concat(WONo, ' | ', COALESCE(WOJobType, ''), ' | ', COALESCE(WOPartNo, '')), 80) AS label,
+       {age('WOSchedStartDate')} AS value
+FROM worksOrder
+WHERE WOSchedStartDate IS NOT NULL AND {age('WOSchedStartDate')} > 0
+  AND (WOJobType IS NULL OR (NOT (rtrim(WOJobType) ILIKE 'PR%')
+       AND {ci('WOJobType')} NOT IN ('smt', 'test', 'qa', 'concoat', 'sub contractor', 'engineering wip',
+                                     'kitting on hold', 'material sales', 'sub con - to be sent',
+                                     'pending customer')))
+  AND {ci('WOStatusDescription')} NOT IN ('completed', 'total qty received', 'on hold')
+  AND NOT (rtrim(WOPartNo) ILIKE '%FAI REPORT')
+  AND {ci('WOPartNo')} <> 'smt attrition' AND {ci('WOPartNo')} <> 'additional charge'
+  AND {ci('WOPartNo')} <> 'excess material' AND NOT (rtrim(WOPartNo) ILIKE '%FAIR%')
+  AND {ci('WOPartNo')} <> 'consumable issues' AND NOT (rtrim(WOPartNo) ILIKE '%WRITE-OFF')
+  AND NOT (rtrim(WOPartNo) ILIKE '%-RETURN') AND NOT (rtrim(WOPartNo) ILIKE '%-REPAIR')
+ORDER BY value DESC NULLS LAST, label ASC NULLS FIRST LIMIT 20
+"""
+
+BODIES["kpi_I10_material"] = f"""
+SELECT concat(w.WONo, '|', w.WOPartNo) AS label, {due('w.WOSchedStartDate')} AS value
+FROM worksOrder w LEFT JOIN AllItems i ON w.WOPartNo = i.PartNo
+WHERE {ci('w.WOPartNo')} <> 'procedures' AND w.WOEarliestStartDate = DATE '2012-12-12'
+  AND {ci('w.WOStatusDescription')} <> 'completed'
+"""
+
+BODIES["kpi_I8"] = f"""
+SELECT concat(GRNNo, ' (X', GRNQtyLeft, ') ', GRNPartNo) AS label, {age('GRNDateReceived')} AS value,
+       CAST(5 AS BIGINT) AS target
+FROM AllLiveGRN WHERE {ci('GRNLocation')} = 'grey market inspection'
+"""
+
+BODIES["kpi_I4"] = f"""
+SELECT left(concat(g.GRNNo, ' <', g.GRNPartNo, '> ', i.PartDescription), 25) AS label,
+       {age('g.GRNDateReceived')} AS value, CAST(5 AS BIGINT) AS target
+FROM AllLiveGRN g
+LEFT JOIN AllItems i ON g.GRNPartNo = i.PartNo
+LEFT JOIN AllWOPartDemand d ON g.GRNPartNo = d.PartNo
+WHERE g.GRNRequiresRelease = 1 AND NOT (rtrim(g.GRNLocation) ILIKE 'MRB%')
+  AND {ci('g.GRNLocation')} <> 'grey market inspection'
+GROUP BY g.GRNNo, g.GRNPartNo, i.PartDescription, g.GRNDateReceived, d.PartNo
+"""
+
+_I7_RED = "TRY_CAST(s.LOST_STOCK_RED AS DECIMAL(18,2))"
+_I7_AMBER = "TRY_CAST(s.LOST_STOCK_AMBER AS DECIMAL(18,2))"
+_I7_GREEN = "TRY_CAST(s.LOST_STOCK_GREEN AS DECIMAL(18,2))"
+BODIES["kpi_I7"] = f"""
+SELECT concat(s.GRNNo, '(X', g.GRNQtyLeft, ' <> £',
+              ROUND(TRY_CAST(g.GRNQtyLeft AS DECIMAL(18,2)) * TRY_CAST(g.GRNUnitCost AS DECIMAL(18,2)), 0),
+              ') ', g.GRNPartNo) AS label,
+       CAST(CASE WHEN {_I7_RED} <> 0 THEN {_I7_RED} WHEN {_I7_AMBER} <> 0 THEN {_I7_AMBER}
+                 WHEN {_I7_GREEN} <> 0 THEN {_I7_GREEN} ELSE 0 END AS DOUBLE) AS value,
+       CASE WHEN {_I7_RED} <> 0 THEN 'lost-stock-red' WHEN {_I7_AMBER} <> 0 THEN 'lost-stock-amber'
+            WHEN {_I7_GREEN} <> 0 THEN 'lost-stock-green' ELSE 'lost-stock-unknown' END AS class_name,
+       CAST(30 AS BIGINT) AS target
+FROM AllLostStock s
+LEFT JOIN AllLiveGRN g ON s.GRNNo = g.GRNNo AND s.GRNLineNo = g.GRNLineNo
+LEFT JOIN AllGRN_Transfer tr ON s.GRNNo = tr.TransferGRNNo AND s.GRNLineNo = tr.TranferGRNLineNo
+GROUP BY s.GRNNo, g.GRNQtyLeft, g.GRNUnitCost, g.GRNPartNo, s.LOST_STOCK_AMBER, s.LOST_STOCK_GREEN,
+         s.LOST_STOCK_RED, s.MaxOfTransferDate
+"""
+
+BODIES["kpi_I9"] = f"""
+WITH r AS (
+  SELECT rec.GRNWO, w.WOQty, MAX(rec.GRNDateReceived) AS LastReceipt
+  FROM AllWORec rec LEFT JOIN worksOrder w ON rec.GRNWO = w.WONo
+  GROUP BY rec.GRNWO, w.WOQty)
+SELECT concat(w.WONo, ' # ', w.WOPartNo) AS label, {age('r.LastReceipt')} AS value
+FROM worksOrder w
+LEFT JOIN AllItems i ON w.WOPartNo = i.PartNo
+JOIN r ON w.WONo = r.GRNWO
+WHERE w.WOQtyOS = 0 AND {ci('w.WOStatusDescription')} <> 'completed' AND {ci('w.WOPartNo')} <> 'procedures'
+"""
+
+BODIES["kpi_I11"] = f"""
+SELECT concat(w.WONo, ' <', w.WOSalesOrder, '/', w.WOLineNo, '> ', w.WOPartNo) AS label,
+       date_diff('day', s.SOLinePromisedDate, w.WOSchedFinishDate) AS value
+FROM worksOrder w
+LEFT JOIN AllItems i ON w.WOPartNo = i.PartNo
+JOIN AllSO s ON w.WOLineNo = s.SOLineNo AND w.WOSalesOrder = s.SONo
+WHERE date_diff('day', s.SOLinePromisedDate, w.WOSchedFinishDate) > 0
+  AND (floor(s.SOLineQty) - floor(s.SOLineShipQty)) > 0
+  AND {ci('w.WOStatusDescription')} <> 'completed'
+"""
+
+_I12 = f"""
+  SELECT g.GRNNo, g.GRNPartNo, i.PartDescription, g.GRNQtyLeft, i.PartLeadTime,
+         {due('g.GRNExpiryDate')} AS DaysTillExpiry, g.GRNExpiryDate, i.PartGroupCode, g.GRNLocation,
+         i.DemandSO + i.DemandWO AS Demand, i.PartStockActive
+  FROM AllLiveGRN g JOIN AllItems i ON g.GRNPartNo = i.PartNo
+  GROUP BY g.GRNNo, g.GRNPartNo, i.PartDescription, g.GRNQtyLeft, i.PartLeadTime, {due('g.GRNExpiryDate')},
+           g.GRNExpiryDate, i.PartGroupCode, g.GRNLocation, i.DemandSO + i.DemandWO, i.PartStockActive,
+           g.GRNExpiryDate - CAST(i.PartLeadTime AS INTEGER) - 7
+  HAVING {due('g.GRNExpiryDate')} < 60 AND NOT (rtrim(g.GRNLocation) ILIKE '%QUARANTINE%')
+"""
+
+BODIES["kpi_I12"] = f"""
+WITH e AS ({_I12})
+SELECT concat(GRNNo, ' <', GRNPartNo, '>') AS label, DaysTillExpiry AS value FROM e
+"""
+
+BODIES["kpi_I13"] = f"""
+WITH p AS (
+  SELECT b.WONo, b.WOPartNo, COUNT(b.WOBOMChildPartNo) AS QtyItemsPartialKit
+  FROM worksOrderBOM b JOIN AllItems i ON b.WOBOMChildPartNo = i.PartNo
+  WHERE b.WOBOMTotalRequired > 0 AND b.WOQtyIssuedToDate < b.WOBOMTotalRequired AND b.WOQtyIssuedToDate >= 0
+    AND NOT (rtrim(i.PartGroupCode) ILIKE 'CONSUMABLE%')
+  GROUP BY b.WONo, b.WOPartNo)
+SELECT CAST(p.WONo AS VARCHAR) AS label, p.QtyItemsPartialKit AS value
+FROM p JOIN worksOrder w ON p.WONo = w.WONo
+WHERE {ci('w.WOStatusDescription')} = 'completed' AND p.QtyItemsPartialKit > 0
+"""
+
+BODIES["kpi_I14"] = f"""
+WITH lots AS (
+  SELECT GRNPartNo, GRNNo, SUM(TRY_CAST(GRNQtyLeft AS DECIMAL(18,4))) AS SumQty,
+         MAX(TRY_CAST(GRNUnitCost AS DECIMAL(18,4))) AS MaxCost
+  FROM AllLiveGRN WHERE GRNPartNo IS NOT NULL GROUP BY GRNPartNo, GRNNo),
+stock AS (
+  SELECT b.WOBOMChildPartNo, i.PartDescription, COUNT(b.WONo) AS CountOfWONo, l.SumQty,
+         ROUND(l.SumQty * l.MaxCost, 0) AS Approx
+  FROM worksOrderBOM b
+  JOIN AllItems i ON b.WOBOMChildPartNo = i.PartNo
+  JOIN worksOrder w ON b.WONo = w.WONo
+  JOIN lots l ON b.WOBOMChildPartNo = l.GRNPartNo
+  WHERE {ci('w.WOStatusDescription')} <> 'completed' AND i.PartMainlyPurchased = 1
+    AND (w.WOQty - w.WOQtyOS) = 0 AND NOT (rtrim(i.PartGroupCode) ILIKE 'CONSUMABLE%')
+    AND l.SumQty > 0 AND b.WOBOMQty = 0 AND {ci('b.WOBOMChildPartNo')} <> 'dnf'
+    AND ROUND(l.SumQty * l.MaxCost, 0) > 20
+  GROUP BY b.WOBOMChildPartNo, i.PartDescription, i.PartDefLocation, i.PartGroupCode, l.GRNNo, l.SumQty,
+           l.MaxCost, b.WOBOMQty),
+per AS (
+  SELECT WOBOMChildPartNo, SUM(Approx) AS SumApprox FROM stock
+  GROUP BY WOBOMChildPartNo, PartDescription, CountOfWONo)
+SELECT WOBOMChildPartNo AS label, CAST(SumApprox AS DOUBLE) AS value FROM per
+ORDER BY value DESC NULLS LAST, label ASC NULLS FIRST LIMIT 20
+"""
+
 # ---------------------------------------------------------------- assembly
 _REL_NAMES = [r.name for r in RELATIONS]
 
