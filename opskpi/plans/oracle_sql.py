@@ -367,6 +367,240 @@ SELECT WOBOMChildPartNo AS label, CAST(SumApprox AS DOUBLE) AS value FROM per
 ORDER BY value DESC NULLS LAST, label ASC NULLS FIRST LIMIT 20
 """
 
+# ---------------------------------------------------------------- quality
+def _q1(pattern: str) -> str:
+    return f"""
+WITH base AS (
+  SELECT RIGHT(s.SOLinePartNo, 6) AS Type, s.SOLinePartNo, i.PartDefCust AS Customer, w.WONo,
+         w.WOJobType AS Location, s.SONo, s.SOLineNo, s.SOLineQty - s.SOLineShipQty AS SOOSQty,
+         {age('s.SODate')} AS SOOpenDays, {due('s.SOLinePromisedDate')} AS SODueDays
+  FROM AllSO s
+  LEFT JOIN worksOrder w ON s.SOLineNo = w.WOLineNo AND s.SOLinePartNo = w.WOPartNo AND s.SONo = w.WOSalesOrder
+  LEFT JOIN AllItems i ON i.PartNo = s.SOLinePartNo
+  WHERE (rtrim(s.SOLinePartNo) ILIKE '%-RETURN' OR rtrim(s.SOLinePartNo) ILIKE '%-REPAIR')
+    AND s.SOLineStatus <> 50 AND s.SOLineShipQty < s.SOLineQty
+    AND ({ci('s.SODescription')} <> 'on hold' OR s.SODescription IS NULL))
+SELECT concat(SONo, '/', SOLineNo, ' : (WO-', COALESCE(CAST(WONo AS VARCHAR), ''), ') ', trim(SOLinePartNo),
+              CASE WHEN NULLIF(trim(Customer), '') IS NOT NULL THEN concat(' - ', trim(Customer)) ELSE '' END,
+              ' : ', SOOSQty) AS label,
+       SOOpenDays AS value, SODueDays AS secondary_value
+FROM base
+WHERE ({ci('Location')} <> 'pending customer' OR Location IS NULL) AND rtrim(SOLinePartNo) ILIKE '{pattern}'
+"""
+
+
+BODIES["kpi_Q1"] = _q1("%")
+BODIES["kpi_Q1_RETURN"] = _q1("%-RETURN%")
+BODIES["kpi_Q1_REPAIR"] = _q1("%-REPAIR%")
+
+
+def _q2(pattern: str) -> str:
+    return f"""
+SELECT concat(g.GRNNo, ' <', g.GRNLocation, '> ', g.GRNPartNo) AS label,
+       {age('MAX(tr.TransferDate)')} AS value, CAST(0 AS BIGINT) AS target_start, CAST(7 AS BIGINT) AS target
+FROM AllLiveGRN g
+LEFT JOIN AllGRN_Transfer tr ON g.GRNNo = tr.TransferGRNNo AND g.GRNLineNo = tr.TranferGRNLineNo
+WHERE rtrim(g.GRNLocation) ILIKE '{pattern}'
+GROUP BY g.GRNNo, g.GRNLocation, g.GRNPartNo
+"""
+
+
+BODIES["kpi_Q2_grn"] = _q2("MR%")
+BODIES["kpi_Q2_grn_REWORK"] = _q2("%REWORK%")
+
+BODIES["kpi_Q3_customer"] = f"""
+SELECT concat(WONo, ' (', WOPartNo, ')') AS label, {age('WOSchedFinishDate')} AS value
+FROM worksOrder WHERE WOQtyOS > 0 AND {ci('WOJobType')} = 'pending customer'
+"""
+
+BODIES["kpi_Q6"] = f"""
+SELECT concat(n.NonCNo, ' # ', n.NonCPartNo, ' ~ ', e.Name) AS label, {age('n.NonCDate')} AS value,
+       CAST(0 AS BIGINT) AS target_start, CAST(30 AS BIGINT) AS target
+FROM AllOpenNCR n
+LEFT JOIN AllOpenNCRActions a ON n.NonCNo = a.NCR
+LEFT JOIN employees e ON a.Who = e.BadgeNo
+WHERE rtrim(a.Type) ILIKE 'C%' OR rtrim(a.Type) ILIKE 'P%'
+ORDER BY value DESC NULLS LAST, label ASC NULLS FIRST, target_start ASC, target ASC LIMIT 20
+"""
+
+
+def _q7(pattern: str) -> str:
+    return f"""
+SELECT concat(a.Type, ' ', a.NCR, ' # ', e.Name) AS label, {due('a.Target')} AS value
+FROM AllOpenNCRActions a JOIN employees e ON a.Who = e.BadgeNo
+WHERE {due('a.Target')} <= 7 AND rtrim(a.Type) ILIKE '{pattern}'
+"""
+
+
+BODIES["kpi_Q7"] = _q7("%")
+BODIES["kpi_Q7_Corrective"] = _q7("%Corrective%")
+BODIES["kpi_Q7_prevent"] = _q7("%prevent%")
+
+_OUT_OF_SERVICE = ("('quarantine', 'awaiting repair / calibration', 'sent for calibration', "
+                   "'returned to supplier', 'archive', 'returned to customer')")
+
+
+def _q8(group_cond: str) -> str:
+    return f"""
+SELECT concat(c.ToolCompanySerialNo, ' (', c.ToolNo, ') ', ' # ', e.Name, ' # ', c.ToolLocation) AS label,
+       {due('c.ToolNextCalibration')} AS value
+FROM AllCalibration c LEFT JOIN employees e ON c.ToolResponsible = e.BadgeNo
+WHERE ({due('c.ToolNextCalibration')} <= 7 AND {ci('c.ToolLocation')} NOT IN {_OUT_OF_SERVICE}
+       AND {ci('c.CalibrationStatusDesc')} <> 'closed' AND c.ToolRequiresCalibration = 1 AND {group_cond})
+   OR ({due('c.ToolNextCalibration')} <= 7 AND c.ToolLocation IS NULL
+       AND {ci('c.CalibrationStatusDesc')} <> 'closed' AND c.ToolRequiresCalibration = 1 AND {group_cond})
+"""
+
+
+BODIES["kpi_Q8"] = _q8(f"{ci('c.GroupName')} = 'calibrated'")
+BODIES["kpi_Q8b"] = _q8("c.GroupName IS NULL")
+
+BODIES["kpi_Q9"] = f"""
+SELECT concat(g.GRNNo, '/', g.GRNLineNo, ' (X', g.GRNQtyLeft, ') ', g.GRNPartNo) AS label,
+       {age('MAX(tr.TransferDate)')} AS value
+FROM AllLiveGRN g
+LEFT JOIN AllGRN_Transfer tr ON g.GRNLineNo = tr.TranferGRNLineNo AND g.GRNNo = tr.TransferGRNNo
+WHERE {ci('g.GRNLocation')} = 'quarantine' AND {ci('tr.TransferLocation')} = 'quarantine'
+GROUP BY g.GRNNo, g.GRNLineNo, g.GRNQtyLeft, g.GRNPartNo
+"""
+
+# ---------------------------------------------------------------- safety
+BODIES["kpi_S1"] = f"""
+SELECT concat(' ', strftime("Date", '%y/%m'), ' ') AS label, COUNT(Accident_Description) AS value
+FROM Accident WHERE "Date" > {TS} - INTERVAL 365 DAY
+GROUP BY strftime("Date", '%y/%m')
+"""
+
+BODIES["kpi_S1_days_since_accident"] = f"""
+SELECT 'Days Since Last Accident' AS label, {age('MAX("Date")')} AS value FROM Accident
+"""
+
+# ---------------------------------------------------------------- productivity
+_NOT_READY = "('to be reviewed', 'in dev', 'engineering hold', 'npi', 'caution', 'dormant')"
+
+
+def _print_queue(status_cond: str, part_cond: str) -> str:
+    return f"""
+SELECT left(concat(w.WONo, ' (', w.WOSchedStartDate, ') : ', w.WOPartNo), 40) AS label,
+       {due('w.WOSchedStartDate')} AS value, CAST(7 AS BIGINT) AS target, CAST(0 AS BIGINT) AS target_start
+FROM worksOrder w JOIN AllItems i ON w.WOPartNo = i.PartNo LEFT JOIN PV601 p ON w.WONo = p.WorksOrder
+GROUP BY w.WOSchedStartDate, i.StatusDescription, w.WOQtyOS, w.WOStatusDescription, p.PrintedBy, w.WOPartNo,
+         w.WOEarliestStartDate, w.WONo
+HAVING w.WOSchedStartDate >= {TS} - INTERVAL 360 DAY AND w.WOSchedStartDate <= {TS} + INTERVAL 28 DAY
+   AND {status_cond} AND w.WOQtyOS > 0 AND {ci('w.WOStatusDescription')} IN ('wip', 'created')
+   AND p.PrintedBy IS NULL AND {part_cond} AND w.WOEarliestStartDate <> DATE '2012-12-12'
+"""
+
+
+def _not_like_all(col: str, pats: list[str]) -> str:
+    return " AND ".join(f"NOT (rtrim({col}) ILIKE '{p}')" for p in pats)
+
+
+BODIES["kpi_P1"] = _print_queue(
+    f"{ci('i.StatusDescription')} IN {_NOT_READY}",
+    _not_like_all("w.WOPartNo", ["SMT ATTRITION", "%REPAIR", "%RETURN"]))
+BODIES["kpi_P2"] = _print_queue(
+    f"{ci('i.StatusDescription')} NOT IN {_NOT_READY}",
+    _not_like_all("w.WOPartNo", ["%FAI%", "CONSUMABLE ISSUES", "MONTHLY-LOST-STOCK-WRITE-OFF",
+                                 "PHOENIX-DELTA-FAIR-SUB", "%DELTA FAIR%", "%PHOENIX FAIR%", "SMT ATTRITION",
+                                 "%RETURN", "%REPAIR"]))
+
+BODIES["kpi_P3a"] = f"""
+SELECT AssignedName AS label, COUNT(concat(ContractReviewNo, ' ', ContRevDetailTaskNo)) AS value
+FROM AllCR WHERE {ci('CRStatusDescription')} = 'open' AND ContRevDetailTargetDate < {TS}
+GROUP BY AssignedName
+"""
+
+BODIES["kpi_P3b"] = f"""
+SELECT left(concat(ContractReviewNo, '/', ContRevDetailTaskNo, ' - ', AssignedName, ' # ', ContRevDetailTask), 50)
+         AS label, {due('ContRevDetailTargetDate')} AS value
+FROM AllCR
+GROUP BY ContractReviewNo, ContRevDetailTaskNo, AssignedName, ContRevDetailTask, ContRevDetailTargetDate,
+         CRStatusDescription, ContractReviewDate
+HAVING (rtrim(ContRevDetailTask) ILIKE '%LONG LEAD%' OR rtrim(ContRevDetailTask) ILIKE '%BOM%'
+        OR rtrim(ContRevDetailTask) ILIKE '%WORK ORDER%') AND {ci('CRStatusDescription')} = 'open'
+"""
+
+BODIES["kpi_P4"] = f"""
+SELECT label, value, target_start, target FROM (
+  SELECT concat(RFC, ' (', Actionee, ') - ', Document) AS label, {age('DateRaised')} AS value,
+         CAST(0 AS BIGINT) AS target_start, CAST(90 AS BIGINT) AS target
+  FROM PV547_RFC
+  GROUP BY RFC, Actionee, Document, DateRaised, Status, Customer
+  HAVING {age('DateRaised')} >= 45 AND ({ci('Status')} = 'open' OR Status IS NULL) AND Customer IS NOT NULL)
+ORDER BY value DESC NULLS LAST, label ASC NULLS FIRST LIMIT 20
+"""
+
+BODIES["kpi_P5"] = f"""
+SELECT DISTINCT concat(q.EnquiryNo, ' ', q.EnqCustID, ' (S-)', f.Name) AS label, {due('q.EnqDecisionDate')} AS value
+FROM AllEnq q
+LEFT JOIN employees es ON q.EnqEstimator = es.BadgeNo
+LEFT JOIN employees f ON q.EnqFollowUpBy = f.BadgeNo
+LEFT JOIN employees sr ON q.EnqSalesRep = sr.BadgeNo
+WHERE {due('q.EnqDecisionDate')} <= 7 AND q.EnqDecisionDate >= DATE '1996-01-01'
+  AND {ci('q.EnqStatus')} = '#submitted'
+"""
+
+BODIES["kpi_P6"] = f"""
+SELECT label, value, target_start, target FROM (
+  SELECT DISTINCT concat(po.PONum, ' / ', e.Name, ' / ', left(po.POSuppAddressName, 15)) AS label,
+         {age('po.POSentDate')} AS value, CAST(0 AS BIGINT) AS target_start, CAST(7 AS BIGINT) AS target
+  FROM AllLivePO po JOIN employees e ON po.POBuyer = e.BadgeNo
+  WHERE po.PODetDatePromised NOT IN {dates('2081-01-04', '2081-12-25')} AND po.POSubmitted = 1
+    AND po.POConfirmation = 0 AND po.POSentDate IS NOT NULL)
+ORDER BY value DESC NULLS LAST, label ASC NULLS FIRST LIMIT 20
+"""
+
+BODIES["kpi_P9"] = f"""
+WITH o AS (SELECT DISTINCT Log, Buyer, Progress_Part, Date_Added, LTB_DATE FROM PV718_ObLog WHERE Complete IS NULL)
+SELECT label, value, target_start, target FROM (
+  SELECT concat(Log, ' / ', Buyer, ' / ', left(Progress_Part, 15)) AS label, {age('Date_Added')} AS value,
+         CAST(0 AS BIGINT) AS target_start, {due('LTB_DATE')} AS target
+  FROM o)
+ORDER BY value DESC NULLS LAST, label ASC NULLS FIRST, target_start ASC NULLS FIRST, target ASC NULLS FIRST
+LIMIT 25
+"""
+
+BODIES["kpi_P10"] = f"""
+SELECT concat(CPP, ' ', Customer, ' (', COALESCE(Status, ''), ')') AS label, {age('DateRaised')} AS value,
+       {due('RequiredDate')} AS secondary_value,
+       CASE WHEN upper(COALESCE(Status, '')) LIKE '%PENDING%' THEN 'p10-pending' ELSE 'p10-days-open' END
+         AS class_name
+FROM CPP_Log
+WHERE DateRaised IS NOT NULL AND (Status IS NULL OR (
+      NOT (rtrim(Status) ILIKE '%APPROVED%') AND NOT (rtrim(Status) ILIKE '%REJECTED%')
+  AND NOT (rtrim(Status) ILIKE '%CANCELLED%') AND NOT (rtrim(Status) ILIKE '%NOT REQ%')
+  AND NOT (rtrim(Status) ILIKE '%EXPIRED%')))
+"""
+
+BODIES["kpi_P11"] = f"""
+WITH d AS (
+  SELECT concat(DocNo, ' ', Type, ' ', PartNo, ' (', Who, ')') AS label, {age('DateCreated')} AS value
+  FROM PV760_DFM WHERE DateCreated IS NOT NULL AND DateComplete IS NULL
+  GROUP BY DocNo, Type, PartNo, Who, DateCreated, Customer, DateComplete)
+SELECT label, value FROM d WHERE value > 30
+"""
+
+
+def _p12(pattern: str) -> str:
+    return f"""
+SELECT concat(t.Training_Course, ' (', t.Name, ')') AS label, {age('t.Course_Date')} AS value
+FROM AllTraining t JOIN employees e ON t.BadgeNo_IDFK = e.BadgeNo
+WHERE rtrim(t.Areas_of_Experience) ILIKE '{pattern}' AND t.Result = 1 AND e.EmployeeStatusID <> 15
+  AND {age('t.Course_Date')} > 180
+GROUP BY t.Training_Course, t.Name, t.Course_Date, t.Areas_of_Experience, t.Result, e.EmployeeStatusID
+"""
+
+
+BODIES["kpi_P12"] = _p12("%")
+BODIES["kpi_P12_AUTOMOBILE"] = _p12("AUTOMOBILE")
+
+BODIES["kpi_p13_coshh"] = f"""
+SELECT CAST(PartNo AS VARCHAR) AS label, {age('TRY_CAST(coshh_DATE AS DATE)')} - 700 AS value
+FROM AllItems
+WHERE TRY_CAST(coshh_DATE AS DATE) < {D0} - INTERVAL 700 DAY AND {ci('StatusDescription')} <> 'obsolete'
+"""
+
 # ---------------------------------------------------------------- assembly
 _REL_NAMES = [r.name for r in RELATIONS]
 

@@ -1 +1,194 @@
-"""(filled in below)"""
+"""Productivity page: print queue, contract reviews, enquiries, engineering logs,
+training and CoSHH reviews (P1 ... P13)."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from opskpi.functions import dates as S
+from opskpi.functions import params as P
+from opskpi.functions.clock import AsOf
+from opskpi.functions.text import (any_like, label, left, none_like, text_eq, text_in, text_like,
+                                   text_not_in)
+from opskpi.plans.metric import chart
+from opskpi.sources.tables import Tables
+
+PAGE = "productivity"
+C = F.col
+XY = ("label", "value")
+
+# --- fixed values: item statuses meaning "not ready to build" -------------
+NOT_READY_STATUSES = ("TO BE REVIEWED", "IN DEV", "ENGINEERING HOLD", "NPI", "CAUTION", "DORMANT")
+P1_PART_PATTERNS_EXCLUDED = ("SMT ATTRITION", "%REPAIR", "%RETURN")
+P2_PART_PATTERNS_EXCLUDED = ("%FAI%", "CONSUMABLE ISSUES", "MONTHLY-LOST-STOCK-WRITE-OFF",
+                             "PHOENIX-DELTA-FAIR-SUB", "%DELTA FAIR%", "%PHOENIX FAIR%", "SMT ATTRITION",
+                             "%RETURN", "%REPAIR")
+CR_TASK_PATTERNS = ("%LONG LEAD%", "%BOM%", "%WORK ORDER%")
+CPP_CLOSED_PATTERNS = ("%APPROVED%", "%REJECTED%", "%CANCELLED%", "%NOT REQ%", "%EXPIRED%")
+
+
+def big(n: int):
+    return F.lit(n).cast("bigint")
+
+
+def print_queue(t: Tables, clock: AsOf, ready: bool) -> DataFrame:
+    """WIP/Created WOs starting between 360 days ago and 28 days ahead, with
+    outstanding quantity, not printed yet, not material-only.  ``ready``
+    selects items whose status is outside the not-ready list (NULL status
+    drops out of both lists)."""
+    start = C("WOSchedStartDate")
+    patterns = P2_PART_PATTERNS_EXCLUDED if ready else P1_PART_PATTERNS_EXCLUDED
+    wo = t["worksOrder"].where(
+        clock.date_ge_now(start, -360) & clock.date_le_now(start, 28) & (C("WOQtyOS") > 0)
+        & text_in(C("WOStatusDescription"), ("WIP", "Created"))
+        & S.sentinel_not_in(C("WOEarliestStartDate"), S.MATERIAL_ONLY_START)
+        & none_like(C("WOPartNo"), patterns))
+    status = C("StatusDescription")
+    status_ok = text_not_in(status, NOT_READY_STATUSES) if ready else text_in(status, NOT_READY_STATUSES)
+    items = t["AllItems"].where(status_ok).select("PartNo", "StatusDescription")
+    j = wo.join(items, wo["WOPartNo"] == items["PartNo"], "inner")
+    # "not printed": left join + PrintedBy IS NULL, exactly as a WO with a
+    # NULL-printer row still passes even when another row names a printer
+    pv = t["PV601"].select("WorksOrder", "PrintedBy")
+    j = j.join(pv, j["WONo"] == pv["WorksOrder"], "left").where(C("PrintedBy").isNull())
+    keys = j.select("WOSchedStartDate", "StatusDescription", "WOQtyOS", "WOStatusDescription", "PrintedBy",
+                    "WOPartNo", "WOEarliestStartDate", "WONo").distinct()
+    return keys.select(
+        left(label(C("WONo"), " (", C("WOSchedStartDate"), ") : ", C("WOPartNo")), 40).alias("label"),
+        clock.due(C("WOSchedStartDate")).alias("value"), big(7).alias("target"),
+        big(0).alias("target_start"), C("WOSchedStartDate").alias("_start"))
+
+
+@chart("P1", "TBR / IN-DEV / ENG-HOLD / NPI / CAUTION / DORMANT WO's", XY + ("target", "target_start"),
+       (("value", "asc"),), PAGE, x_label="Days Until Start Date", formatter="integer",
+       note="label cut to 40 (source appends '40'); '*REPAIR'/'*RETURN' read as '%REPAIR'/'%RETURN'")
+def p1(t: Tables, clock: AsOf) -> DataFrame:
+    return print_queue(t, clock, ready=False)
+
+
+@chart("P2", "WO's ready to Print - Due Within 28 Days", XY + ("target", "target_start"),
+       (("_start", "asc"),), PAGE, x_label="Days Until Start Date", formatter="integer")
+def p2(t: Tables, clock: AsOf) -> DataFrame:
+    return print_queue(t, clock, ready=True)
+
+
+@chart("P3a", "Overdue CR Actions", XY, (("value", "desc"),), PAGE, x_label="QTY Overdue Actions",
+       formatter="integer")
+def p3a(t: Tables, clock: AsOf) -> DataFrame:
+    cr = t["AllCR"].where(text_eq(C("CRStatusDescription"), "Open")
+                          & clock.date_lt_now(C("ContRevDetailTargetDate")))
+    g = cr.groupBy("AssignedName").agg(F.count(F.lit(1)).alias("value"))
+    return g.select(C("AssignedName").alias("label"), C("value"))
+
+
+@chart("P3b", "Open 'Long Lead', 'BOM' and 'WO' related CR Actions", XY, (("value", "desc"),), PAGE,
+       x_label="Days Until Due", formatter="integer")
+def p3b(t: Tables, clock: AsOf) -> DataFrame:
+    cr = t["AllCR"].where(any_like(C("ContRevDetailTask"), CR_TASK_PATTERNS)
+                          & text_eq(C("CRStatusDescription"), "open"))
+    keys = cr.select("ContractReviewNo", "ContRevDetailTaskNo", "AssignedName", "ContRevDetailTask",
+                     "ContRevDetailTargetDate", "CRStatusDescription", "ContractReviewDate").distinct()
+    return keys.select(
+        left(label(C("ContractReviewNo"), "/", C("ContRevDetailTaskNo"), " - ", C("AssignedName"), " # ",
+                   C("ContRevDetailTask")), 50).alias("label"),
+        clock.due(C("ContRevDetailTargetDate")).alias("value"))
+
+
+@chart("P4", "RFC's Open > 45 Days", XY + ("target_start", "target"), (("value", "desc"),), PAGE,
+       limit=20, x_label="Days Open", formatter="integer")
+def p4(t: Tables, clock: AsOf) -> DataFrame:
+    rfc = t["PV547_RFC"].where(clock.age_ge(C("DateRaised"), 45)
+                               & (text_eq(C("Status"), "open") | C("Status").isNull())
+                               & C("Customer").isNotNull())
+    keys = rfc.select("RFC", "Actionee", "Document", "DateRaised", "Status", "Customer").distinct()
+    return keys.select(label(C("RFC"), " (", C("Actionee"), ") - ", C("Document")).alias("label"),
+                       clock.age(C("DateRaised")).alias("value"), big(0).alias("target_start"),
+                       big(90).alias("target"))
+
+
+@chart("P5", "Enquiry Status - Submitted", XY, (("value", "asc"),), PAGE,
+       x_label="Days Until Follow-Up Required", formatter="integer",
+       note="estimator and sales-rep joins only repeat rows the DISTINCT removes; not performed")
+def p5(t: Tables, clock: AsOf, enquiry_from: date = S.ENQUIRY_CUTOFF) -> DataFrame:
+    enq = t["AllEnq"].where(clock.due_le(C("EnqDecisionDate"), 7) & (C("EnqDecisionDate") >= F.lit(enquiry_from))
+                            & text_eq(C("EnqStatus"), "#Submitted"))
+    emp = t["employees"].select("BadgeNo", "Name")
+    j = enq.join(emp, enq["EnqFollowUpBy"] == emp["BadgeNo"], "left")
+    return j.select(label(C("EnquiryNo"), " ", C("EnqCustID"), " (S-)", C("Name")).alias("label"),
+                    clock.due(C("EnqDecisionDate")).alias("value")).distinct()
+
+
+@chart("P6", "PO's waiting Confirmation (Top 20)", XY + ("target_start", "target"), (("value", "desc"),),
+       PAGE, limit=20, x_label="Days Since PO Submitted", formatter="integer")
+def p6(t: Tables, clock: AsOf) -> DataFrame:
+    po = t["AllLivePO"].where(S.sentinel_not_in(C("PODetDatePromised"), S.P6_PROMISED_EXCLUDED)
+                              & (C("POSubmitted") == 1) & (C("POConfirmation") == 0)
+                              & C("POSentDate").isNotNull())
+    emp = t["employees"].select("BadgeNo", "Name")
+    j = po.join(emp, po["POBuyer"] == emp["BadgeNo"], "inner")
+    return j.select(label(C("PONum"), " / ", C("Name"), " / ", left(C("POSuppAddressName"), 15)).alias("label"),
+                    clock.age(C("POSentDate")).alias("value"), big(0).alias("target_start"),
+                    big(7).alias("target")).distinct()
+
+
+@chart("P9", "Obsolescence Log Open Items (PV718) Top 25 by Days Open", XY + ("target_start", "target"),
+       (("value", "desc"),), PAGE, limit=25, x_label="Days Open", formatter="integer",
+       meta={"subtitle": "Red target = days until LTB date"})
+def p9(t: Tables, clock: AsOf) -> DataFrame:
+    log = t["PV718_ObLog"].where(C("Complete").isNull())
+    keys = log.select("Log", "Buyer", "Progress_Part", "Date_Added", "LTB_DATE").distinct()
+    return keys.select(label(C("Log"), " / ", C("Buyer"), " / ", left(C("Progress_Part"), 15)).alias("label"),
+                       clock.age(C("Date_Added")).alias("value"), big(0).alias("target_start"),
+                       clock.due(C("LTB_DATE")).alias("target"))
+
+
+@chart("P10", "CPP Open Items", XY + ("secondary_value", "class_name"), (("value", "desc"),), PAGE,
+       x_label="Days", formatter="integer",
+       meta={"secondaryValueFormatter": "integer", "secondaryValueLabel": "Days Till Required",
+             "subtitle": "DaysTillReq | DaysOpen | Pending"})
+def p10(t: Tables, clock: AsOf) -> DataFrame:
+    cpp = t["CPP_Log"].where(C("DateRaised").isNotNull()
+                             & (C("Status").isNull() | none_like(C("Status"), CPP_CLOSED_PATTERNS)))
+    pending = text_like(F.coalesce(C("Status"), F.lit("")), "%PENDING%")
+    return cpp.select(
+        label(C("CPP"), " ", C("Customer"), " (", F.coalesce(C("Status"), F.lit("")), ")").alias("label"),
+        clock.age(C("DateRaised")).alias("value"), clock.due(C("RequiredDate")).alias("secondary_value"),
+        F.when(pending, "p10-pending").otherwise("p10-days-open").alias("class_name"))
+
+
+@chart("P11", "Open DFM (> 30 Days)", XY, (("value", "desc"),), PAGE, x_label="Days Open",
+       formatter="integer")
+def p11(t: Tables, clock: AsOf) -> DataFrame:
+    dfm = t["PV760_DFM"].where(C("DateCreated").isNotNull() & C("DateComplete").isNull()
+                               & clock.age_gt(C("DateCreated"), 30))
+    keys = dfm.select("DocNo", "Type", "PartNo", "Who", "DateCreated", "Customer", "DateComplete").distinct()
+    return keys.select(label(C("DocNo"), " ", C("Type"), " ", C("PartNo"), " (", C("Who"), ")").alias("label"),
+                       clock.age(C("DateCreated")).alias("value"))
+
+
+@chart("P12", "Training Over 180 Days", XY, (("_area", "asc"), ("value", "desc")), PAGE,
+       x_label="Days Since Training", formatter="integer", binder=P.p12_training,
+       meta={"leftLabelWidth": "auto"},
+       note="unfiltered ('%') still excludes NULL areas, as LIKE '%' does")
+def p12(t: Tables, clock: AsOf, area_pattern: str = "%") -> DataFrame:
+    tr = t["AllTraining"].where(text_like(C("Areas_of_Experience"), area_pattern) & (C("Result") == 1)
+                                & clock.age_gt(C("Course_Date"), 180))
+    emp = t["employees"].where(C("EmployeeStatusID") != 15).select("BadgeNo", "EmployeeStatusID")
+    j = tr.join(emp, tr["BadgeNo_IDFK"] == emp["BadgeNo"], "inner")
+    keys = j.select("Training_Course", "Name", "Course_Date", "Areas_of_Experience", "Result",
+                    "EmployeeStatusID").distinct()
+    return keys.select(label(C("Training_Course"), " (", C("Name"), ")").alias("label"),
+                       clock.age(C("Course_Date")).alias("value"), C("Areas_of_Experience").alias("_area"))
+
+
+@chart("p13_coshh", "CoSHH Reviews Over 700 Days Old", XY, (("value", "desc"), ("label", "asc")), PAGE,
+       x_label="Days Over 700-Day Limit", formatter="integer",
+       note="review date held as text; only ISO dates parse, anything else is NULL and drops out")
+def p13(t: Tables, clock: AsOf) -> DataFrame:
+    items = t["AllItems"].withColumn("_review", C("coshh_DATE").try_cast("date"))
+    rows = items.where(clock.age_gt(C("_review"), 700) & ~text_eq(C("StatusDescription"), "OBSOLETE"))
+    return rows.select(C("PartNo").cast("string").alias("label"),
+                       (clock.age(C("_review")) - 700).alias("value"))
