@@ -268,7 +268,7 @@ def d8(t: Tables, clock: AsOf) -> DataFrame:
 
 
 # --------------------------------------------------------------------------
-def due_soon_lines(t: Tables, clock: AsOf, strict: bool) -> DataFrame:
+def due_soon_lines(t: Tables, clock: AsOf, strict: bool, keep_tracker: bool = False) -> DataFrame:
     """PO lines promised within 14 days (incl. overdue), quantity still to
     come, no sentinel in promised/latest (NULL allowed), part known and the
     supplier not yet confirmed on the tracker."""
@@ -280,7 +280,8 @@ def due_soon_lines(t: Tables, clock: AsOf, strict: bool) -> DataFrame:
                      & S.sentinel_free(p, S.D9_EXCLUDED))
     lines = semi_filter(lines, t["AllItems"], [("PODetPart", "PartNo")])
     oob = t["OOB_TRACKER_RECEIVED"].where(text_eq(C("RECEIVED"), "N"))
-    lines = lines.join(oob, fold(lines["POSuppAddressName"]) == fold(oob["SuppName"]), "left_semi")
+    lines = lines.join(oob, fold(lines["POSuppAddressName"]) == fold(oob["SuppName"]),
+                       "inner" if keep_tracker else "left_semi")
     emp = t["employees"].select("BadgeNo", "Name")
     return lines.join(emp, lines["POBuyer"] == emp["BadgeNo"], "inner")
 

@@ -601,6 +601,186 @@ FROM AllItems
 WHERE TRY_CAST(coshh_DATE AS DATE) < {D0} - INTERVAL 700 DAY AND {ci('StatusDescription')} <> 'obsolete'
 """
 
+# ---------------------------------------------------------------- tables
+BODIES["table_I3"] = f"""
+SELECT left(concat(strftime(si.IssueDate, '%d/%m/%Y'), ' - ', si.IssueQty, ' x ', si.IssuePartNo, ' : ',
+                   i.PartDescription), 50) AS Details,
+       si.IssueNotes AS IssueNotes, concat('£', ROUND(si.IssueUnitCost * si.IssueQty, 2)) AS Value
+FROM StockIssue si LEFT JOIN AllItems i ON si.IssuePartNo = i.PartNo
+WHERE si.IssueUnitCost * si.IssueQty > 100 AND si.IssueDate > {TS} - INTERVAL 4 DAY
+  AND {ci('si.IssueType')} = 'write_off'
+"""
+
+BODIES["table_D10"] = "SELECT PartNo, PartDesc, Cust, UsedIn FROM PV755"
+
+_D11 = """
+SELECT PartNo, PartDescription, PartDefLocation,
+       PartStockActive - DemandSO - DemandWO + PartStockOnOrderPO + PartStockOnOrderWO AS FinalStockBalance
+FROM AllItems
+WHERE PartStockActive - DemandSO - DemandWO + PartStockOnOrderPO + PartStockOnOrderWO < 0
+  AND PartMainlyPurchased = 1
+"""
+BODIES["table_D11"] = _D11
+BODIES["export_D11"] = _D11
+
+BODIES["table_I15"] = """
+SELECT left(TransTime, 10) AS "When", TransObjectType, TransObjectID, TransUser, TransMemo FROM TransAltEdit
+"""
+
+BODIES["table_P8"] = f"""
+SELECT concat(DocNumber, ' - ', DocName) AS What, DocOwner AS Who, CAST(DocNextReview AS VARCHAR) AS "When"
+FROM AllProcedures
+WHERE DocNextReview < {TS} + INTERVAL 30 DAY AND {ci('Status')} = 'published'
+"""
+
+# ---------------------------------------------------------------- exports
+BODIES["export_D1d"] = f"""
+SELECT po.PONum, po.PODetItemNum, po.POSuppAddressName, e.Name, {age('po.PODetDatePromised')} AS DaysLate
+FROM AllLivePO po JOIN employees e ON po.POBuyer = e.BadgeNo
+WHERE {age('po.PODetDatePromised')} > 0 AND po.PODetDatePromised > DATE '1996-01-01'
+  AND po.PODetDateLatest IN {dates('2008-08-08', '2009-09-09', '2010-10-10')}
+"""
+
+BODIES["export_I12"] = f"""
+WITH e AS ({_I12})
+SELECT GRNNo, GRNPartNo, PartDescription, GRNQtyLeft, PartLeadTime, DaysTillExpiry,
+       CAST(GRNExpiryDate AS VARCHAR) AS GRNExpiryDate, PartGroupCode, GRNLocation, Demand, PartStockActive
+FROM e
+"""
+
+_D9X = ("('%01/01/2001%', '%31/12/2018%', '%25/12/2081%', '%01/01/2111%', '%04/01/2081%', "
+        "'%10/10/2010%', '%09/09/2009%', '%08/08/2008%', '%02/02/2002%')")
+BODIES["export_D9"] = f"""
+WITH g AS (
+  SELECT po.PONum, po.PODetItemNum, po.PODetDatePromised, po.PODetQtyReq, po.PODetQtyRec, e.Name,
+         po.PODetPart, po.POSuppAddressName, o.RECEIVED, po.PODetDateLatest
+  FROM AllLivePO po
+  JOIN AllItems i ON po.PODetPart = i.PartNo
+  JOIN employees e ON po.POBuyer = e.BadgeNo
+  JOIN OOB_TRACKER_RECEIVED o ON {ci('po.POSuppAddressName')} = {ci('o.SuppName')}
+  GROUP BY po.PONum, po.PODetItemNum, po.PODetDatePromised, po.PODetQtyReq, po.PODetQtyRec, e.Name,
+           po.PODetPart, po.POSuppAddressName, o.RECEIVED, po.PODetDateLatest
+  HAVING po.PODetDatePromised < {TS} + INTERVAL 14 DAY AND floor(po.PODetQtyReq) - floor(po.PODetQtyRec) > 0
+     AND {ci('o.RECEIVED')} = 'n'
+     AND NOT list_has_any(
+           [strftime(po.PODetDatePromised, '%d/%m/%Y'), strftime(po.PODetDateLatest, '%d/%m/%Y')],
+           ['01/01/2001', '31/12/2018', '25/12/2081', '01/01/2111', '04/01/2081', '10/10/2010', '09/09/2009',
+            '08/08/2008', '02/02/2002']))
+SELECT PONum, PODetItemNum, {due('PODetDatePromised')} AS DaysDue, CAST(PODetDatePromised AS VARCHAR) AS PODetDatePromised,
+       PODetQtyReq - PODetQtyRec AS QtyRemain, Name, PODetPart, POSuppAddressName, RECEIVED
+FROM g
+"""
+
+BODIES["export_I15"] = """
+SELECT TransID, left(TransTime, 10) AS DateTime, TransObjectType, TransObjectID, TransUser, TransMemo
+FROM TransAltEdit
+"""
+
+BODIES["export_D8"] = f"""
+WITH m AS (SELECT PODetPart AS POPartNo, MAX(PODetUnitPrice) AS MaxPrice FROM AllLivePO GROUP BY PODetPart)
+SELECT po.PODetPart, e.Name, {_EXCESS_COST} AS ExcessCost, {_EXCESS_QTY} AS ExcessQty, i.PartStockActive,
+       i.DemandWO, i.DemandSO, i.PartUOMUOPConv, po.PONum
+FROM AllLivePO po
+JOIN AllItems i ON po.PODetPart = i.PartNo
+JOIN employees e ON po.POBuyer = e.BadgeNo
+JOIN m ON po.PODetPart = m.POPartNo
+WHERE i.PartMinStockLev = 0
+GROUP BY po.PODetPart, e.Name, {_EXCESS_COST}, {_EXCESS_QTY}, i.PartStockActive, i.DemandWO, i.DemandSO,
+         i.PartUOMUOPConv, po.PONum
+HAVING {_EXCESS_COST} > 20 AND {_EXCESS_QTY} > 0
+   AND MIN(po.PODetDatePromised) NOT IN {dates('2001-01-01', '2081-04-01', '2002-01-01')}
+"""
+
+BODIES["export_P6"] = """
+SELECT PONum, POSuppAddressName, Name, CAST(POSentDate AS VARCHAR) AS POSentDate,
+       CAST(POOrderDate AS VARCHAR) AS POOrderDate
+FROM (
+  SELECT po.PONum, po.POSuppAddressName, e.Name, po.POSentDate, po.POOrderDate
+  FROM AllLivePO po JOIN employees e ON po.POBuyer = e.BadgeNo
+  WHERE po.PODetDatePromised <> DATE '2081-04-01'
+  GROUP BY po.PONum, po.POSuppAddressName, e.Name, po.POSentDate, po.POOrderDate, po.POConfirmation,
+           po.POSubmitted
+  HAVING po.POConfirmation = 0 AND po.POSubmitted = 1)
+"""
+
+BODIES["export_Q7"] = f"""
+SELECT a.NCR, a.Type, {due('a.Target')} AS DaysDue, e.Name
+FROM AllOpenNCRActions a JOIN employees e ON a.Who = e.BadgeNo
+"""
+
+BODIES["export_P3a"] = f"""
+SELECT c.ContractReviewNo, c.ContRevDetailTaskNo, c.ContRevDetailTask, c.AssignedName,
+       {due('c.ContRevDetailTargetDate')} AS DaysTillDue, c.ContRevDetailLeadTime
+FROM AllCR c JOIN employees e ON {ci('c.AssignedName')} = {ci('e.Name')}
+GROUP BY c.ContractReviewNo, c.ContRevDetailTaskNo, c.ContRevDetailTask, c.AssignedName, c.ContRevDetailTargetDate,
+         c.CRStatusDescription, c.ContractReviewDate, c.ContRevDetailLeadTime
+HAVING {due('c.ContRevDetailTargetDate')} < 0 AND {ci('c.CRStatusDescription')} = 'open'
+"""
+
+BODIES["export_D4"] = f"""
+WITH r AS ({_D4})
+SELECT PONum, PODetItemNum, CAST(PoValue AS DOUBLE) AS PoValue, Name AS Buyer, POSuppAddressName,
+       {due('FirstReq')} AS DaysTillReq
+FROM r
+"""
+
+BODIES["export_D7"] = f"""
+SELECT concat(po.PONum, ' # ', po.POSuppAddressName) AS Details, po.PODetItemNum, {age('po.POOrderDate')} AS Days,
+       CAST(7 AS BIGINT) AS Target, e.Name
+FROM AllLivePO po LEFT JOIN employees e ON po.POBuyer = e.BadgeNo
+WHERE po.PODetDatePromised <> DATE '2081-04-01'
+GROUP BY po.PONum, po.POSuppAddressName, po.PODetItemNum, po.POOrderDate, e.Name, po.POSubmitted
+HAVING po.POSubmitted = 0
+"""
+
+BODIES["export_D1b"] = f"""
+SELECT po.PONum AS PO, po.PODetItemNum, po.PODetPart, po.PODetPartDescr, po.POSuppAddressName, e.Name AS Buyer,
+       {due('po.PODetDateReq')} AS DaysTillReq, CAST(po.PODetDatePromised AS VARCHAR) AS PODetDatePromised,
+       CAST(po.PODetDateLatest AS VARCHAR) AS PODetDateLatest
+FROM AllLivePO po JOIN employees e ON po.POBuyer = e.BadgeNo
+WHERE po.PODetDatePromised = DATE '2081-12-25' OR po.PODetDateLatest = DATE '2081-12-25'
+"""
+
+BODIES["export_D2"] = f"""
+WITH q AS (SELECT PO, COALESCE(TRY_CAST(PO_Line AS BIGINT), 0) AS POline, DateRaised, DateReleased
+           FROM PV658 WHERE PO IS NOT NULL)
+SELECT q.PO, q.POline, b.FirstOfBuyer AS Buyer, po.POSuppAddressName, CAST(q.DateRaised AS VARCHAR) AS DateRaised,
+       {age('MAX(q.DateRaised)')} AS DaysInQuery, CAST(q.DateReleased AS VARCHAR) AS DateReleased,
+       CAST(po.PODetDatePromised AS VARCHAR) AS PODetDatePromised
+FROM AllLivePO po
+RIGHT JOIN q ON po.PODetItemNum = q.POline AND po.PONum = q.PO
+LEFT JOIN PV658_BuyerEngineer b ON po.PONum = b.PO
+GROUP BY q.PO, q.POline, b.FirstOfBuyer, po.POSuppAddressName, q.DateRaised, q.DateReleased, po.PODetDatePromised
+HAVING q.DateRaised > DATE '1999-07-31' AND q.DateReleased IS NULL
+"""
+
+BODIES["export_D3b"] = f"""
+WITH d AS ({_DEMAND})
+SELECT PONum AS PO, PODetItemNum, PartNo, Name AS Buyer, CAST(POValue AS DOUBLE) AS Value,
+       CAST(PODetDatePromised AS VARCHAR) AS PODetDatePromised, DemandType AS DemandWOSO,
+       CAST(RequiredDate AS VARCHAR) AS DemandDate, {due('PODetDatePromised')} AS DaysTillDue,
+       {due('RequiredDate')} AS DaysTillRequired, strftime(PODetDatePromised, '%Y %m') AS POMonth,
+       strftime(RequiredDate, '%Y %m') AS WOSOMonth, POSuppAddressName
+FROM d
+WHERE RequiredDate > PODetDatePromised AND {due('RequiredDate')} >= 28
+  AND strftime(RequiredDate, '%Y %m') <> strftime(PODetDatePromised, '%Y %m') AND Demand > 0
+"""
+
+# ---------------------------------------------------------------- filter lists
+BODIES["filter_grn_location"] = """
+SELECT DISTINCT CAST(GRNLocation AS VARCHAR) AS value, CAST(GRNLocation AS VARCHAR) AS label
+FROM AllLiveGRN
+WHERE GRNLocation IS NOT NULL AND trim(GRNLocation) <> '' AND rtrim(GRNLocation) ILIKE 'MRB%'
+"""
+
+BODIES["filter_p12_training"] = f"""
+SELECT DISTINCT trim(CAST(t.Areas_of_Experience AS VARCHAR)) AS value,
+       trim(CAST(t.Areas_of_Experience AS VARCHAR)) AS label
+FROM AllTraining t JOIN employees e ON t.BadgeNo_IDFK = e.BadgeNo
+WHERE t.Areas_of_Experience IS NOT NULL AND trim(CAST(t.Areas_of_Experience AS VARCHAR)) <> ''
+  AND t.Result = 1 AND e.EmployeeStatusID <> 15 AND {age('t.Course_Date')} > 180
+"""
+
 # ---------------------------------------------------------------- assembly
 _REL_NAMES = [r.name for r in RELATIONS]
 
