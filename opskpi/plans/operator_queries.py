@@ -1,11 +1,264 @@
-"""Generic operators registered on relations derived from the driver tables."""
+"""Generic operators registered as queries on relations derived from the driver tables.
+
+Each ``op_*`` query exercises one reusable operator on whole tables, next to
+an independent DuckDB statement in ``OP_ORACLE``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from opskpi.functions import dates as S
+from opskpi.operators.classify import first_nonzero_class, sign_state, target_interval
+from opskpi.operators.payload import (axis_domain, display_format, numeric_label_key, to_kpi_rows,
+                                      truncate_label)
+from opskpi.operators.rank import ranked
+from opskpi.operators.relational import anti_exception, dedupe_then_project, latest_per_key, top_n
+from opskpi.functions.numbers import try_decimal
+from opskpi.plans import oracle_sql as O
+from opskpi.plans.catalog import metric_catalog, scope_to_department
+from opskpi.plans.metric import all_metrics
+from opskpi.plans.queries import AS_OF, DRIVER_PARAMS
+from opskpi.plans.snapshot import kpi_union
+from opskpi.sources.driver import driver_tables
+
+C = F.col
+AXIS_METRICS = ("D1d", "D3a", "Q1", "P10")
+
+
+def _chart(t, mid: str) -> DataFrame:
+    return all_metrics()[f"kpi_{mid}"].frame(t, AS_OF, **DRIVER_PARAMS)
+
+
+def op_latest_event_per_key(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    return latest_per_key(t["AllGRN_Transfer"], ["TransferGRNNo", "TranferGRNLineNo"], "TransferDate",
+                          "LastTransfer").withColumn("LastTransfer", C("LastTransfer").cast("string"))
+
+
+def op_anti_exception_list(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    po = t["AllLivePO"].select("PONum", "PODetItemNum", "PODetPart")
+    return anti_exception(po, t["PONoDemandOK"], [("PONum", "PO"), ("PODetItemNum", "Line")])
+
+
+def op_dedupe_then_project(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    return dedupe_then_project(t["AllCR"], ["ContractReviewNo", "ContRevDetailTaskNo", "AssignedName",
+                                            "CRStatusDescription"], "ContractReviewNo", "AssignedName")
+
+
+def op_top_n_tiebroken(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    po = t["AllLivePO"].select("PONum", "PODetItemNum", "PODetPart",
+                               (C("PODetUnitPrice") * C("PODetQtyReq")).cast("double").alias("LineValue"))
+    return top_n(po, [("LineValue", "desc")], 25, tiebreak=["PONum", "PODetItemNum", "PODetPart"])
+
+
+def op_sentinel_partition(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    latest = C("PODetDateLatest")
+    status = (F.when(latest.isNull(), "no-date")
+              .when(S.sentinel_in(latest, S.UNKNOWN_DELIVERY), "unknown-delivery")
+              .when(S.sentinel_in(latest, S.SHIPPED), "shipped")
+              .when(S.sentinel_in(latest, S.D1A2_LATEST_EXCLUDED), "other-sentinel")
+              .otherwise("dated"))
+    return t["AllLivePO"].groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def op_age_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    wo = t["worksOrder"].select("WONo", AS_OF.due(C("WOSchedStartDate")).alias("value"))
+    lo, hi, gap = target_interval(C("value"), F.lit(7).cast("bigint"), F.lit(0).cast("bigint"))
+    return wo.select("WONo", "value", sign_state(C("value")).alias("sign"), lo.alias("target_from"),
+                     hi.alias("target_to"), gap.alias("gap"))
+
+
+def op_monthly_count(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    acc = t["Accident"]
+    return acc.groupBy(F.date_format(C("Date"), "yy/MM").alias("month")).agg(
+        F.count("Accident_Description").alias("accidents"), F.count(F.lit(1)).alias("rows"))
+
+
+def op_two_level_value(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    lots = t["AllLiveGRN"].groupBy("GRNPartNo", "GRNNo").agg(
+        F.sum(try_decimal(C("GRNQtyLeft"), 18, 4)).alias("qty"), F.max(try_decimal(C("GRNUnitCost"), 18, 4)).alias("cost"))
+    lots = lots.withColumn("lot_value", F.round(C("qty") * C("cost"), 0))
+    return lots.groupBy("GRNPartNo").agg(F.count(F.lit(1)).alias("lots"),
+                                         F.sum("lot_value").cast("double").alias("part_value"))
+
+
+def op_rag_class(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    value, cls = first_nonzero_class(
+        [(try_decimal(C("LOST_STOCK_RED")), "lost-stock-red"), (try_decimal(C("LOST_STOCK_AMBER")), "lost-stock-amber"),
+         (try_decimal(C("LOST_STOCK_GREEN")), "lost-stock-green")], F.lit(0), "lost-stock-unknown")
+    return t["AllLostStock"].select("GRNNo", "GRNLineNo", value.cast("double").alias("value"),
+                                    cls.alias("class_name"))
+
+
+def op_axis_domain(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    rows = None
+    for mid in AXIS_METRICS:
+        r = to_kpi_rows(_chart(t, mid), mid)
+        rows = r if rows is None else rows.unionByName(r)
+    meta = (metric_catalog(spark).where(C("kind") == "chart")
+            .select(C("query_id").alias("metric_id"), "axis", "band_start", "band_end"))
+    dom = axis_domain(rows, meta)
+    return dom.select("metric_id", "axis_min", "axis_max", "step", F.size("ticks").cast("bigint").alias("ticks"))
+
+
+def op_department_scope(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    rows = scope_to_department(kpi_union(t, AS_OF, DRIVER_PARAMS), " Purchasing ")
+    return rows.groupBy("metric_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def op_display_format(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    d4 = _chart(t, "D4")
+    return d4.select("label", display_format(C("value"), "integer").alias("value_text"),
+                     display_format(C("right_value"), "currency").alias("right_value_text"))
+
+
+def op_snapshot_union(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    u = kpi_union(t, AS_OF, DRIVER_PARAMS)
+    return u.drop(*[c for c in u.columns if c.startswith("_k")])
+
+
+def op_label_truncate(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    q1 = _chart(t, "Q1")
+    return q1.select(truncate_label(C("label"), 40).alias("label"), "value")
+
+
+def op_sort_label_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    d12 = _chart(t, "D12").select("label")
+    keys = [k.asc_nulls_first() for k in numeric_label_key(C("label"))]
+    return ranked(d12.withColumn("_one", F.lit(1)), "_one", keys).drop("_one")
 
 
 def operator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: fn for name, fn in globals().items() if name.startswith("op_") and callable(fn)}
+
+
+# ---------------------------------------------------------------- oracle SQL
+def _contract_select(mid: str) -> str:
+    m = all_metrics()[f"kpi_{mid}"]
+    cols = []
+    for name in ("label", "value", "target", "target_start", "right_value", "secondary_value"):
+        src = name if name in m.columns else "NULL"
+        cols.append(f"CAST({src} AS DOUBLE) AS {name}" if name != "label"
+                    else "COALESCE(CAST(label AS VARCHAR), '') AS label")
+    cls = "class_name" if "class_name" in m.columns else "CAST(NULL AS VARCHAR)"
+    cols += [f"{cls} AS class_name", "CAST(NULL AS VARCHAR) AS tooltip", "CAST(NULL AS VARCHAR) AS row_id"]
+    return f"SELECT '{mid}' AS metric_id, {', '.join(cols)} FROM ({O.BODIES['kpi_' + mid].strip()})"
+
+
+def _chart_ids() -> list[str]:
+    return sorted(m.id for m in all_metrics().values() if m.kind == "chart")
+
+
+def _union_sql(ids) -> str:
+    return "\nUNION ALL\n".join(_contract_select(i) for i in ids)
+
+
+_PUR = ("Q2_grn", "Q7", "S1", "D1a1", "D1a2", "D1b", "D1d", "D2", "D3b", "D4", "D7", "D8", "D9", "I12", "I14",
+        "P3a", "P3b", "P6")
+
+OP_ORACLE: dict[str, Callable[[], str]] = {
+    "op_latest_event_per_key": lambda: """
+SELECT TransferGRNNo, TranferGRNLineNo, CAST(MAX(TransferDate) AS VARCHAR) AS LastTransfer
+FROM AllGRN_Transfer GROUP BY TransferGRNNo, TranferGRNLineNo""",
+    "op_anti_exception_list": lambda: """
+SELECT po.PONum, po.PODetItemNum, po.PODetPart FROM AllLivePO po
+WHERE NOT EXISTS (SELECT 1 FROM PONoDemandOK ok WHERE ok.PO = po.PONum AND ok.Line = po.PODetItemNum)""",
+    "op_dedupe_then_project": lambda: """
+SELECT ContractReviewNo, AssignedName FROM AllCR
+GROUP BY ContractReviewNo, ContRevDetailTaskNo, AssignedName, CRStatusDescription""",
+    "op_top_n_tiebroken": lambda: """
+SELECT PONum, PODetItemNum, PODetPart, CAST(PODetUnitPrice * PODetQtyReq AS DOUBLE) AS LineValue FROM AllLivePO
+ORDER BY LineValue DESC NULLS LAST, PONum ASC NULLS FIRST, PODetItemNum ASC NULLS FIRST, PODetPart ASC NULLS FIRST
+LIMIT 25""",
+    "op_sentinel_partition": lambda: """
+SELECT CASE WHEN PODetDateLatest IS NULL THEN 'no-date'
+            WHEN PODetDateLatest = DATE '2081-12-25' THEN 'unknown-delivery'
+            WHEN PODetDateLatest IN (DATE '2008-08-08', DATE '2009-09-09', DATE '2010-10-10') THEN 'shipped'
+            WHEN PODetDateLatest IN (DATE '2001-01-01', DATE '2002-02-02', DATE '2018-12-31') THEN 'other-sentinel'
+            ELSE 'dated' END AS status, COUNT(*) AS lines
+FROM AllLivePO GROUP BY 1""",
+    "op_age_buckets": lambda: f"""
+SELECT WONo, v AS value, CASE WHEN v < 0 THEN 'negative' WHEN v = 0 THEN 'zero' WHEN v > 0 THEN 'positive' END AS sign,
+       least(0, 7) AS target_from, greatest(0, 7) AS target_to, v - 7 AS gap
+FROM (SELECT WONo, {O.due('WOSchedStartDate')} AS v FROM worksOrder)""",
+    "op_monthly_count": lambda: """
+SELECT strftime("Date", '%y/%m') AS month, COUNT(Accident_Description) AS accidents, COUNT(*) AS rows
+FROM Accident GROUP BY 1""",
+    "op_two_level_value": lambda: """
+SELECT GRNPartNo, COUNT(*) AS lots, CAST(SUM(ROUND(qty * cost, 0)) AS DOUBLE) AS part_value FROM (
+  SELECT GRNPartNo, GRNNo, SUM(TRY_CAST(GRNQtyLeft AS DECIMAL(18,4))) AS qty,
+         MAX(TRY_CAST(GRNUnitCost AS DECIMAL(18,4))) AS cost
+  FROM AllLiveGRN GROUP BY GRNPartNo, GRNNo) GROUP BY GRNPartNo""",
+    "op_rag_class": lambda: """
+SELECT GRNNo, GRNLineNo,
+       CAST(CASE WHEN r <> 0 THEN r WHEN a <> 0 THEN a WHEN g <> 0 THEN g ELSE 0 END AS DOUBLE) AS value,
+       CASE WHEN r <> 0 THEN 'lost-stock-red' WHEN a <> 0 THEN 'lost-stock-amber' WHEN g <> 0 THEN 'lost-stock-green'
+            ELSE 'lost-stock-unknown' END AS class_name
+FROM (SELECT GRNNo, GRNLineNo, TRY_CAST(LOST_STOCK_RED AS DECIMAL(18,2)) AS r,
+             TRY_CAST(LOST_STOCK_AMBER AS DECIMAL(18,2)) AS a, TRY_CAST(LOST_STOCK_GREEN AS DECIMAL(18,2)) AS g
+      FROM AllLostStock)""",
+    "op_axis_domain": lambda: f"""
+WITH rows AS ({_union_sql(AXIS_METRICS)}),
+ext AS (
+  SELECT metric_id,
+         least(0.0, MIN(least(value, target, target_start, secondary_value)),
+               CASE WHEN metric_id = 'Q1' THEN 0.0 END, CASE WHEN metric_id = 'Q1' THEN 30.0 END) AS mn,
+         greatest(0.0, MAX(greatest(value, target, target_start, secondary_value)),
+                  CASE WHEN metric_id = 'Q1' THEN 0.0 END, CASE WHEN metric_id = 'Q1' THEN 30.0 END) AS mx
+  FROM rows GROUP BY metric_id),
+flat AS (
+  SELECT metric_id,
+         CASE WHEN mn = mx AND mn <> 0 THEN mn - CASE WHEN abs(mn) * 0.1 = 0 THEN 1.0 ELSE abs(mn) * 0.1 END ELSE mn END AS lo,
+         CASE WHEN mn = mx AND mn = 0 THEN 1.0
+              WHEN mn = mx THEN mx + CASE WHEN abs(mn) * 0.1 = 0 THEN 1.0 ELSE abs(mn) * 0.1 END ELSE mx END AS hi
+  FROM ext),
+st AS (
+  SELECT metric_id, lo, hi, (hi - lo) / 5.0 AS raw FROM flat),
+nice AS (
+  SELECT metric_id, lo, hi,
+         CASE WHEN raw > 0 THEN
+           (CASE WHEN raw / pow(10.0, floor(log10(raw))) <= 1 THEN 1.0
+                 WHEN raw / pow(10.0, floor(log10(raw))) <= 2 THEN 2.0
+                 WHEN raw / pow(10.0, floor(log10(raw))) <= 5 THEN 5.0 ELSE 10.0 END) * pow(10.0, floor(log10(raw)))
+         ELSE 1.0 END AS step
+  FROM st)
+SELECT metric_id, floor(lo / step) * step AS axis_min, ceil(hi / step) * step AS axis_max, step,
+       CAST(least(CAST(floor((ceil(hi / step) * step - floor(lo / step) * step) / step + 0.5) AS INTEGER) + 1, 100)
+            AS BIGINT) AS ticks
+FROM nice""",
+    "op_department_scope": lambda: f"""
+SELECT metric_id, COUNT(*) AS rows FROM ({_union_sql(_PUR)}) GROUP BY metric_id""",
+    "op_display_format": lambda: f"""
+SELECT label, format('{{:,}}', CAST(ROUND(value, 0) AS BIGINT)) AS value_text,
+       CASE WHEN right_value < 0 THEN '-£' ELSE '£' END
+         || format('{{:,.2f}}', ROUND(CAST(abs(right_value) AS DECIMAL(38,10)), 2)) AS right_value_text
+FROM ({O.BODIES['kpi_D4'].strip()})""",
+    "op_snapshot_union": lambda: _union_sql(_chart_ids()),
+    "op_label_truncate": lambda: f"""
+SELECT CASE WHEN length(label) > 40 THEN left(label, 39) || '…' ELSE label END AS label, value
+FROM ({O.BODIES['kpi_Q1'].strip()})""",
+    "op_sort_label_numeric": lambda: f"""
+SELECT label, CAST(row_number() OVER (
+         ORDER BY lower(regexp_extract(label, '^(\\D*)', 1)) NULLS FIRST,
+                  TRY_CAST(regexp_extract(label, '(\\d+)', 1) AS DECIMAL(38,0)) NULLS FIRST,
+                  lower(label) NULLS FIRST, label NULLS FIRST) AS INTEGER) AS row_rank
+FROM ({O.BODIES['kpi_D12'].strip()})""",
+}

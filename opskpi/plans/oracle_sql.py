@@ -792,4 +792,8 @@ def full_sql(body: str) -> str:
 
 
 def oracle_queries() -> dict[str, str]:
-    return {k: full_sql(v) for k, v in BODIES.items()}
+    from opskpi.plans.operator_queries import OP_ORACLE
+
+    out = {k: full_sql(v) for k, v in BODIES.items()}
+    out.update({k: full_sql(make()) for k, make in OP_ORACLE.items()})
+    return out

@@ -304,21 +304,40 @@ RELATIONS: tuple[Relation, ...] = (
 RELATION_BY_NAME = {r.name.lower(): r for r in RELATIONS}
 
 
+_SCANS: dict[tuple[int, str], DataFrame] = {}
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """One Parquet scan definition per session and path (the footer/schema is
+    read once; Catalyst still prunes columns and pushes filters per query)."""
+    key = (id(spark), path)
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(path)
+    return _SCANS[key]
+
+
 def _spark_relation(spark: SparkSession, sf_dir: str, rel: Relation) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{rel.source}.parquet")
+    df = _scan(spark, f"{sf_dir}/{rel.source}.parquet")
     if rel.join is not None:
         other, cond = rel.join
-        df = df.join(spark.read.parquet(f"{sf_dir}/{other}.parquet"), F.expr(cond), "inner")
+        df = df.join(_scan(spark, f"{sf_dir}/{other}.parquet"), F.expr(cond), "inner")
     if rel.where is not None:
         df = df.where(rel.where)
     return df.selectExpr(*[f"{expr} AS {col}" for col, expr in rel.columns])
 
 
+_TABLES: dict[tuple[int, str], Tables] = {}
+
+
 def driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """``Tables`` holding the 31 ERP relations derived from ``sf_dir``."""
-    return Tables({
-        rel.name: (lambda r=rel: _spark_relation(spark, sf_dir, r)) for rel in RELATIONS
-    })
+    """``Tables`` holding the 31 ERP relations derived from ``sf_dir``
+    (one lazily built set per session and folder)."""
+    key = (id(spark), sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = Tables({
+            rel.name: (lambda r=rel: _spark_relation(spark, sf_dir, r)) for rel in RELATIONS
+        })
+    return _TABLES[key]
 
 
 def duckdb_ctes(names: list[str] | None = None) -> str:
