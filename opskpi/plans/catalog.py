@@ -3,7 +3,7 @@
 * ``metric_catalog``: one row per chart/table/export/filter with its display
   metadata (title, axis, formatter, meta map) and entitlement.
 * ``department_metric``: which dashboard items each department sees.
-* ``scope_to_department``: semi-join KPI rows to a department's items.
+* ``scope_to_department``: keep the KPI rows of a department's items.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ DEPARTMENT_SYNONYMS = {"all": "all", "com": "com", "commercial": "com", "eng": "
 ITEM_QUERY = {"Q2": "Q2_grn", "Q3": "Q3_customer", "I2a": "I2a_wip", "I2b": "I2b_wip", "I6": "I6_location",
               "I10": "I10_material", "P13": "p13_coshh"}
 TABLE_ITEMS = ("D10", "D11", "I3", "I15", "P8")
+ALWAYS_VISIBLE = ("S1_days_since_accident",)   # shown on its page, not controlled by the filter
 EXPORTABLE_ITEMS = ("Q7", "D1b", "D1d", "D2", "D3b", "D4", "D7", "D8", "D9", "D11", "I12", "I15", "P3a", "P6")
 ITEM_PAGE = {"S": "safety", "Q": "quality", "D": "deliverables", "I": "inventory", "P": "productivity"}
 
@@ -108,14 +109,18 @@ def metric_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
 
-def scope_to_department(kpi_rows: DataFrame, department: str | Column) -> DataFrame:
+def visible_query_ids(department: str | None) -> list[str]:
+    """Query ids on a department's dashboard (unknown names mean 'all')."""
+    items = DEPARTMENT_ITEMS[normalise_department_name(department)]
+    return sorted({ITEM_QUERY.get(i, i) for i in items} | set(ALWAYS_VISIBLE))
+
+
+def scope_to_department(kpi_rows: DataFrame, department: str | None) -> DataFrame:
     """Keep KPI rows whose metric is on the department's dashboard.
 
-    ``kpi_rows`` carries ``metric_id`` (query id).  The crosswalk and matrix
-    are a few dozen rows, so the semi-join broadcasts them by size.
+    The matrix is a fixed list, so scoping is an ``IN`` filter on
+    ``metric_id``: on a union of per-metric plans (where ``metric_id`` is a
+    literal) Catalyst folds it and drops the hidden metrics' branches before
+    anything runs.
     """
-    spark = kpi_rows.sparkSession
-    dept = normalise_department(department if isinstance(department, Column) else F.lit(department))
-    visible = (department_metric(spark).where(F.col("department") == dept)
-               .join(item_crosswalk(spark), "item_id").select(F.col("query_id").alias("_qid")))
-    return kpi_rows.join(F.broadcast(visible), kpi_rows["metric_id"] == F.col("_qid"), "left_semi")
+    return kpi_rows.where(F.col("metric_id").isin(visible_query_ids(department)))

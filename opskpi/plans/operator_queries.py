@@ -171,7 +171,7 @@ def _union_sql(ids) -> str:
     return "\nUNION ALL\n".join(_contract_select(i) for i in ids)
 
 
-_PUR = ("Q2_grn", "Q7", "S1", "D1a1", "D1a2", "D1b", "D1d", "D2", "D3b", "D4", "D7", "D8", "D9", "I12", "I14",
+_PUR = ("S1_days_since_accident", "Q2_grn", "Q7", "S1", "D1a1", "D1a2", "D1b", "D1d", "D2", "D3b", "D4", "D7", "D8", "D9", "I12", "I14",
         "P3a", "P3b", "P6")
 
 OP_ORACLE: dict[str, Callable[[], str]] = {
