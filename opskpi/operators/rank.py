@@ -3,12 +3,13 @@
 ``row_number().over(Window.partitionBy(metric).orderBy(...))`` would pull a
 whole metric into one task.  Instead:
 
-1. sort globally (range partitioning, every task sorts its own range);
-2. tag rows with ``monotonically_increasing_id`` — within a sorted partition
-   ids are consecutive and ordered, and the partition index sits in the high
-   bits;
-3. checkpoint to the shared checkpoint folder so ids are stable across
-   retries (a recomputed sort could pick other range bounds);
+1. optionally checkpoint the input to the shared checkpoint folder, so an
+   expensive input plan runs once (the range sort reads its input twice:
+   once to sample bounds, once to sort);
+2. sort globally (range partitioning, every task sorts its own range) and
+   tag rows with ``monotonically_increasing_id`` — within a sorted partition
+   ids are consecutive and ordered, the partition index sits in the high bits;
+3. checkpoint the tagged rows, so the sort runs once and the ids are fixed;
 4. count rows per (group, partition) — at most #partitions + #groups rows —
    turn the counts into offsets and join them back (that table's size is
    bounded by the partition count, so it is broadcast).
@@ -25,13 +26,13 @@ from opskpi.session import ensure_checkpoint_dir
 
 
 def ranked(df: DataFrame, group: str, order: Sequence[Column], rank_col: str = "row_rank",
-           checkpoint: bool = True) -> DataFrame:
-    spark = df.sparkSession
-    sorted_df = df.orderBy(F.col(group).asc_nulls_first(), *order)
-    tagged = sorted_df.withColumn("_rid", F.monotonically_increasing_id())
-    if checkpoint:
-        ensure_checkpoint_dir(spark)
-        tagged = tagged.checkpoint(eager=True)
+           checkpoint_input: bool = True) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    if checkpoint_input:
+        df = df.checkpoint(eager=True)
+    tagged = (df.orderBy(F.col(group).asc_nulls_first(), *order)
+              .withColumn("_rid", F.monotonically_increasing_id())
+              .checkpoint(eager=True))
     part = F.shiftright(F.col("_rid"), 33)
     stats = (tagged.groupBy(F.col(group).alias("_g"), part.alias("_p"))
              .agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n")))
