@@ -42,3 +42,17 @@ def target_interval(value: Column, target: Column, target_start: Column) -> tupl
     value) to the target; gap = value - target."""
     start = F.coalesce(target_start, value)
     return F.least(start, target), F.greatest(start, target), value - target
+
+
+def in_band(value: Column, band_start: Column, band_end: Column) -> Column:
+    """Value inside the metric's target band (NULL when no band is set)."""
+    lo = F.least(band_start, band_end)
+    hi = F.greatest(band_start, band_end)
+    return F.when(band_start.isNull() | band_end.isNull(), F.lit(None).cast("boolean")) \
+        .otherwise(value.between(lo, hi))
+
+
+def threshold_class(value: Column, threshold: float, below: str = "warning", otherwise: str | None = None) -> Column:
+    """Class from one threshold (e.g. ``< 95 -> 'warning'``)."""
+    cls = F.when(value < threshold, F.lit(below))
+    return cls.otherwise(F.lit(otherwise)) if otherwise is not None else cls
