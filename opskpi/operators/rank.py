@@ -6,7 +6,9 @@ whole metric into one task.  Instead:
 1. optionally checkpoint the input to the shared checkpoint folder, so an
    expensive input plan runs once (the range sort reads its input twice:
    once to sample bounds, once to sort);
-2. sort globally (range partitioning, every task sorts its own range) and
+2. sort globally (range partitioning, every task sorts its own range; the
+   input position is the last key, so even a hot group of identical rows is
+   split across ranges) and
    tag rows with ``monotonically_increasing_id`` — within a sorted partition
    ids are consecutive and ordered, the partition index sits in the high bits;
 3. checkpoint the tagged rows, so the sort runs once and the ids are fixed;
@@ -30,7 +32,11 @@ def ranked(df: DataFrame, group: str, order: Sequence[Column], rank_col: str = "
     ensure_checkpoint_dir(df.sparkSession)
     if checkpoint_input:
         df = df.checkpoint(eager=True)
-    tagged = (df.orderBy(F.col(group).asc_nulls_first(), *order)
+    # last sort key: the row's position in the (checkpointed) input, so rows
+    # that tie on every key can still be split across range partitions
+    df = df.withColumn("_tie", F.monotonically_increasing_id())
+    tagged = (df.orderBy(F.col(group).asc_nulls_first(), *order, F.col("_tie"))
+              .drop("_tie")
               .withColumn("_rid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
     part = F.shiftright(F.col("_rid"), 33)
