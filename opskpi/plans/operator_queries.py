@@ -197,7 +197,7 @@ SELECT CASE WHEN PODetDateLatest IS NULL THEN 'no-date'
 FROM AllLivePO GROUP BY 1""",
     "op_age_buckets": lambda: f"""
 SELECT WONo, v AS value, CASE WHEN v < 0 THEN 'negative' WHEN v = 0 THEN 'zero' WHEN v > 0 THEN 'positive' END AS sign,
-       least(0, 7) AS target_from, greatest(0, 7) AS target_to, v - 7 AS gap
+       CAST(least(0, 7) AS BIGINT) AS target_from, CAST(greatest(0, 7) AS BIGINT) AS target_to, v - 7 AS gap
 FROM (SELECT WONo, {O.due('WOSchedStartDate')} AS v FROM worksOrder)""",
     "op_monthly_count": lambda: """
 SELECT strftime("Date", '%y/%m') AS month, COUNT(Accident_Description) AS accidents, COUNT(*) AS rows
