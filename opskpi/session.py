@@ -43,8 +43,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is respected as is.
-    Only when it is unset (local tests) a scratch folder is created.
+    On a cluster this setting points at shared storage and is respected as is;
+    leaving it unset there is an error.  Only in local mode (tests, bench) a
+    scratch folder is created when it is unset.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -53,6 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master or ""
+    if not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage on a cluster "
+                           "(a machine-local folder would not survive the loss of an executor)")
     local = tempfile.mkdtemp(prefix="opskpi-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

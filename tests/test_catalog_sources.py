@@ -77,3 +77,11 @@ def test_jdbc_settings_and_options():
                 {**env, "DATABASE_ENCRYPT": "maybe"}, {**env, "DATABASE_CONNECTION_TIMEOUT": "x"}):
         with pytest.raises(ValueError):
             jdbc.settings_from(bad)
+
+
+def test_export_header_labels_in_metadata(spark):
+    from opskpi.plans.queries import AS_OF
+    from opskpi.sources.driver import driver_tables
+    df = all_metrics()["export_D3b"].frame(driver_tables(spark, "/root/testdata/sf0.001"), AS_OF)
+    labels = {f.name: f.metadata.get("label") for f in df.schema}
+    assert labels["DemandWOSO"] == "Demand WO/SO" and labels["PO"] == "PO"
