@@ -109,7 +109,11 @@ def queried_pos(t: Tables, clock: AsOf, raised_after: date, numeric_fallback: bo
     else:
         q = q.where(cond & C("PO_Line").isNotNull()).withColumn("_line", C("PO_Line").try_cast("bigint"))
         line_key = C("_line")
-    po = t["AllLivePO"].select("PONum", "PODetItemNum", "POSuppAddressName", "PODetDatePromised")
+    # PO lines are the non-preserved side; both the chart and the export group
+    # by these columns, so distinct values are all that can reach the output —
+    # collapse them map-side before the join (exact, and a hot PO line cannot
+    # swamp one task)
+    po = t["AllLivePO"].select("PONum", "PODetItemNum", "POSuppAddressName", "PODetDatePromised").distinct()
     joined = q.join(po, (po["PONum"] == q["PO"]) & (po["PODetItemNum"] == line_key), "left")
     be = t["PV658_BuyerEngineer"].select(C("PO").alias("_be_po"), C("FirstOfBuyer").alias("Buyer"))
     joined = joined.join(be, joined["PONum"] == be["_be_po"], "left")

@@ -131,8 +131,11 @@ def i4(t: Tables, clock: AsOf) -> DataFrame:
             "Lot value in the label is printed as a whole number.")
 def i7(t: Tables, clock: AsOf) -> DataFrame:
     als = t["AllLostStock"]
+    # the lots are the non-preserved side of the outer join; only their
+    # distinct (lot, line, qty, cost, part) values can reach the deduped
+    # output, so collapse them first (map-side) — a hot lot cannot swamp a task
     grn = t["AllLiveGRN"].select(C("GRNNo").alias("_g_no"), C("GRNLineNo").alias("_g_line"),
-                                 "GRNQtyLeft", "GRNUnitCost", "GRNPartNo")
+                                 "GRNQtyLeft", "GRNUnitCost", "GRNPartNo").distinct()
     j = als.join(grn, (als["GRNNo"] == grn["_g_no"]) & (als["GRNLineNo"] == grn["_g_line"]), "left")
     keys = j.select("GRNNo", "GRNQtyLeft", "GRNUnitCost", "GRNPartNo", "LOST_STOCK_AMBER",
                     "LOST_STOCK_GREEN", "LOST_STOCK_RED", "MaxOfTransferDate").distinct()

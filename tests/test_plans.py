@@ -57,3 +57,30 @@ def test_scan_prunes_columns(spark):
     df = all_metrics()["kpi_I2b_wip"].frame(t, AS_OF, **DRIVER_PARAMS)
     plan = executed(df)
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan
+
+
+def test_plans_without_broadcast_stay_equi_joins_and_results_hold(spark):
+    """At scale the dimensions may be too big to broadcast: with every size-based
+    broadcast switched off, all joins must still be equi-joins (sort-merge) and
+    the join-heavy results unchanged."""
+    keys = ["kpi_D3a", "kpi_D8", "kpi_I14", "kpi_Q1", "kpi_I11", "export_D9", "kpi_D2", "kpi_P1", "kpi_I9"]
+    qs = entry.queries()
+    before = {k: sorted(map(tuple, qs[k](spark, SF).collect())) for k in keys}
+    old = (spark.conf.get("spark.sql.autoBroadcastJoinThreshold"),
+           spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        for k in keys:
+            df = qs[k](spark, SF)
+            got = sorted(map(tuple, df.collect()))
+            plan = executed(df)
+            assert not [f for f in FORBIDDEN if f in plan], k
+            assert "BroadcastHashJoin" not in plan, k
+            assert got == before[k], k
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[0])
+        if old[1] is None:
+            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        else:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old[1])
