@@ -19,6 +19,7 @@ from opskpi.functions.clock import AsOf, days_between
 from opskpi.functions.numbers import qty_day_diff, try_decimal
 from opskpi.functions.text import label, left, none_like, text_eq, text_ne, text_not_in, text_not_like
 from opskpi.operators.classify import first_nonzero_class
+from opskpi.operators.relational import repeat_by_matches
 from opskpi.plans.metric import chart
 from opskpi.sources.tables import Tables
 
@@ -78,13 +79,13 @@ def i6(t: Tables, clock: AsOf) -> DataFrame:
 
 @chart("I10_material", "Material Only WO (Start Date 12/12/12)", XY, (("value", "desc"),), PAGE,
        x_label="Days Until Scheduled Start", formatter="integer",
-       note="the left join to the part master adds no column but can repeat rows; kept")
+       note="the left join to the part master adds no column but can repeat rows; kept, as a "
+            "count-and-repeat so a duplicated part number cannot swamp one task")
 def i10(t: Tables, clock: AsOf) -> DataFrame:
     wo = t["worksOrder"].where(
         text_ne(C("WOPartNo"), "PROCEDURES") & S.sentinel_in(C("WOEarliestStartDate"), S.MATERIAL_ONLY_START)
         & text_ne(C("WOStatusDescription"), "Completed"))
-    items = t["AllItems"].select("PartNo")
-    rows = wo.join(items, wo["WOPartNo"] == items["PartNo"], "left")
+    rows = repeat_by_matches(wo, t["AllItems"], "WOPartNo", "PartNo")
     return rows.select(label(C("WONo"), "|", C("WOPartNo")).alias("label"),
                        clock.due(C("WOSchedStartDate")).alias("value"))
 
@@ -162,8 +163,7 @@ def i9(t: Tables, clock: AsOf) -> DataFrame:
     rec = rec.join(qty, rec["GRNWO"] == qty["_q_wo"], "left").select("GRNWO", "LastReceipt")
     open_wo = wo.where((C("WOQtyOS") == 0) & text_ne(C("WOStatusDescription"), "Completed")
                        & text_ne(C("WOPartNo"), "PROCEDURES"))
-    items = t["AllItems"].select("PartNo")
-    open_wo = open_wo.join(items, open_wo["WOPartNo"] == items["PartNo"], "left")
+    open_wo = repeat_by_matches(open_wo, t["AllItems"], "WOPartNo", "PartNo")
     j = open_wo.join(rec, open_wo["WONo"] == rec["GRNWO"], "inner")
     return j.select(label(C("WONo"), " # ", C("WOPartNo")).alias("label"),
                     clock.age(C("LastReceipt")).alias("value"))
@@ -173,8 +173,7 @@ def i9(t: Tables, clock: AsOf) -> DataFrame:
        x_label="Days Late", formatter="integer")
 def i11(t: Tables, clock: AsOf) -> DataFrame:
     wo = t["worksOrder"].where(text_ne(C("WOStatusDescription"), "Completed"))
-    items = t["AllItems"].select("PartNo")
-    wo = wo.join(items, wo["WOPartNo"] == items["PartNo"], "left")
+    wo = repeat_by_matches(wo, t["AllItems"], "WOPartNo", "PartNo")
     so = (t["AllSO"].where(qty_day_diff(C("SOLineShipQty"), C("SOLineQty")) > 0)
           .select("SONo", "SOLineNo", "SOLinePromisedDate"))
     j = wo.join(so, (wo["WOLineNo"] == so["SOLineNo"]) & (wo["WOSalesOrder"] == so["SONo"]), "inner")

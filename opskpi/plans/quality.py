@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opskpi.functions import params as P
 from opskpi.functions.clock import AsOf
 from opskpi.functions.text import any_like, label, text_eq, text_like, text_ne, text_not_in
+from opskpi.operators.relational import left_join_split
 from opskpi.plans.inventory import lots_with_last_transfer
 from opskpi.plans.metric import chart
 from opskpi.sources.tables import Tables
@@ -41,8 +42,10 @@ def q1(t: Tables, clock: AsOf, part_pattern: str = "%") -> DataFrame:
     # (an SO line whose only WO is pending drops out; one without a WO stays).
     wo = t["worksOrder"].where(any_like(C("WOPartNo"), RETURN_REPAIR)).select(
         "WONo", C("WOJobType").alias("Location"), "WOLineNo", "WOPartNo", "WOSalesOrder")
-    j = so.join(wo, (so["SOLineNo"] == wo["WOLineNo"]) & (so["SOLinePartNo"] == wo["WOPartNo"])
-                & (so["SONo"] == wo["WOSalesOrder"]), "left")
+    # left join written as inner join + anti-join: a hot sales line on the
+    # works-order side is split by AQE instead of buffered by one task
+    j = left_join_split(so, wo, [("SOLineNo", "WOLineNo"), ("SOLinePartNo", "WOPartNo"), ("SONo", "WOSalesOrder")],
+                        ["WONo", "Location"])
     items = t["AllItems"].select("PartNo", C("PartDefCust").alias("Customer"))
     j = j.join(items, items["PartNo"] == j["SOLinePartNo"], "left")
     j = j.where(text_ne(C("Location"), "PENDING CUSTOMER") | C("Location").isNull())
