@@ -52,7 +52,9 @@ def print_queue(t: Tables, clock: AsOf, ready: bool) -> DataFrame:
     j = wo.join(items, wo["WOPartNo"] == items["PartNo"], "inner")
     # "not printed": left join + PrintedBy IS NULL, exactly as a WO with a
     # NULL-printer row still passes even when another row names a printer
-    pv = t["PV601"].select("WorksOrder", "PrintedBy")
+    # the print log is the non-preserved side: distinct (WO, printer) pairs are
+    # all that can reach the deduped output, so collapse them before the join
+    pv = t["PV601"].select("WorksOrder", "PrintedBy").distinct()
     j = j.join(pv, j["WONo"] == pv["WorksOrder"], "left").where(C("PrintedBy").isNull())
     keys = j.select("WOSchedStartDate", "StatusDescription", "WOQtyOS", "WOStatusDescription", "PrintedBy",
                     "WOPartNo", "WOEarliestStartDate", "WONo").distinct()
