@@ -85,3 +85,10 @@ def test_export_header_labels_in_metadata(spark):
     df = all_metrics()["export_D3b"].frame(driver_tables(spark, "/root/testdata/sf0.001"), AS_OF)
     labels = {f.name: f.metadata.get("label") for f in df.schema}
     assert labels["DemandWOSO"] == "Demand WO/SO" and labels["PO"] == "PO"
+
+
+def test_every_chart_is_visible_to_all_departments():
+    from opskpi.plans.catalog import visible_query_ids
+    charts = {m.id for m in all_metrics().values() if m.kind == "chart"}
+    assert charts <= set(visible_query_ids("all"))
+    assert charts - set(visible_query_ids("pur")) >= {"Q6", "D3a", "D5", "D12", "I10_material", "I11"}
