@@ -124,3 +124,12 @@ def scope_to_department(kpi_rows: DataFrame, department: str | None) -> DataFram
     anything runs.
     """
     return kpi_rows.where(F.col("metric_id").isin(visible_query_ids(department)))
+
+
+def department_kpi_rows(t, clock, params=None, department: str | None = None) -> DataFrame:
+    """KPI rows of one department's dashboard, planning only its metrics
+    (same rows as ``scope_to_department(kpi_union(...))``)."""
+    from opskpi.plans.snapshot import kpi_union
+    visible = set(visible_query_ids(department))
+    charts = [m for m in all_metrics().values() if m.kind == "chart" and m.id in visible]
+    return kpi_union(t, clock, params, metrics=charts)

@@ -19,7 +19,7 @@ from opskpi.operators.rank import ranked
 from opskpi.operators.relational import anti_exception, dedupe_then_project, latest_per_key, top_n
 from opskpi.functions.numbers import try_decimal
 from opskpi.plans import oracle_sql as O
-from opskpi.plans.catalog import metric_catalog, scope_to_department
+from opskpi.plans.catalog import department_kpi_rows, metric_catalog
 from opskpi.plans.metric import all_metrics
 from opskpi.plans.queries import AS_OF, DRIVER_PARAMS
 from opskpi.plans.snapshot import kpi_union
@@ -116,7 +116,7 @@ def op_axis_domain(spark: SparkSession, sf: str) -> DataFrame:
 
 def op_department_scope(spark: SparkSession, sf: str) -> DataFrame:
     t = driver_tables(spark, sf)
-    rows = scope_to_department(kpi_union(t, AS_OF, DRIVER_PARAMS), " Purchasing ")
+    rows = department_kpi_rows(t, AS_OF, DRIVER_PARAMS, " Purchasing ")
     return rows.groupBy("metric_id").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -92,3 +92,17 @@ def test_every_chart_is_visible_to_all_departments():
     charts = {m.id for m in all_metrics().values() if m.kind == "chart"}
     assert charts <= set(visible_query_ids("all"))
     assert charts - set(visible_query_ids("pur")) >= {"Q6", "D3a", "D5", "D12", "I10_material", "I11"}
+
+
+def test_department_rows_plan_only_visible_metrics(spark):
+    from opskpi.plans.catalog import department_kpi_rows, scope_to_department
+    from opskpi.plans.queries import AS_OF, DRIVER_PARAMS
+    from opskpi.plans.snapshot import kpi_union
+    from opskpi.sources.driver import driver_tables
+    t = driver_tables(spark, "/root/testdata/sf0.001")
+    a = department_kpi_rows(t, AS_OF, DRIVER_PARAMS, "qa")
+    b = scope_to_department(kpi_union(t, AS_OF, DRIVER_PARAMS), "qa")
+    cols = ["metric_id", "label", "value"]
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+    assert {r.metric_id for r in a.select("metric_id").distinct().collect()} == \
+        {"S1", "S1_days_since_accident", "Q2_grn", "Q7", "Q8", "Q9", "I2b_wip", "P3a"}
