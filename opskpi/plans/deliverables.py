@@ -113,7 +113,13 @@ def queried_pos(t: Tables, clock: AsOf, raised_after: date, numeric_fallback: bo
     # by these columns, so distinct values are all that can reach the output —
     # collapse them map-side before the join (exact, and a hot PO line cannot
     # swamp one task)
-    po = t["AllLivePO"].select("PONum", "PODetItemNum", "POSuppAddressName", "PODetDatePromised").distinct()
+    # Only PO lines named by an open query can match: a semi-join against the
+    # queries' distinct (PO, line) keys (small, broadcast by size) cuts the
+    # fact down before the dedupe and the outer join.
+    wanted = q.select(C("PO").alias("_q_po"), line_key.alias("_q_line")).distinct()
+    po = t["AllLivePO"].select("PONum", "PODetItemNum", "POSuppAddressName", "PODetDatePromised")
+    po = po.join(wanted, (po["PONum"] == wanted["_q_po"]) & (po["PODetItemNum"] == wanted["_q_line"]),
+                 "left_semi").distinct()
     joined = q.join(po, (po["PONum"] == q["PO"]) & (po["PODetItemNum"] == line_key), "left")
     be = t["PV658_BuyerEngineer"].select(C("PO").alias("_be_po"), C("FirstOfBuyer").alias("Buyer"))
     joined = joined.join(be, joined["PONum"] == be["_be_po"], "left")
