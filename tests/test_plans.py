@@ -84,3 +84,9 @@ def test_plans_without_broadcast_stay_equi_joins_and_results_hold(spark):
             spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
         else:
             spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old[1])
+
+
+def test_small_dimension_joins_broadcast_by_size(plans):
+    for key in ("kpi_P6", "kpi_Q7", "kpi_D4", "export_D1b"):
+        assert "BroadcastHashJoin" in plans[key], key
+        assert "SortMergeJoin" not in plans[key], key
