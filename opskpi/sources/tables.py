@@ -62,6 +62,24 @@ class Tables:
 
         return cls({n: loader(n) for n in names})
 
+    @classmethod
+    def from_paths(cls, spark: SparkSession, paths: Mapping[str, str]) -> "Tables":
+        """Relation name -> explicit Parquet path (datasets kept in different places)."""
+        return cls({n: (lambda p=p: spark.read.parquet(p)) for n, p in paths.items()})
+
+    @classmethod
+    def from_catalog(cls, spark: SparkSession, names: Iterable[str], database: str | None = None) -> "Tables":
+        """Relations registered in the session catalogue (``spark.table``).
+
+        Use this for bucketed tables: bucket metadata lives in the catalogue,
+        and only catalogue reads let joins on the bucket key skip the shuffle.
+        """
+        def loader(name: str) -> Callable[[], DataFrame]:
+            qualified = f"{database}.{name}" if database else name
+            return lambda: spark.table(qualified)
+
+        return cls({n: loader(n) for n in names})
+
     @classmethod
     def from_jdbc(cls, spark: SparkSession, reader_options: Mapping[str, Mapping[str, str]]) -> "Tables":
         """Relations read through ``spark.read.format('jdbc')``.

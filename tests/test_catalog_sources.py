@@ -106,3 +106,14 @@ def test_department_rows_plan_only_visible_metrics(spark):
     assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
     assert {r.metric_id for r in a.select("metric_id").distinct().collect()} == \
         {"S1", "S1_days_since_accident", "Q2_grn", "Q7", "Q8", "Q9", "I2b_wip", "P3a"}
+
+
+def test_tables_from_catalog_and_paths(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    df.createOrReplaceTempView("opskpi_test_rel")
+    t = Tables.from_catalog(spark, ["opskpi_test_rel"])
+    assert [tuple(r) for r in t["OPSKPI_TEST_REL"].collect()] == [(1, "a")]
+    path = str(tmp_path / "rel")
+    df.write.parquet(path)
+    t2 = Tables.from_paths(spark, {"Rel": path})
+    assert t2["rel"].count() == 1
