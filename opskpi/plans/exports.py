@@ -132,8 +132,8 @@ def q7(t: Tables, clock: AsOf) -> DataFrame:
         note="tasks joined to employees by name (case/trailing-blank folded)")
 def p3a(t: Tables, clock: AsOf) -> DataFrame:
     cr = t["AllCR"].where(clock.due_lt(C("ContRevDetailTargetDate"), 0) & text_eq(C("CRStatusDescription"), "Open"))
-    emp = t["employees"].select("Name")
-    cr = cr.join(emp, fold(cr["AssignedName"]) == fold(emp["Name"]), "left_semi")
+    names = t["employees"].select(fold(C("Name")).alias("_name")).distinct()
+    cr = cr.join(names, fold(cr["AssignedName"]) == names["_name"], "left_semi")
     keys = cr.select("ContractReviewNo", "ContRevDetailTaskNo", "ContRevDetailTask", "AssignedName",
                      "ContRevDetailTargetDate", "CRStatusDescription", "ContractReviewDate",
                      "ContRevDetailLeadTime").distinct()
