@@ -22,6 +22,8 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
 import os
 import zlib
@@ -29,58 +31,137 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opskpi.llm.local import prefix_hash, span_hash, text_chunks, word_spans
 from opskpi.llm.staging import Staging
 
 C = F.col
 END_ID = 1
 MAX_TOKENS = 4096
 
-#: Words whose ids a worker remembers; a full memory starts anew (speed only, never the result).
-WORD_MEMORY = 400_000
+#: Words, and parts of words, whose ids a worker remembers; a full memory starts anew (speed only, never the result).
+WORD_MEMORY = 3_000_000
+PART_MEMORY = 300_000
 _LONG_WORD = 48
-_SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to str.split, none to the tokenizer
+_PLAIN = "\u0250"  # below it a character is in normal form and has no sense for its neighbours
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task int, seq long"
 
 
 class WordTokenizer:
-    """A ``tokenizers`` file whose pre-tokenizer never crosses white space, with a memory of words."""
+    """A ``tokenizers`` file whose pre-tokenizer never crosses white space, with a memory of words.
+
+    Words of plain characters are lower-cased, split by the file's own pattern
+    and handed to the file's BPE model, many to a call; all others go through
+    the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.memory: dict[str, bytes] = {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
+        self._forget()
+        self.parts: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split, level = spec["pre_tokenizer"]["pretokenizers"]
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.split = regex.compile(split["pattern"]["Regex"])
+        assert level["type"] == "ByteLevel" and not level["use_regex"] and suffix
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in
                 self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        memory = self.memory
-        if len(memory) > WORD_MEMORY:
-            memory.clear()
-        words = [None if any(s in t for s in _SEPARATORS) else t.split() for t in texts]
-        missing: set[str] = set()
-        for w in words:
-            if w:
-                missing.update(set(w).difference(memory))
-        new = list(missing)
-        fresh = dict(zip(new, self._bytes(new), strict=True))
-        memory.update((k, v) for k, v in fresh.items() if len(k) <= _LONG_WORD)
-        out = []
-        for t, w in zip(texts, words, strict=True):
-            if w is None:
-                out.append(self._bytes([t])[0])
+    def _learn_parts(self, parts: list[str]) -> None:
+        for lo in range(0, len(parts), 1000):
+            own = parts[lo:lo + 1000]
+            text = "\n".join(own).encode().decode("latin-1").translate(self.letters)
+            ids = np.asarray(self.model.encode(text.replace(self.letters[10], " "),
+                                               add_special_tokens=False).ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            assert len(cuts) == len(own) + 1
+            data = ids.tobytes()
+            self.parts.update(zip(own, [data[i:j] for i, j in itertools.pairwise(cuts)], strict=True))
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(words)
+        split, other = [], []
+        for i, w in enumerate(words):
+            if len(w) <= _LONG_WORD and max(w) < _PLAIN and min(w) > " ":
+                low = w.lower()
+                split.append((i, [low] if low.isalpha() else self.split.findall(low)))
             else:
-                out.append(b"".join([memory[x] if x in memory else fresh[x] for x in w]))
+                other.append(i)
+        if len(self.parts) > PART_MEMORY:
+            self.parts.clear()
+        parts = self.parts
+        self._learn_parts(list({x for _, s in split for x in s if x not in parts}))
+        for i, s in split:
+            out[i] = parts[s[0]] if len(s) == 1 else b"".join([parts[x] for x in s])
+        if other:
+            for i, data in zip(other, self._whole([words[i] for i in other]), strict=True):
+                out[i] = data
+        return out
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Adds words to the memory: sorted keys, and where in ``flat`` the ids of each are."""
+        data = self._ids(words)
+        n = np.fromiter((len(d) // 4 for d in data), np.int64, len(data))
+        at = len(self.flat) + np.cumsum(n) - n
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(data), "<u4")))
+        where = np.searchsorted(self.keys, keys)
+        self.at, self.n = np.insert(self.at, where, at), np.insert(self.n, where, n)
+        self.keys = np.insert(self.keys, where, keys)
+
+    def _forget(self) -> None:
+        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, "<u4")
+        self.at = self.n = np.zeros(0, np.int64)
+
+    def _lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = np.searchsorted(self.keys, h)
+        i[i == len(self.keys)] = 0
+        return i, (self.keys[i] == h) if len(self.keys) else np.zeros(len(h), bool)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        A word is known by a 64-bit hash of its bytes; looking up and laying
+        out the ids of the words of a stretch are a few array operations.
+        """
+        out: list[bytes] = []
+        for _, _, buf, starts in text_chunks(texts, lower=False):
+            if len(self.keys) > WORD_MEMORY:
+                self._forget()
+            a, b = word_spans(buf)
+            h = span_hash(prefix_hash(buf), a, b)
+            at, known = self._lookup(h)
+            if not known.all():
+                new = np.flatnonzero(~known)
+                keys, first = np.unique(h[new], return_index=True)
+                raw = buf.tobytes()
+                self._learn(keys, [raw[i:j].decode() for i, j in
+                                   zip(a[new[first]].tolist(), b[new[first]].tolist(), strict=True)])
+                at, _ = self._lookup(h)
+            n = self.n[at]
+            end = np.cumsum(n)
+            total = int(end[-1]) if len(end) else 0
+            data = self.flat[np.repeat(self.at[at] - end + n, n) + np.arange(total)].tobytes()
+            cuts = np.concatenate(([0], end))[np.searchsorted(a, starts)] * 4
+            out.extend(data[i:j] for i, j in itertools.pairwise(cuts.tolist()))
         return out
 
 
@@ -107,7 +188,7 @@ def token_pieces(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, end_i
             texts = batch.column(1).to_pylist()
             for lo in range(0, len(ids), 256):
                 rows = {k: [] for k in ("doc_id", "piece", "start", "length", "crc", "ids", "seq")}
-                coded = tok.encode([t or "" for t in texts[lo:lo + 256]])
+                coded = tok.encode(texts[lo:lo + 256])
                 for doc, data in zip(ids[lo:lo + 256], coded, strict=True):
                     data += end
                     for k, at in enumerate(range(0, len(data), 4 * max_tokens)):

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opskpi.llm.language import identify
+from opskpi.llm.lines import dedup_lines
 from opskpi.llm.packing import pack
+from opskpi.llm.setjoin import near_duplicates
 from opskpi.llm.suffixes import remove_repeats
 
 
@@ -22,12 +25,25 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("th")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents")).drop("th")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_best_fit_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_best_fit_packing, op7_jaccard_join,
+                                    op9_language_id)}
 
 
 def llm_oracle() -> dict[str, str]:
