@@ -10,10 +10,10 @@ of n-gram codes with one column of log-probabilities per language, so that a
 single search scores a position under every language.
 
 A text gets the language of the lowest cross-entropy per symbol.  Rejection
-is calibrated on the training texts: each language has a limit of mean plus
-``spread`` standard deviations of the cross-entropy of its texts, plus an
-allowance that shrinks with the square root of the length; texts without a
-letter are rejected as ``und``.
+is calibrated on the training texts: a text is rejected if its cross-entropy
+lies nearer to that of random symbols than to the mean of its language's texts,
+and beyond ``spread`` of their standard deviations (wider for short texts, by
+the square root of the length); texts without a letter are rejected as ``und``.
 
 Defined cases: null and letterless texts are ``und`` with score 0; rows
 without a language do not train; ties go to the first language in
@@ -23,6 +23,8 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -259,20 +261,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, spread: float = 6.0, floor_symbols: int = 400) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, rejected`` per row of ``docs(doc_id, text, lang)``.
+    """``doc_id, th, held_out, lang_pred, score, rejected`` per row of ``docs(doc_id, text, lang)``.
 
     ``rejected`` is null-safe: true for ``und`` and for a cross-entropy above
     the limit of the predicted language.
     """
     part = docs.select(C("doc_id").cast("long").alias("doc_id"), C("text").cast("string").alias("text"),
-                       C("lang").cast("string").alias("lang")).withColumn("held_out", held_out(C("doc_id")))
+                       C("lang").cast("string").alias("lang")).withColumn("held_out", held_out(C("doc_id"))) \
+        .withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     model = train(part.where("not held_out").select("lang", "text"))
     staging = Staging(docs.sparkSession, "language")
     scored = staging.put(_scores(part, model), "scores")
     limits = (scored.where("not held_out and lang = lang_pred").groupBy("lang_pred")
               .agg(F.avg("entropy").alias("mean"), F.coalesce(F.stddev_pop("entropy"), F.lit(0.0)).alias("sd")))
     short = F.sqrt(F.lit(float(floor_symbols)) / F.greatest(C("n_symbols"), F.lit(1)))
-    above = C("entropy") > C("mean") + spread * F.greatest("sd", 0.05 * C("mean")) * F.greatest(F.lit(1.0), short)
+    room = F.greatest(spread * C("sd") * F.greatest(F.lit(1.0), short), (math.log(_CLASSES) - C("mean")) / 2)
+    above = C("entropy") > C("mean") + room
     return scored.join(limits, "lang_pred", "left").select(
-        "doc_id", "held_out", "lang_pred", "score",
+        "doc_id", "th", "held_out", "lang_pred", "score",
         ((C("lang_pred") == UNKNOWN) | F.coalesce(above, F.lit(False))).alias("rejected"))

@@ -174,3 +174,45 @@ def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str], at_least: int =
         held = [b.slice(cuts[-2], cuts[-1] - cuts[-2])]
         held_key = tuple(c[-1] for c in cols)
     yield from close()
+
+
+class IdMemory:
+    """Sequences of token ids by a 64-bit key, in sorted arrays; starts anew when it holds ``limit`` keys."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.flat = np.zeros(0, _U), np.zeros(0, "<u4")
+        self.at = self.n = np.zeros(0, np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key and whether it is known."""
+        i = np.searchsorted(self.keys, keys)
+        i[i == len(self.keys)] = 0
+        return i, (self.keys[i] == keys) if len(self.keys) else np.zeros(len(keys), bool)
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """Sorted new keys with their ids as little-endian unsigned 32-bit integers."""
+        n = np.fromiter((len(d) // 4 for d in ids), np.int64, len(ids))
+        at = len(self.flat) + np.cumsum(n) - n
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), "<u4")))
+        where = np.searchsorted(self.keys, keys)
+        self.at, self.n = np.insert(self.at, where, at), np.insert(self.n, where, n)
+        self.keys = np.insert(self.keys, where, keys)
+
+    def lay_out(self, keys: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all keys in a row, and where those of each end; ``learn(first places)`` gives unknown ones."""
+        if len(self.keys) > self.limit:
+            self.clear()
+        at, known = self.find(keys)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            fresh, first = np.unique(keys[new], return_index=True)
+            self.add(fresh, learn(new[first]))
+            at, _ = self.find(keys)
+        n = self.n[at]
+        end = np.cumsum(n)
+        total = int(end[-1]) if len(end) else 0
+        return self.flat[np.repeat(self.at[at] - end + n, n) + np.arange(total)], end

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opskpi.llm.local import prefix_hash, span_hash, text_chunks, word_spans
+from opskpi.llm.local import IdMemory, prefix_hash, span_hash, text_chunks, word_spans
 from opskpi.llm.staging import Staging
 
 C = F.col
@@ -66,7 +66,7 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self._forget()
+        self.memory = IdMemory(WORD_MEMORY)
         self.parts: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -117,25 +117,6 @@ class WordTokenizer:
                 out[i] = data
         return out
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """Adds words to the memory: sorted keys, and where in ``flat`` the ids of each are."""
-        data = self._ids(words)
-        n = np.fromiter((len(d) // 4 for d in data), np.int64, len(data))
-        at = len(self.flat) + np.cumsum(n) - n
-        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(data), "<u4")))
-        where = np.searchsorted(self.keys, keys)
-        self.at, self.n = np.insert(self.at, where, at), np.insert(self.n, where, n)
-        self.keys = np.insert(self.keys, where, keys)
-
-    def _forget(self) -> None:
-        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, "<u4")
-        self.at = self.n = np.zeros(0, np.int64)
-
-    def _lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.searchsorted(self.keys, h)
-        i[i == len(self.keys)] = 0
-        return i, (self.keys[i] == h) if len(self.keys) else np.zeros(len(h), bool)
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
@@ -144,22 +125,14 @@ class WordTokenizer:
         """
         out: list[bytes] = []
         for _, _, buf, starts in text_chunks(texts, lower=False):
-            if len(self.keys) > WORD_MEMORY:
-                self._forget()
             a, b = word_spans(buf)
-            h = span_hash(prefix_hash(buf), a, b)
-            at, known = self._lookup(h)
-            if not known.all():
-                new = np.flatnonzero(~known)
-                keys, first = np.unique(h[new], return_index=True)
-                raw = buf.tobytes()
-                self._learn(keys, [raw[i:j].decode() for i, j in
-                                   zip(a[new[first]].tolist(), b[new[first]].tolist(), strict=True)])
-                at, _ = self._lookup(h)
-            n = self.n[at]
-            end = np.cumsum(n)
-            total = int(end[-1]) if len(end) else 0
-            data = self.flat[np.repeat(self.at[at] - end + n, n) + np.arange(total)].tobytes()
+            raw = buf.tobytes()
+
+            def learn(new):
+                return self._ids([raw[i:j].decode() for i, j in zip(a[new].tolist(), b[new].tolist(), strict=True)])
+
+            ids, end = self.memory.lay_out(span_hash(prefix_hash(buf), a, b), learn)
+            data = ids.tobytes()
             cuts = np.concatenate(([0], end))[np.searchsorted(a, starts)] * 4
             out.extend(data[i:j] for i, j in itertools.pairwise(cuts.tolist()))
         return out

@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opskpi.llm import bytepairs
 from opskpi.llm.language import identify
 from opskpi.llm.lines import dedup_lines
 from opskpi.llm.packing import pack
+from opskpi.llm.rules import judge
 from opskpi.llm.setjoin import near_duplicates
 from opskpi.llm.suffixes import remove_repeats
+from opskpi.llm.vectors import near_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,17 +36,33 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("th")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    decoded = bytepairs.decode(bytepairs.encode(_table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+                          F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents")).drop("th")
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_best_fit_packing, op7_jaccard_join,
-                                    op9_language_id)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_best_fit_packing, op5_quality_rules,
+                                    op6_embedding_dedup, op7_jaccard_join, op8_byte_bpe, op9_language_id)}
 
 
 def llm_oracle() -> dict[str, str]:

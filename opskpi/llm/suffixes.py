@@ -257,7 +257,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_row: bool = False) -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` per document: removed byte ranges (maximal) and the bytes that stay.
 
-    ``with_row`` adds ``row``, the document's other columns as a struct.
+    ``with_row`` adds ``row``, the document's other columns as a struct, and ``text``, the characters that stay whole.
     """
     others = [C(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     row = F.struct(*others) if with_row and others else F.struct(F.lit(0).alias("_"))
@@ -293,9 +293,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(n_bytes, pa.int64()),
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                     pa.array(kept, pa.binary())], names=["doc_id", "row", "n_bytes", "spans", "kept"])
+                     pa.array(kept, pa.binary()),
+                     pa.array([k.decode("utf-8", "ignore") if with_row else None for k in kept], pa.string())],
+                    names=["doc_id", "row", "n_bytes", "spans", "kept", "text"])
 
     kind = keyed.schema["row"].dataType.simpleString()
     out = both.select("d.doc_id", "d.row", "d.text", "r.ranges").mapInArrow(
-        run, f"doc_id long, row {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
-    return out if with_row else out.drop("row")
+        run, f"doc_id long, row {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary, text string")
+    return out if with_row else out.drop("row", "text")
