@@ -12,6 +12,7 @@ from opskpi.llm import bytepairs
 from opskpi.llm.language import identify
 from opskpi.llm.lines import dedup_lines
 from opskpi.llm.packing import pack
+from opskpi.llm.pages import main_text
 from opskpi.llm.rules import judge
 from opskpi.llm.setjoin import near_duplicates
 from opskpi.llm.suffixes import remove_repeats
@@ -60,9 +61,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents")).drop("th")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_best_fit_packing, op5_quality_rules,
-                                    op6_embedding_dedup, op7_jaccard_join, op8_byte_bpe, op9_language_id)}
+                                    op6_embedding_dedup, op7_jaccard_join, op8_byte_bpe, op9_language_id,
+                                    op10_html_extraction)}
 
 
 def llm_oracle() -> dict[str, str]:
