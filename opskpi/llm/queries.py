@@ -15,6 +15,7 @@ from opskpi.llm.packing import pack
 from opskpi.llm.pages import main_text
 from opskpi.llm.rules import judge
 from opskpi.llm.setjoin import near_duplicates
+from opskpi.llm.sites import quality
 from opskpi.llm.suffixes import remove_repeats
 from opskpi.llm.vectors import near_vectors
 
@@ -37,6 +38,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"))
 
@@ -66,7 +71,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_best_fit_packing, op5_quality_rules,
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_best_fit_packing, op4_quality_classifier, op5_quality_rules,
                                     op6_embedding_dedup, op7_jaccard_join, op8_byte_bpe, op9_language_id,
                                     op10_html_extraction)}
 
