@@ -76,5 +76,60 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                     op10_html_extraction)}
 
 
+#: The operators of approximate search, models, tokenizers and markup have no SQL form; their tests use brute force.
+ORACLE = {"op5_quality_rules": r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, source, lang FROM documents),
+w AS (SELECT *, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS words,
+             [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM t),
+g AS (SELECT rid, i, array_to_string(list_slice(words, i, i + 4), ' ') AS gram
+      FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+d AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1),
+r AS (SELECT rid, sum(k)::BIGINT AS n FROM
+      (SELECT rid, least(5, coalesce(i - lag(i) OVER (PARTITION BY rid ORDER BY i), 5)) AS k FROM d) GROUP BY rid),
+c AS (SELECT w.rid, doc_id, source, lang, len(words)::BIGINT AS n_words,
+             length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+             len(lines)::BIGINT AS n_lines
+      FROM w LEFT JOIN r USING (rid)),
+s AS (SELECT rid, source, lang, share, CASE WHEN den > 0 THEN (num * 10000) // den ELSE 0 END AS v FROM (
+      SELECT rid, source, lang, 'symbols' AS share, n_symbols AS num, word_chars AS den FROM c WHERE n_words > 0 UNION ALL
+      SELECT rid, source, lang, 'dup_lines', n_dup_lines, n_lines FROM c WHERE n_words > 0 UNION ALL
+      SELECT rid, source, lang, 'repeats', n_repeat_words, n_words FROM c WHERE n_words > 0 UNION ALL
+      SELECT rid, source, lang, 'word_length', word_chars, n_words * 20 FROM c WHERE n_words > 0)),
+h AS (SELECT source, lang, share, bin, count(*) AS n FROM (
+      SELECT *, CASE WHEN v < 64 THEN v ELSE (p - 5) * 32 + (v >> (p - 5)) END AS bin
+      FROM (SELECT *, CASE WHEN v < 64 THEN 0 ELSE floor(log2(v + 0.5))::INT END AS p FROM s)) GROUP BY ALL),
+l AS (SELECT 0 AS lev, source, lang, share, bin, n FROM h UNION ALL
+      SELECT 1, NULL, lang, share, bin, sum(n) FROM h GROUP BY lang, share, bin UNION ALL
+      SELECT 2, NULL, NULL, share, bin, sum(n) FROM h GROUP BY share, bin),
+u AS (SELECT *, sum(n) OVER (PARTITION BY lev, source, lang, share ORDER BY bin) AS upto,
+                sum(n) OVER (PARTITION BY lev, source, lang, share) AS total FROM l),
+q AS (SELECT lev, source, lang, share, max(total) AS n,
+             min(bin) FILTER (upto >= ceil(total * 0.5::DOUBLE)) AS mid, min(bin) FILTER (upto >= ceil(total * 0.9::DOUBLE)) AS hi,
+             min(bin) FILTER (upto >= ceil(total * (1 - 0.9::DOUBLE))) AS lo FROM u GROUP BY ALL),
+k AS (SELECT lev, source, lang, share, n, CASE WHEN mid < 64 THEN mid ELSE (mid - (mid // 32 - 1) * 32 + 1) * (1 << (mid // 32 - 1)::INT) - 1 END AS mid, CASE WHEN hi < 64 THEN hi ELSE (hi - (hi // 32 - 1) * 32 + 1) * (1 << (hi // 32 - 1)::INT) - 1 END AS hi, CASE WHEN lo < 64 THEN lo ELSE (lo - (lo // 32 - 1) * 32 + 1) * (1 << (lo // 32 - 1)::INT) - 1 END AS lo FROM q),
+x AS (SELECT o.source, o.lang, o.share,
+             CASE WHEN o.n >= 100 THEN o.mid WHEN m.n >= 100 THEN m.mid ELSE a.mid END AS mid,
+             CASE WHEN o.n >= 100 THEN o.hi WHEN m.n >= 100 THEN m.hi ELSE a.hi END AS hi,
+             CASE WHEN o.n >= 100 THEN o.lo WHEN m.n >= 100 THEN m.lo ELSE a.lo END AS lo
+      FROM k o JOIN k m ON o.lev = 0 AND m.lev = 1 AND o.lang IS NOT DISTINCT FROM m.lang AND o.share = m.share
+               JOIN k a ON a.lev = 2 AND o.share = a.share),
+f AS (SELECT source, lang,
+             max(mid + greatest(4 * (hi - mid), 500)) FILTER (share = 'symbols') AS f1,
+             max(mid + greatest(4 * (hi - mid), 3000)) FILTER (share = 'dup_lines') AS f2,
+             max(mid + greatest(4 * (hi - mid), 1000)) FILTER (share = 'repeats') AS f3,
+             max(mid + greatest(4 * (hi - mid), 5000)) FILTER (share = 'word_length') AS f4,
+             max(mid - greatest(4 * (mid - lo), 1500)) FILTER (share = 'word_length') AS f5 FROM x GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (
+           (word_chars > 0 AND (n_symbols * 10000) // word_chars > f1) OR (n_lines > 0 AND (n_dup_lines * 10000) // n_lines > f2)
+           OR (n_words > 0 AND ((n_repeat_words * 10000) // n_words > f3 OR (word_chars * 10000) // (n_words * 20) > f4
+                                OR (word_chars * 10000) // (n_words * 20) < f5))) AS kept
+FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source AND c.lang IS NOT DISTINCT FROM f.lang
+"""}
+
+
 def llm_oracle() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
