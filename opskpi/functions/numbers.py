@@ -11,21 +11,6 @@ def try_decimal(c: Column, precision: int = 18, scale: int = 2) -> Column:
     return c.try_cast(f"decimal({precision},{scale})")
 
 
-def numeric_or_zero(c: Column) -> Column:
-    """Whole number held in text, 0 when it is not numeric."""
-    return F.coalesce(c.try_cast("bigint"), F.lit(0).cast("bigint"))
-
-
 def qty_day_diff(a: Column, b: Column) -> Column:
     """Day difference of two *quantities* read as day numbers: floor(b) - floor(a)."""
     return (F.floor(b) - F.floor(a)).cast("bigint")
-
-
-def money(c: Column) -> Column:
-    """Money as double for the payload (exact decimal arithmetic before this)."""
-    return c.cast("double")
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    """Division that yields NULL for a zero divisor instead of failing."""
-    return F.try_divide(a, b)

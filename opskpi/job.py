@@ -1,8 +1,8 @@
 """Batch entry point: ``spark-submit opskpi/job.py --tables <dir> --out <dir> [--as-of ...]``.
 
 Reads the ERP relations from Parquet (one dataset per relation under
-``--tables``) or, with ``--jdbc``, from SQL Server using the DATABASE_*
-settings in the environment; writes the KPI snapshot, tables and CSV exports
+``--tables``) or, with ``--jdbc``, from a database described by an options
+file (see ``opskpi/sources/jdbc.py``); writes the KPI snapshot, tables and CSV exports
 for one as-of time.  The checkpoint folder comes from the session's
 ``spark.checkpoint.dir`` (set it to shared storage on a cluster).
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 from datetime import datetime
 
 from pyspark.sql import SparkSession
@@ -26,7 +25,7 @@ from opskpi.sources.tables import Tables
 def main(argv: list[str] | None = None) -> dict[str, str]:
     ap = argparse.ArgumentParser(description=__doc__)
     ap.add_argument("--tables", help="folder with one Parquet dataset per relation")
-    ap.add_argument("--jdbc", action="store_true", help="read the relations from SQL Server")
+    ap.add_argument("--jdbc", help="JSON options file: read the relations from a database")
     ap.add_argument("--out", required=True, help="output folder (shared storage)")
     ap.add_argument("--as-of", default=None, help="evaluation time, ISO format (default: now)")
     ap.add_argument("--params", default="{}", help="JSON object of metric parameters")
@@ -38,8 +37,7 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     names = [r.name for r in RELATIONS]
     if args.jdbc:
         from opskpi.sources import jdbc
-        settings = jdbc.settings_from(os.environ)
-        tables = jdbc.jdbc_tables(spark, settings, {n: n for n in names})
+        tables = jdbc.jdbc_tables(spark, jdbc.load_mapping(spark, args.jdbc), names)
     else:
         if not args.tables:
             ap.error("--tables is required unless --jdbc is given")

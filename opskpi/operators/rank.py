@@ -13,8 +13,11 @@ whole metric into one task.  Instead:
    ids are consecutive and ordered, the partition index sits in the high bits;
 3. checkpoint the tagged rows, so the sort runs once and the ids are fixed;
 4. count rows per (group, partition) — at most #partitions + #groups rows —
-   turn the counts into offsets and join them back (that table's size is
-   bounded by the partition count, so it is broadcast).
+   turn the counts into offsets and join them back on (group, partition).
+
+The checkpoint files of finished ranks are removed by Spark's context cleaner
+(``spark.cleaner.referenceTracking.cleanCheckpoints``, set by the session
+builder).
 """
 
 from __future__ import annotations
@@ -45,10 +48,10 @@ def ranked(df: DataFrame, group: str, order: Sequence[Column], rank_col: str = "
     w = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     joined = tagged.join(
-        F.broadcast(offsets),
+        offsets,
         (F.col(group).eqNullSafe(F.col("_g"))) & (part == F.col("_p")),
         "inner",
     )
     return joined.withColumn(
-        rank_col, (F.col("_before") + F.col("_rid") - F.col("_first") + 1).cast("int")
+        rank_col, (F.col("_before") + F.col("_rid") - F.col("_first") + 1).cast("bigint")
     ).drop("_g", "_p", "_first", "_n", "_before", "_rid")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from opskpi.functions import dates as S
 from opskpi.functions.clock import AsOf
-from opskpi.functions.text import fold, label, left, text_eq, text_ne
+from opskpi.functions.text import key_eq, fold, label, left, text_eq, text_ne
 from opskpi.operators.relational import anti_exception, semi_filter
 from opskpi.plans.metric import chart
 from opskpi.sources.tables import Tables
@@ -33,23 +33,23 @@ def big(n: int):
     return F.lit(n).cast("bigint")
 
 
-def po_label(cut: int = 50):
-    """'PO/line : part : supplier' cut to ``cut`` characters."""
-    return left(label(C("PONum"), "/", C("PODetItemNum"), " : ", C("PODetPart"), " : ",
-                      C("POSuppAddressName")), cut)
+def po_label(cut: int | None = 50):
+    """'PO/line : part : supplier', cut to ``cut`` characters if given."""
+    full = label(C("PONum"), "/", C("PODetItemNum"), " : ", C("PODetPart"), " : ", C("POSuppAddressName"))
+    return full if cut is None else left(full, cut)
 
 
 # --------------------------------------------------------------------------
 @chart("D1a1", "Overdue Purchase Orders (Promised)", XY, (("value", "desc"),), PAGE,
        x_label="Days Late", formatter="integer",
        note="latest-date sentinels written as slash text in the source; built as an exclusion "
-            "of the sentinel dates (NULL latest drops out). Label cut to 50 (source appends '50').")
+            "of the sentinel dates (NULL latest drops out). The label is kept whole.")
 def d1a1(t: Tables, clock: AsOf, promised_after: date = S.PROMISED_CUTOFF) -> DataFrame:
     po = t["AllLivePO"]
     p = C("PODetDatePromised")
     return (po.where(clock.age_gt(p, 0) & (p > F.lit(promised_after))
                      & S.sentinel_not_in(C("PODetDateLatest"), S.D1A1_LATEST_EXCLUDED))
-            .select(po_label().alias("label"), clock.age(p).alias("value")))
+            .select(po_label(None).alias("label"), clock.age(p).alias("value")))
 
 
 @chart("D1b", "Unknown Delivery Date Purchase Orders", XY, (("value", "asc"),), PAGE,
@@ -152,7 +152,7 @@ def demand_lines(t: Tables, clock: AsOf) -> DataFrame:
     value = C("PODetUnitPrice") * C("PODetQtyReq")
     lines = po.where((value > 100) & S.sentinel_not_in(C("PODetDatePromised"), S.D3_PROMISED_EXCLUDED))
     lines = anti_exception(lines, t["PONoDemandOK"], [("PONum", "PO"), ("PODetItemNum", "Line")])
-    lines = lines.join(items, lines["PODetPart"] == items["PartNo"], "left")
+    lines = lines.join(items, key_eq(lines["PODetPart"], items["PartNo"]), "left")
     lines = lines.join(emp, lines["POBuyer"] == emp["BadgeNo"], "left")
     wo, so = C("MinOfWOSchedStartDate"), C("MinOfSOLinePromisedDate")
     lines = (lines.withColumn("RequiredDate", S.earliest_of(wo, so))
@@ -172,7 +172,9 @@ def demand_label():
        formatter="integer")
 def d3a(t: Tables, clock: AsOf) -> DataFrame:
     rows = demand_lines(t, clock)
-    rows = rows.where(C("RequiredDate") > F.date_add(C("PODetDatePromised"), 28))
+    # the promise keeps its time of day
+    promised = C("PODetDatePromised").cast("timestamp_ntz") + F.expr("interval 28 days")
+    rows = rows.where(C("RequiredDate").cast("timestamp_ntz") > promised)
     return rows.select(demand_label().alias("label"), clock.due(C("RequiredDate")).alias("value"),
                        clock.due(C("PODetDatePromised")).alias("target"), big(0).alias("target_start"))
 
@@ -251,10 +253,6 @@ def excess_columns(df: DataFrame) -> DataFrame:
         * F.try_divide(C("ExcessQty").cast("double"), C("PartUOMUOPConv").cast("double")))
 
 
-def max_unit_price(po: DataFrame) -> DataFrame:
-    return po.groupBy("PODetPart").agg(F.max("PODetUnitPrice").alias("MaxOfPODetUnitPrice"))
-
-
 @chart("D8", "Excess PO Qty (Top 20 by Excess Value > £20)", XY, (("value", "desc"),), PAGE,
        limit=20, x_label="Excess PO Qty Value £", formatter="integer")
 def d8(t: Tables, clock: AsOf) -> DataFrame:
@@ -264,13 +262,13 @@ def d8(t: Tables, clock: AsOf) -> DataFrame:
         .withColumn("_has_buyer", C("_badge").isNotNull())
     # one pass over the PO lines: highest price over all lines, earliest
     # promise over lines with a known buyer (the inner-join rows)
-    per_part = (flagged.groupBy("PODetPart")
-                .agg(F.max("PODetUnitPrice").alias("MaxOfPODetUnitPrice"),
+    per_part = (flagged.groupBy(fold(C("PODetPart")).alias("_part"))
+                .agg(F.min("PODetPart").alias("PODetPart"), F.max("PODetUnitPrice").alias("MaxOfPODetUnitPrice"),
                      F.min(F.when(C("_has_buyer"), C("PODetDatePromised"))).alias("MinPromised"),
                      F.max(C("_has_buyer").cast("int")).alias("_any_buyer"))
                 .where(C("_any_buyer") == 1))
     items = t["AllItems"].where(C("PartMinStockLev") == 0)
-    j = excess_columns(per_part.join(items, per_part["PODetPart"] == items["PartNo"], "inner"))
+    j = excess_columns(per_part.join(items, per_part["_part"] == fold(items["PartNo"]), "inner"))
     j = j.where((C("ExcessCost") > 20) & (C("ExcessQty") > 0)
                 & S.sentinel_not_in(C("MinPromised"), S.D8_MIN_PROMISED_EXCLUDED))
     return (j.select("PODetPart", "ExcessCost", "ExcessQty").distinct()
@@ -284,11 +282,11 @@ def due_soon_lines(t: Tables, clock: AsOf, strict: bool, keep_tracker: bool = Fa
     supplier not yet confirmed on the tracker."""
     po = t["AllLivePO"]
     p = C("PODetDatePromised")
-    window = clock.due_lt(p, 14) if strict else clock.due_le(p, 14)
+    window = clock.date_lt_now(p, 14) if strict else clock.due_le(p, 14)
     lines = po.where(window & ((C("PODetQtyReq") - C("PODetQtyRec")) > 0)
                      & S.sentinel_free(C("PODetDateLatest"), S.D9_EXCLUDED)
                      & S.sentinel_free(p, S.D9_EXCLUDED))
-    lines = semi_filter(lines, t["AllItems"], [("PODetPart", "PartNo")])
+    lines = semi_filter(lines, t["AllItems"], [("PODetPart", "PartNo")], folded=True)
     oob = t["OOB_TRACKER_RECEIVED"].where(text_eq(C("RECEIVED"), "N"))
     lines = lines.join(oob, fold(lines["POSuppAddressName"]) == fold(oob["SuppName"]),
                        "inner" if keep_tracker else "left_semi")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from opskpi.functions import dates as S
 from opskpi.functions.clock import AsOf
 from opskpi.functions.text import fold, label, text_eq
-from opskpi.plans.deliverables import (demand_lines, due_soon_lines, excess_columns, max_unit_price,
-                                       pending_approval, queried_pos)
+from opskpi.plans.deliverables import (demand_lines, due_soon_lines, excess_columns, pending_approval,
+                                       queried_pos)
 from opskpi.plans.inventory import expiring_lots
 from opskpi.plans.metric import table
 from opskpi.plans.tables import PARTS_HEADERS, parts_to_purchase
@@ -90,12 +90,18 @@ def i15(t: Tables, clock: AsOf) -> DataFrame:
 def d8(t: Tables, clock: AsOf) -> DataFrame:
     po = t["AllLivePO"]
     emp = t["employees"].select("BadgeNo", "Name")
-    lines = po.join(emp, po["POBuyer"] == emp["BadgeNo"], "inner")
-    per = lines.groupBy("PODetPart", "Name", "PONum").agg(F.min("PODetDatePromised").alias("MinPromised"))
+    # one pass over the PO lines: per (part, buyer, PO) the earliest promise and
+    # the highest price; the part's highest price (over lines of any buyer,
+    # known or not) comes from that result
+    grain = po.groupBy(fold(C("PODetPart")).alias("_part"), "POBuyer", "PONum").agg(
+        F.min("PODetPart").alias("PODetPart"), F.min("PODetDatePromised").alias("_promised"),
+        F.max("PODetUnitPrice").alias("_price"))
+    top = grain.groupBy(C("_part").alias("_top_part")).agg(F.max("_price").alias("MaxOfPODetUnitPrice"))
+    per = grain.join(emp, C("POBuyer") == emp["BadgeNo"], "inner").groupBy("_part", "Name", "PONum").agg(
+        F.min("PODetPart").alias("PODetPart"), F.min("_promised").alias("MinPromised"))
     items = t["AllItems"].where(C("PartMinStockLev") == 0)
-    j = per.join(items, per["PODetPart"] == items["PartNo"], "inner")
-    j = excess_columns(j.join(max_unit_price(po).withColumnRenamed("PODetPart", "_mp_part"),
-                              C("PODetPart") == C("_mp_part"), "inner"))
+    j = per.join(items, per["_part"] == fold(items["PartNo"]), "inner")
+    j = excess_columns(j.join(top, C("_part") == C("_top_part"), "inner"))
     j = j.where((C("ExcessCost") > 20) & (C("ExcessQty") > 0)
                 & S.sentinel_not_in(C("MinPromised"), S.D8_MIN_PROMISED_EXCLUDED))
     return j.select("PODetPart", "Name", "ExcessCost", "ExcessQty", "PartStockActive", "DemandWO", "DemandSO",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from opskpi.functions import dates as S
 from opskpi.functions.clock import AsOf, days_between
 from opskpi.functions.numbers import qty_day_diff, try_decimal
-from opskpi.functions.text import label, left, none_like, text_eq, text_ne, text_not_in, text_not_like
+from opskpi.functions.text import fold, key_eq, label, left, none_like, text_eq, text_ne, text_not_in, text_not_like
 from opskpi.operators.classify import first_nonzero_class
 from opskpi.operators.relational import repeat_by_matches
 from opskpi.plans.metric import chart
@@ -80,7 +80,7 @@ def i6(t: Tables, clock: AsOf) -> DataFrame:
 @chart("I10_material", "Material Only WO (Start Date 12/12/12)", XY, (("value", "desc"),), PAGE,
        x_label="Days Until Scheduled Start", formatter="integer",
        note="the left join to the part master adds no column but can repeat rows; kept, as a "
-            "count-and-repeat so a duplicated part number cannot swamp one task")
+            "an inner join plus an anti-join, whose hot keys AQE can split")
 def i10(t: Tables, clock: AsOf) -> DataFrame:
     wo = t["worksOrder"].where(
         text_ne(C("WOPartNo"), "PROCEDURES") & S.sentinel_in(C("WOEarliestStartDate"), S.MATERIAL_ONLY_START)
@@ -118,7 +118,7 @@ def i4(t: Tables, clock: AsOf) -> DataFrame:
     grn = t["AllLiveGRN"].where((C("GRNRequiresRelease") == 1) & text_not_like(C("GRNLocation"), "MRB%")
                                 & text_ne(C("GRNLocation"), "GREY MARKET INSPECTION"))
     items = t["AllItems"].select("PartNo", "PartDescription")
-    j = grn.join(items, grn["GRNPartNo"] == items["PartNo"], "left")
+    j = grn.join(items, key_eq(grn["GRNPartNo"], items["PartNo"]), "left")
     keys = j.select("GRNNo", "GRNPartNo", "PartDescription", "GRNDateReceived").distinct()
     return keys.select(
         left(label(C("GRNNo"), " <", C("GRNPartNo"), "> ", C("PartDescription")), 25).alias("label"),
@@ -177,7 +177,7 @@ def i11(t: Tables, clock: AsOf) -> DataFrame:
     so = (t["AllSO"].where(qty_day_diff(C("SOLineShipQty"), C("SOLineQty")) > 0)
           .select("SONo", "SOLineNo", "SOLinePromisedDate"))
     j = wo.join(so, (wo["WOLineNo"] == so["SOLineNo"]) & (wo["WOSalesOrder"] == so["SONo"]), "inner")
-    j = j.where(C("WOSchedFinishDate") > C("SOLinePromisedDate"))
+    j = j.where(days_between(C("SOLinePromisedDate"), C("WOSchedFinishDate")) > 0)
     return j.select(
         label(C("WONo"), " <", C("WOSalesOrder"), "/", C("WOLineNo"), "> ", C("WOPartNo")).alias("label"),
         days_between(C("SOLinePromisedDate"), C("WOSchedFinishDate")).alias("value"))
@@ -191,7 +191,7 @@ def expiring_lots(t: Tables, clock: AsOf) -> DataFrame:
                                 & text_not_like(C("GRNLocation"), "%QUARANTINE%"))
     items = t["AllItems"].select("PartNo", "PartDescription", "PartLeadTime", "PartGroupCode",
                                  "DemandSO", "DemandWO", "PartStockActive")
-    j = grn.join(items, grn["GRNPartNo"] == items["PartNo"], "inner")
+    j = grn.join(items, key_eq(grn["GRNPartNo"], items["PartNo"]), "inner")
     return j.select(
         "GRNNo", "GRNPartNo", "PartDescription", "GRNQtyLeft", "PartLeadTime",
         clock.due(C("GRNExpiryDate")).alias("DaysTillExpiry"), "GRNExpiryDate", "PartGroupCode",
@@ -212,7 +212,7 @@ def i13(t: Tables, clock: AsOf) -> DataFrame:
                                    & (C("WOQtyIssuedToDate") < C("WOBOMTotalRequired"))
                                    & (C("WOQtyIssuedToDate") >= 0))
     items = t["AllItems"].where(text_not_like(C("PartGroupCode"), "CONSUMABLE%")).select("PartNo")
-    partial = (bom.join(items, bom["WOBOMChildPartNo"] == items["PartNo"], "inner")
+    partial = (bom.join(items, key_eq(bom["WOBOMChildPartNo"], items["PartNo"]), "inner")
                .groupBy("WONo", "WOPartNo").agg(F.count("WOBOMChildPartNo").alias("QtyItemsPartialKit")))
     done = t["worksOrder"].where(text_eq(C("WOStatusDescription"), "Completed")).select(C("WONo").alias("_wo"))
     j = partial.join(done, partial["WONo"] == done["_wo"], "inner").where(C("QtyItemsPartialKit") > 0)
@@ -225,7 +225,7 @@ def i13(t: Tables, clock: AsOf) -> DataFrame:
             "not multiply BOM lines by lots")
 def i14(t: Tables, clock: AsOf) -> DataFrame:
     grn = t["AllLiveGRN"].where(C("GRNPartNo").isNotNull())
-    lots = grn.groupBy("GRNPartNo", "GRNNo").agg(
+    lots = grn.groupBy(fold(C("GRNPartNo")).alias("_lot_part"), "GRNNo").agg(
         F.sum(try_decimal(C("GRNQtyLeft"), 18, 4)).alias("GRNSumQtyLeft"),
         F.max(try_decimal(C("GRNUnitCost"), 18, 4)).alias("GRNMaxUnitCost"))
     wob = t["worksOrderBOM"].where((C("WOBOMQty") == 0) & text_ne(C("WOBOMChildPartNo"), "DNF"))
@@ -234,11 +234,12 @@ def i14(t: Tables, clock: AsOf) -> DataFrame:
         .select("PartNo", "PartDescription", "PartDefLocation", "PartGroupCode")
     wo = t["worksOrder"].where(text_ne(C("WOStatusDescription"), "Completed")
                                & ((C("WOQty") - C("WOQtyOS")) == 0)).select(C("WONo").alias("_wo"))
-    bom = wob.join(items, wob["WOBOMChildPartNo"] == items["PartNo"], "inner") \
+    bom = wob.join(items, key_eq(wob["WOBOMChildPartNo"], items["PartNo"]), "inner") \
         .join(wo, wob["WONo"] == wo["_wo"], "inner")
-    per_part = bom.groupBy("WOBOMChildPartNo", "PartDescription", "PartDefLocation", "PartGroupCode") \
-        .agg(F.count("WONo").alias("CountOfWONo"))
-    stock = per_part.join(lots, per_part["WOBOMChildPartNo"] == lots["GRNPartNo"], "inner") \
+    per_part = bom.groupBy(fold(C("WOBOMChildPartNo")).alias("_part"), "PartDescription", "PartDefLocation",
+                           "PartGroupCode") \
+        .agg(F.min("WOBOMChildPartNo").alias("WOBOMChildPartNo"), F.count("WONo").alias("CountOfWONo"))
+    stock = per_part.join(lots, per_part["_part"] == lots["_lot_part"], "inner") \
         .where(C("GRNSumQtyLeft") > 0) \
         .withColumn("ApproxSurplusCost", F.round(C("GRNSumQtyLeft") * C("GRNMaxUnitCost"), 0)) \
         .where(C("ApproxSurplusCost") > 20)

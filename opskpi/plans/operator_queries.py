@@ -259,6 +259,6 @@ FROM ({O.BODIES['kpi_Q1'].strip()})""",
 SELECT label, CAST(row_number() OVER (
          ORDER BY lower(regexp_extract(label, '^(\\D*)', 1)) NULLS FIRST,
                   TRY_CAST(regexp_extract(label, '(\\d+)', 1) AS DECIMAL(38,0)) NULLS FIRST,
-                  lower(label) NULLS FIRST, label NULLS FIRST) AS INTEGER) AS row_rank
+                  lower(label) NULLS FIRST, label NULLS FIRST) AS BIGINT) AS row_rank
 FROM ({O.BODIES['kpi_D12'].strip()})""",
 }

@@ -37,7 +37,8 @@ def dates(*isos: str) -> str:
     return "(" + ", ".join(f"DATE '{d}'" for d in isos) + ")"
 
 
-POLBL = "left(concat(PONum, '/', PODetItemNum, ' : ', PODetPart, ' : ', POSuppAddressName), 50)"
+POLBL_FULL = "concat(PONum, '/', PODetItemNum, ' : ', PODetPart, ' : ', POSuppAddressName)"
+POLBL = f"left({POLBL_FULL}, 50)"
 
 D9_SET = dates("2001-01-01", "2018-12-31", "2081-12-25", "2111-01-01", "2081-01-04",
                "2010-10-10", "2009-09-09", "2008-08-08", "2002-02-02")
@@ -46,7 +47,7 @@ BODIES: dict[str, str] = {}
 
 # ---------------------------------------------------------------- deliverables
 BODIES["kpi_D1a1"] = f"""
-SELECT {POLBL} AS label, {age('PODetDatePromised')} AS value
+SELECT {POLBL_FULL} AS label, {age('PODetDatePromised')} AS value
 FROM AllLivePO
 WHERE {age('PODetDatePromised')} > 0 AND PODetDatePromised > DATE '1996-01-01'
   AND PODetDateLatest NOT IN {dates('2001-01-01', '2008-08-08', '2009-09-09', '2010-10-10')}
@@ -203,13 +204,10 @@ WHERE {due('po.PODetDatePromised')} <= 14 AND po.PODetQtyReq - po.PODetQtyRec >
 """
 
 BODIES["kpi_D12"] = f"""
-WITH h AS (
-  SELECT SONo, SOCustID, SOLinePromisedDate, SODescription, SOLineQty, SOLineShipQty, SOLineNo
-  FROM AllSO
-  GROUP BY SONo, SOCustID, SOLinePromisedDate, SODescription, SOLineQty, SOLineShipQty, SOLineNo
-  HAVING {ci('SOCustID')} <> 'meg-vmi' AND {ci('SODescription')} = 'on hold')
-SELECT concat(SONo, ' (', SOCustID, ') - ', SOLineNo) AS label, {due('SOLinePromisedDate')} AS value
-FROM h GROUP BY SONo, SOCustID, SOLineNo, SOLinePromisedDate
+SELECT concat(so, ' (', cust, ') - ', line) AS label, days AS value
+FROM (SELECT DISTINCT SONo AS so, SOCustID AS cust, SOLineNo AS line, SOLinePromisedDate AS promised,
+             {due('SOLinePromisedDate')} AS days
+      FROM AllSO WHERE {ci('SODescription')} = 'on hold' AND {ci('SOCustID')} <> 'meg-vmi')
 """
 
 
@@ -262,14 +260,15 @@ FROM AllLiveGRN WHERE {ci('GRNLocation')} = 'grey market inspection'
 """
 
 BODIES["kpi_I4"] = f"""
-SELECT left(concat(g.GRNNo, ' <', g.GRNPartNo, '> ', i.PartDescription), 25) AS label,
-       {age('g.GRNDateReceived')} AS value, CAST(5 AS BIGINT) AS target
-FROM AllLiveGRN g
-LEFT JOIN AllItems i ON g.GRNPartNo = i.PartNo
-LEFT JOIN AllWOPartDemand d ON g.GRNPartNo = d.PartNo
-WHERE g.GRNRequiresRelease = 1 AND NOT (rtrim(g.GRNLocation) ILIKE 'MRB%')
-  AND {ci('g.GRNLocation')} <> 'grey market inspection'
-GROUP BY g.GRNNo, g.GRNPartNo, i.PartDescription, g.GRNDateReceived, d.PartNo
+WITH waiting AS (
+  SELECT DISTINCT GRNNo AS lot, GRNPartNo AS part, GRNDateReceived AS received FROM AllLiveGRN
+  WHERE GRNRequiresRelease = 1 AND {ci('GRNLocation')} NOT LIKE 'mrb%'
+    AND {ci('GRNLocation')} <> 'grey market inspection'),
+named AS (
+  SELECT DISTINCT lot, part, received, PartDescription AS what FROM waiting LEFT JOIN AllItems ON PartNo = part)
+SELECT left(concat(lot, ' <', part, '> ', what), 25) AS label, {age('received')} AS value,
+       CAST(5 AS BIGINT) AS target
+FROM named
 """
 
 _I7_RED = "TRY_CAST(s.LOST_STOCK_RED AS DECIMAL(18,2))"
@@ -481,7 +480,7 @@ _NOT_READY = "('to be reviewed', 'in dev', 'engineering hold', 'npi', 'caution',
 
 def _print_queue(status_cond: str, part_cond: str) -> str:
     return f"""
-SELECT left(concat(w.WONo, ' (', w.WOSchedStartDate, ') : ', w.WOPartNo), 40) AS label,
+SELECT concat(w.WONo, ' (', w.WOSchedStartDate, ') : ', w.WOPartNo) AS label,
        {due('w.WOSchedStartDate')} AS value, CAST(7 AS BIGINT) AS target, CAST(0 AS BIGINT) AS target_start
 FROM worksOrder w JOIN AllItems i ON w.WOPartNo = i.PartNo LEFT JOIN PV601 p ON w.WONo = p.WorksOrder
 GROUP BY w.WOSchedStartDate, i.StatusDescription, w.WOQtyOS, w.WOStatusDescription, p.PrintedBy, w.WOPartNo,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from opskpi.functions import dates as S
 from opskpi.functions import params as P
 from opskpi.functions.clock import AsOf
-from opskpi.functions.text import (any_like, label, left, none_like, text_eq, text_in, text_like,
+from opskpi.functions.text import (key_eq, any_like, label, left, none_like, text_eq, text_in, text_like,
                                    text_not_in)
 from opskpi.plans.metric import chart
 from opskpi.sources.tables import Tables
@@ -49,7 +49,7 @@ def print_queue(t: Tables, clock: AsOf, ready: bool) -> DataFrame:
     status = C("StatusDescription")
     status_ok = text_not_in(status, NOT_READY_STATUSES) if ready else text_in(status, NOT_READY_STATUSES)
     items = t["AllItems"].where(status_ok).select("PartNo", "StatusDescription")
-    j = wo.join(items, wo["WOPartNo"] == items["PartNo"], "inner")
+    j = wo.join(items, key_eq(wo["WOPartNo"], items["PartNo"]), "inner")
     # "not printed": left join + PrintedBy IS NULL, exactly as a WO with a
     # NULL-printer row still passes even when another row names a printer
     # the print log is the non-preserved side: distinct (WO, printer) pairs are
@@ -59,14 +59,14 @@ def print_queue(t: Tables, clock: AsOf, ready: bool) -> DataFrame:
     keys = j.select("WOSchedStartDate", "StatusDescription", "WOQtyOS", "WOStatusDescription", "PrintedBy",
                     "WOPartNo", "WOEarliestStartDate", "WONo").distinct()
     return keys.select(
-        left(label(C("WONo"), " (", C("WOSchedStartDate"), ") : ", C("WOPartNo")), 40).alias("label"),
+        label(C("WONo"), " (", C("WOSchedStartDate"), ") : ", C("WOPartNo")).alias("label"),
         clock.due(C("WOSchedStartDate")).alias("value"), big(7).alias("target"),
         big(0).alias("target_start"), C("WOSchedStartDate").alias("_start"))
 
 
 @chart("P1", "TBR / IN-DEV / ENG-HOLD / NPI / CAUTION / DORMANT WO's", XY + ("target", "target_start"),
        (("value", "asc"),), PAGE, x_label="Days Until Start Date", formatter="integer",
-       note="label cut to 40 (source appends '40'); '*REPAIR'/'*RETURN' read as '%REPAIR'/'%RETURN'")
+       note="'*REPAIR'/'*RETURN' read as '%REPAIR'/'%RETURN'; the label is kept whole")
 def p1(t: Tables, clock: AsOf) -> DataFrame:
     return print_queue(t, clock, ready=False)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opskpi.functions import params as P
 from opskpi.functions.clock import AsOf
-from opskpi.functions.text import any_like, label, text_eq, text_like, text_ne, text_not_in
+from opskpi.functions.text import key_eq, any_like, label, text_eq, text_like, text_ne, text_not_in
 from opskpi.operators.relational import left_join_split
 from opskpi.plans.inventory import lots_with_last_transfer
 from opskpi.plans.metric import chart
@@ -45,9 +45,9 @@ def q1(t: Tables, clock: AsOf, part_pattern: str = "%") -> DataFrame:
     # left join written as inner join + anti-join: a hot sales line on the
     # works-order side is split by AQE instead of buffered by one task
     j = left_join_split(so, wo, [("SOLineNo", "WOLineNo"), ("SOLinePartNo", "WOPartNo"), ("SONo", "WOSalesOrder")],
-                        ["WONo", "Location"])
+                        ["WONo", "Location"], folded=("SOLinePartNo",))
     items = t["AllItems"].select("PartNo", C("PartDefCust").alias("Customer"))
-    j = j.join(items, items["PartNo"] == j["SOLinePartNo"], "left")
+    j = j.join(items, key_eq(items["PartNo"], j["SOLinePartNo"]), "left")
     j = j.where(text_ne(C("Location"), "PENDING CUSTOMER") | C("Location").isNull())
     cust = F.trim(C("Customer"))
     cust_part = F.when(F.nullif(cust, F.lit("")).isNotNull(), F.concat(F.lit(" - "), cust)).otherwise(F.lit(""))

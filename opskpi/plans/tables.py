@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opskpi.functions.clock import AsOf
-from opskpi.functions.text import label, left, text_eq
+from opskpi.functions.text import key_eq, label, left, text_eq
 from opskpi.plans.metric import table
 from opskpi.sources.tables import Tables
 
@@ -19,7 +19,7 @@ def i3(t: Tables, clock: AsOf) -> DataFrame:
     si = t["StockIssue"].where((C("IssueUnitCost") * C("IssueQty") > 100) & (C("IssueDate") > clock.now_plus(-4))
                                & text_eq(C("IssueType"), "WRITE_OFF"))
     items = t["AllItems"].select("PartNo", "PartDescription")
-    j = si.join(items, si["IssuePartNo"] == items["PartNo"], "left")
+    j = si.join(items, key_eq(si["IssuePartNo"], items["PartNo"]), "left")
     return j.select(
         left(label(F.date_format(C("IssueDate"), "dd/MM/yyyy"), " - ", C("IssueQty"), " x ", C("IssuePartNo"),
                    " : ", C("PartDescription")), 50).alias("Details"),

@@ -31,6 +31,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("OPSKPI_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -48,13 +49,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch folder is created when it is unset.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master or ""
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    master = spark.sparkContext.master or ""
     if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage on a cluster "
                            "(a machine-local folder would not survive the loss of an executor)")

@@ -7,8 +7,9 @@ projection of one driver table (or one join) with plain SQL expressions that
 Spark and DuckDB evaluate identically, so the Spark plans and the DuckDB
 oracle read the very same relation contents.
 
-Every relation grows with the driver table it derives from, so every KPI's
-work scales with the data.
+Every relation keeps every row of the driver table it derives from, so every
+KPI's work scales with the data; rows without a partner come from a shifted
+key (its negative), rows without a value from a NULL attribute.
 
 Fixed values: the column expressions below are the fixture mapping of the
 project's FIXTURES.md (section 2), kept verbatim so both engines agree.
@@ -16,7 +17,9 @@ project's FIXTURES.md (section 2), kept verbatim so both engines agree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +49,6 @@ class Relation:
     source: str                      # driver table
     columns: tuple[tuple[str, str], ...]
     join: tuple[str, str] | None = None   # (other driver table, ON condition)
-    where: str | None = None
 
 
 # --- fixed values: fixture mapping (FIXTURES.md section 2) -----------------
@@ -128,11 +130,11 @@ RELATIONS: tuple[Relation, ...] = (
         ("GRNLocation", "case when l_suppkey%9=0 then 'QUARANTINE' when l_suppkey%9=1 then 'MRB OTHER' when l_suppkey%9=2 then 'MRB REWORK' when l_suppkey%9=3 then 'GREY MARKET INSPECTION' else 'STORES' end"),
     )),
     Relation("AllGRN_Transfer", "lineitem", (
-        ("TransferGRNNo", "l_orderkey"),
+        ("TransferGRNNo", "case when l_orderkey%4=0 then -l_orderkey else l_orderkey end"),
         ("TranferGRNLineNo", "l_linenumber"),
         ("TransferDate", "cast(l_shipdate as date)+cast(l_suppkey%15 as int)"),
         ("TransferLocation", "case when l_suppkey%9=0 then 'QUARANTINE' else 'STORES' end"),
-    ), where="l_orderkey%4<>0"),
+    )),
     Relation("AllSO", "orders", (
         ("SONo", "o_custkey"),
         ("SOLineNo", "1+(o_orderkey%7)"),
@@ -159,31 +161,31 @@ RELATIONS: tuple[Relation, ...] = (
         ("IssueType", "case when l_returnflag='R' then 'WRITE_OFF' else 'ISSUE' end"),
     )),
     Relation("AllLostStock", "lineitem", (
-        ("GRNNo", "l_orderkey"),
+        ("GRNNo", "case when l_orderkey%50=0 then l_orderkey else -l_orderkey end"),
         ("GRNLineNo", "l_linenumber"),
         ("LOST_STOCK_RED", "case when l_suppkey%4=0 then cast(l_linenumber*10 as string) else '0' end"),
         ("LOST_STOCK_AMBER", "case when l_suppkey%4=1 then cast(l_linenumber*5 as string) else '0' end"),
         ("LOST_STOCK_GREEN", "case when l_suppkey%4=2 then cast(l_linenumber as string) else 'n/a' end"),
         ("MaxOfTransferDate", "cast(l_shipdate as date)+20"),
-    ), where="l_orderkey%50=0"),
+    )),
     Relation("Accident", "orders", (
-        ("Date", "o_orderdate"),
+        ("Date", "case when o_orderkey%8=3 then o_orderdate end"),
         ("Accident_Description", "case when o_orderkey%10=1 then null else o_orderpriority end"),
-    ), where="o_orderkey%8=3"),
+    )),
     Relation("AllWOPartDemand", "part", (
-        ("PartNo", _part_no("p_partkey")),
-    ), where="p_partkey%2=0"),
+        ("PartNo", f"case when p_partkey%2=0 then {_part_no('p_partkey')} end"),
+    )),
     Relation("AllOpenNCR", "orders", (
         ("NonCNo", "o_orderkey"),
         ("NonCPartNo", _WO_PART),
         ("NonCDate", "cast(o_orderdate as date)"),
-    ), where="o_orderkey%25=0"),
+    )),
     Relation("AllOpenNCRActions", "orders", (
-        ("NCR", "o_orderkey"),
+        ("NCR", "case when o_orderkey%25 in (0,5) then o_orderkey else -o_orderkey end"),
         ("Type", "case when o_orderkey%3=0 then 'Corrective' when o_orderkey%3=1 then 'Preventative' when o_orderkey%3=2 then 'Follow Up' end"),
         ("Who", "o_custkey%10"),
         ("Target", "cast(o_orderdate as date)+14"),
-    ), where="o_orderkey%25 in (0,5)"),
+    )),
     Relation("AllCalibration", "customer", (
         ("ToolCompanySerialNo", "concat('T',cast(c_custkey as string))"),
         ("ToolNo", "c_custkey"),
@@ -214,7 +216,7 @@ RELATIONS: tuple[Relation, ...] = (
         ("EnqEstimator", "o_custkey%10"),
         ("EnqFollowUpBy", "(o_custkey+3)%10"),
         ("EnqSalesRep", "(o_custkey+5)%10"),
-    ), where="o_orderkey%3=0"),
+    )),
     Relation("AllTraining", "customer", (
         ("Training_Course", "c_mktsegment"),
         ("Name", "c_name"),
@@ -231,19 +233,19 @@ RELATIONS: tuple[Relation, ...] = (
         ("Status", "case when p_partkey%3=0 then 'Draft' else 'Published' end"),
     )),
     Relation("PV601", "orders", (
-        ("WorksOrder", "o_orderkey"),
+        ("WorksOrder", "case when o_orderkey%4=0 then o_orderkey else -o_orderkey end"),
         ("PrintedBy", "case when o_orderkey%8=0 then null else 'USER' end"),
-    ), where="o_orderkey%4=0"),
+    )),
     Relation("PV658", "lineitem", (
         ("PO", "l_orderkey"),
         ("PO_Line", "case when l_partkey%9=0 then 'n/a' when l_partkey%9=1 then null else cast(l_linenumber as string) end"),
         ("DateRaised", "cast(l_shipdate as date)"),
         ("DateReleased", "case when l_suppkey%3=0 then cast(l_shipdate as date)+5 else null end"),
-    ), where="l_orderkey%10=0"),
+    )),
     Relation("PV658_BuyerEngineer", "orders", (
-        ("PO", "o_orderkey"),
+        ("PO", "case when o_orderkey%2=0 then o_orderkey else -o_orderkey end"),
         ("FirstOfBuyer", "o_orderpriority"),
-    ), where="o_orderkey%2=0"),
+    )),
     Relation("PV718_ObLog", "part", (
         ("Log", "p_partkey"),
         ("Date_Added", "date '2000-06-30' - cast(p_partkey%500 as int)"),
@@ -258,7 +260,7 @@ RELATIONS: tuple[Relation, ...] = (
         ("PartDesc", "p_name"),
         ("Cust", "p_brand"),
         ("UsedIn", "p_type"),
-    ), where="p_partkey%50=0"),
+    )),
     Relation("PV760_DFM", "part", (
         ("DocNo", "p_partkey"),
         ("Type", "p_type"),
@@ -284,9 +286,9 @@ RELATIONS: tuple[Relation, ...] = (
         ("RequiredDate", "date '2000-06-30' + cast(c_custkey%60 as int)"),
     )),
     Relation("PONoDemandOK", "lineitem", (
-        ("PO", "l_orderkey"),
+        ("PO", "case when l_orderkey%13=0 then l_orderkey else -l_orderkey end"),
         ("Line", "l_linenumber"),
-    ), where="l_orderkey%13=0"),
+    )),
     Relation("OOB_TRACKER_RECEIVED", "supplier", (
         ("SuppName", "concat('SUP-',cast(s_suppkey as string))"),
         ("RECEIVED", "case when s_suppkey%3=0 then 'Y' else 'N' end"),
@@ -304,25 +306,11 @@ RELATIONS: tuple[Relation, ...] = (
 RELATION_BY_NAME = {r.name.lower(): r for r in RELATIONS}
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
-
-
-def _scan(spark: SparkSession, path: str) -> DataFrame:
-    """One Parquet scan definition per session and path (the footer/schema is
-    read once; Catalyst still prunes columns and pushes filters per query)."""
-    key = (id(spark), path)
-    if key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(path)
-    return _SCANS[key]
-
-
-def _spark_relation(spark: SparkSession, sf_dir: str, rel: Relation) -> DataFrame:
-    df = _scan(spark, f"{sf_dir}/{rel.source}.parquet")
+def _spark_relation(scan: Callable[[str], DataFrame], rel: Relation) -> DataFrame:
+    df = scan(rel.source)
     if rel.join is not None:
         other, cond = rel.join
-        df = df.join(_scan(spark, f"{sf_dir}/{other}.parquet"), F.expr(cond), "inner")
-    if rel.where is not None:
-        df = df.where(rel.where)
+        df = df.join(scan(other), F.expr(cond), "inner")
     return df.selectExpr(*[f"{expr} AS {col}" for col, expr in rel.columns])
 
 
@@ -334,9 +322,10 @@ def driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
     (one lazily built set per session and folder)."""
     key = (id(spark), sf_dir)
     if key not in _TABLES:
-        _TABLES[key] = Tables({
-            rel.name: (lambda r=rel: _spark_relation(spark, sf_dir, r)) for rel in RELATIONS
-        })
+        # one scan definition per table: footers are read once, Catalyst still
+        # prunes columns and pushes filters per query
+        scan = lru_cache(maxsize=None)(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        _TABLES[key] = Tables({rel.name: (lambda r=rel: _spark_relation(scan, r)) for rel in RELATIONS})
     return _TABLES[key]
 
 
@@ -349,6 +338,5 @@ def duckdb_ctes(names: list[str] | None = None) -> str:
         src = rel.source
         if rel.join is not None:
             src = f"{rel.source} JOIN {rel.join[0]} ON {rel.join[1]}"
-        where = f" WHERE {rel.where}" if rel.where else ""
-        parts.append(f"{rel.name} AS (SELECT {cols} FROM {src}{where})")
+        parts.append(f"{rel.name} AS (SELECT {cols} FROM {src})")
     return ",\n".join(parts)

@@ -1,131 +1,75 @@
-"""Reading the ERP relations straight from SQL Server through Spark's JDBC source.
-
-Settings come from a mapping (pass ``os.environ`` in production, a dict in
-tests).  Large fact relations are read in parallel: give a numeric
-``partition_column`` with bounds and Spark issues ``num_partitions`` range
-queries instead of one.  Dirty reads (the source queries' READUNCOMMITTED
-hint) are set per relation through ``sessionInitStatement``.
+"""ERP relations through Spark's JDBC source, described by a user-supplied file.
+
+The file (JSON) holds what only the user knows - where the database is, what
+its tables and columns are called and how to cut a large table into ranges:
+
+    {
+      "options": {"url": "jdbc:...", "driver": "...", "user": "...", "password": "..."},
+      "relations": {
+        "AllLivePO": {
+          "table": "erp.po_lines",
+          "columns": {"PODetPart": "part_number"},
+          "partition": {"column": "PONum", "lower": 1, "upper": 90000000, "parts": 200},
+          "options": {"sessionInitStatement": "SET TRANSACTION ISOLATION LEVEL READ UNCOMMITTED"}
+        }
+      }
+    }
+
+``options`` are Spark's own JDBC options; those of a relation win over the
+common ones.  ``columns`` maps a relation's column to the source's (others
+keep their names).  Relations in ``FACTS`` grow without bound and must say how
+they are partitioned: one connection must not read them whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
+import json
+from collections.abc import Iterable, Mapping
+from typing import Any
 
 from pyspark.sql import SparkSession
 
 from opskpi.sources.tables import Tables
 
-# --- fixed values: configuration keys and driver ---------------------------
-KEY_SERVER = "DATABASE_SERVER"
-KEY_DATABASE = "DATABASE_NAME"
-KEY_TRUSTED = "DATABASE_TRUSTED_CONNECTION"
-KEY_ENCRYPT = "DATABASE_ENCRYPT"
-KEY_TRUST_CERT = "DATABASE_TRUST_SERVER_CERTIFICATE"
-KEY_USERNAME = "DATABASE_USERNAME"
-KEY_PASSWORD = "DATABASE_PASSWORD"
-KEY_TIMEOUT = "DATABASE_CONNECTION_TIMEOUT"
-JDBC_DRIVER = "com.microsoft.sqlserver.jdbc.SQLServerDriver"
-TRUE_WORDS = {"1", "true", "yes", "y", "on"}
-FALSE_WORDS = {"0", "false", "no", "n", "off"}
-
-
-@dataclass(frozen=True)
-class JdbcSettings:
-    server: str
-    database: str
-    trusted_connection: bool = True
-    encrypt: bool = False
-    trust_server_certificate: bool = True
-    username: str | None = None
-    password: str | None = None
-    login_timeout: int = 10
-
-
-def _required(env: Mapping[str, str], key: str) -> str:
-    value = (env.get(key) or "").strip()
-    if not value:
-        raise ValueError(f"required setting {key!r} is not configured")
-    return value
-
-
-def _flag(env: Mapping[str, str], key: str, default: bool) -> bool:
-    raw = env.get(key)
-    if raw is None:
-        return default
-    word = raw.strip().lower()
-    if word in TRUE_WORDS:
-        return True
-    if word in FALSE_WORDS:
-        return False
-    raise ValueError(f"setting {key!r} must be yes/no or true/false")
-
-
-def settings_from(env: Mapping[str, str]) -> JdbcSettings:
-    timeout_text = (env.get(KEY_TIMEOUT) or "10").strip()
-    try:
-        timeout = int(timeout_text)
-    except ValueError as err:
-        raise ValueError(f"{KEY_TIMEOUT} must be a whole number of seconds") from err
-    if timeout < 1:
-        raise ValueError(f"{KEY_TIMEOUT} must be at least 1 second")
-    trusted = _flag(env, KEY_TRUSTED, True)
-    return JdbcSettings(
-        server=_required(env, KEY_SERVER),
-        database=_required(env, KEY_DATABASE),
-        trusted_connection=trusted,
-        encrypt=_flag(env, KEY_ENCRYPT, False),
-        trust_server_certificate=_flag(env, KEY_TRUST_CERT, True),
-        username=None if trusted else _required(env, KEY_USERNAME),
-        password=None if trusted else _required(env, KEY_PASSWORD),
-        login_timeout=timeout,
-    )
-
-
-def jdbc_url(s: JdbcSettings) -> str:
-    parts = [f"jdbc:sqlserver://{s.server}", f"databaseName={s.database}",
-             f"encrypt={'true' if s.encrypt else 'false'}",
-             f"trustServerCertificate={'true' if s.trust_server_certificate else 'false'}",
-             f"loginTimeout={s.login_timeout}"]
-    if s.trusted_connection:
-        parts.append("integratedSecurity=true")
-    return ";".join(parts)
-
-
-@dataclass(frozen=True)
-class Partitioning:
-    column: str
-    lower: int
-    upper: int
-    num_partitions: int
-
-
-def jdbc_options(s: JdbcSettings, table: str, schema: str = "dbo",
-                 partitioning: Partitioning | None = None, read_uncommitted: bool = False,
-                 fetch_size: int = 10_000, query_timeout: int | None = None) -> dict[str, str]:
-    """Reader options for one relation (``spark.read.format('jdbc').options(**o)``)."""
-    opts = {"url": jdbc_url(s), "driver": JDBC_DRIVER, "dbtable": f"[{schema}].[{table}]",
-            "fetchsize": str(fetch_size)}
-    if not s.trusted_connection:
-        opts["user"] = s.username or ""
-        opts["password"] = s.password or ""
-    if partitioning is not None:
-        opts.update({"partitionColumn": partitioning.column, "lowerBound": str(partitioning.lower),
-                     "upperBound": str(partitioning.upper),
-                     "numPartitions": str(partitioning.num_partitions)})
-    if read_uncommitted:
-        opts["sessionInitStatement"] = "SET TRANSACTION ISOLATION LEVEL READ UNCOMMITTED"
-    if query_timeout is not None:
-        opts["queryTimeout"] = str(query_timeout)
-    return opts
-
-
-def jdbc_tables(spark: SparkSession, s: JdbcSettings, relations: Mapping[str, str],
-                partitioning: Mapping[str, Partitioning] | None = None,
-                read_uncommitted: tuple[str, ...] = ("AllItems",)) -> Tables:
-    """``Tables`` over JDBC: relation name -> source table name."""
-    partitioning = partitioning or {}
-    return Tables.from_jdbc(spark, {
-        name: jdbc_options(s, source, partitioning=partitioning.get(name),
-                           read_uncommitted=name in read_uncommitted)
-        for name, source in relations.items()})
+#: Relations that are logs, ledgers or order lines.
+FACTS = ("AllLivePO", "worksOrder", "worksOrderBOM", "AllLiveGRN", "AllGRN_Transfer", "AllSO", "AllWORec", "StockIssue",
+         "AllLostStock", "AllCR", "AllEnq", "PV601", "PV658", "TransAltEdit")
+FETCH_ROWS = 10_000
+
+
+def load_mapping(spark: SparkSession, path: str) -> dict[str, Any]:
+    """Reads the file through Spark, so it may lie wherever Spark can read."""
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    return json.loads(text)
+
+
+def reader_options(mapping: Mapping[str, Any], relation: str) -> dict[str, str]:
+    """Options of ``spark.read.format('jdbc')`` for one relation."""
+    entry = mapping.get("relations", {}).get(relation, {})
+    out = {"fetchsize": str(FETCH_ROWS), **mapping.get("options", {}), **entry.get("options", {})}
+    if "url" not in out:
+        raise ValueError(f"{relation}: no url in the JDBC options file")
+    if "dbtable" not in out and "query" not in out:
+        out["dbtable"] = entry.get("table", relation)
+    cut = entry.get("partition")
+    if cut:
+        out |= {"partitionColumn": cut["column"], "lowerBound": str(cut["lower"]), "upperBound": str(cut["upper"]),
+                "numPartitions": str(cut["parts"])}
+    if relation in FACTS and "partitionColumn" not in out:
+        raise ValueError(f"{relation} is a growing relation: its entry needs a partition (column, lower, upper, parts)")
+    return {k: str(v) for k, v in out.items()}
+
+
+def renames(mapping: Mapping[str, Any], relation: str) -> dict[str, str]:
+    """Source column -> relation column."""
+    named = mapping.get("relations", {}).get(relation, {}).get("columns", {})
+    return {source: own for own, source in named.items()}
+
+
+def jdbc_tables(spark: SparkSession, mapping: Mapping[str, Any], relations: Iterable[str]) -> Tables:
+    """``Tables`` over JDBC for the named relations."""
+    def loader(name: str):
+        options, columns = reader_options(mapping, name), renames(mapping, name)
+        return lambda: spark.read.format("jdbc").options(**options).load().withColumnsRenamed(columns)
+
+    return Tables({n: loader(n) for n in relations})

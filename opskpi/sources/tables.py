@@ -10,26 +10,52 @@ master both ``AllItems`` and ``allItems``).
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterable, Mapping
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+MAX_KEPT_PLANS = 1024   # built plans kept with a Tables; only plans, never data
+
+
 class Tables:
-    """Lazy, case-insensitive mapping of relation names to DataFrames."""
+    """Lazy, case-insensitive mapping of relation names to DataFrames.
+
+    It also keeps the plans built on it (``plan``), so they live exactly as
+    long as the relations they read; ``fresh`` starts over with the same
+    loaders (new file listings, no plans).  Safe to share between threads.
+    """
 
     def __init__(self, loaders: Mapping[str, Callable[[], DataFrame]]):
         self._loaders = {k.lower(): v for k, v in loaders.items()}
         self._names = {k.lower(): k for k in loaders}
         self._cache: dict[str, DataFrame] = {}
+        self._plans: OrderedDict[tuple, DataFrame] = OrderedDict()
+        self._lock = RLock()
+
+    def plan(self, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+        """The plan built for ``key``, built now if it is not kept."""
+        with self._lock:
+            if key not in self._plans:
+                self._plans[key] = build()
+                while len(self._plans) > MAX_KEPT_PLANS:
+                    self._plans.popitem(last=False)
+            self._plans.move_to_end(key)
+            return self._plans[key]
+
+    def fresh(self) -> "Tables":
+        return Tables({self._names[k]: v for k, v in self._loaders.items()})
 
     def __getitem__(self, name: str) -> DataFrame:
         key = name.lower()
         if key not in self._loaders:
             raise KeyError(f"relation {name!r} is not registered")
-        if key not in self._cache:
-            self._cache[key] = self._loaders[key]()
-        return self._cache[key]
+        with self._lock:
+            if key not in self._cache:
+                self._cache[key] = self._loaders[key]()
+            return self._cache[key]
 
     def __contains__(self, name: str) -> bool:
         return name.lower() in self._loaders
@@ -50,14 +76,13 @@ class Tables:
         Accepts both ``<name>.parquet`` files/folders and bare ``<name>``
         folders (partitioned datasets written by Spark).
         """
-        import os
-
         def loader(name: str) -> Callable[[], DataFrame]:
             def load() -> DataFrame:
-                path = os.path.join(root, f"{name}.parquet")
-                if not os.path.exists(path):
-                    path = os.path.join(root, name)
-                return spark.read.parquet(path)
+                # asked through Hadoop, so object stores and HDFS work like local folders
+                base = root.rstrip("/")
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}.parquet")
+                there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+                return spark.read.parquet(f"{base}/{name}.parquet" if there else f"{base}/{name}")
             return load
 
         return cls({n: loader(n) for n in names})
@@ -84,8 +109,8 @@ class Tables:
     def from_jdbc(cls, spark: SparkSession, reader_options: Mapping[str, Mapping[str, str]]) -> "Tables":
         """Relations read through ``spark.read.format('jdbc')``.
 
-        ``reader_options`` maps relation name -> full option dict as built by
-        :func:`opskpi.sources.jdbc.jdbc_options`.
+        ``reader_options`` maps relation name -> full option dict, see
+        :mod:`opskpi.sources.jdbc`.
         """
         def loader(opts: Mapping[str, str]) -> Callable[[], DataFrame]:
             return lambda: spark.read.format("jdbc").options(**opts).load()

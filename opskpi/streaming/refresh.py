@@ -30,8 +30,8 @@ def start_refresh(spark: SparkSession, tables: Callable[[], Tables], out_dir: st
     requests = spark.readStream.schema(REQUEST_SCHEMA).json(request_dir)
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
-        # refresh requests are a handful of timestamps, not data
-        for row in batch.where("as_of IS NOT NULL").select("as_of").distinct().collect():
+        # one request at a time; the rest of the batch stays with Spark
+        for row in batch.where("as_of IS NOT NULL").select("as_of").distinct().toLocalIterator():
             run_snapshot(spark, tables(), AsOf.parse(row["as_of"]), out_dir, params)
 
     checkpoint = os.path.join(ensure_checkpoint_dir(spark), name)

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -60,23 +62,42 @@ def test_tables_are_case_insensitive(spark):
         t["missing"]
 
 
-def test_jdbc_settings_and_options():
-    env = {"DATABASE_SERVER": "db1", "DATABASE_NAME": "erp", "DATABASE_TRUSTED_CONNECTION": "no",
-           "DATABASE_USERNAME": "u", "DATABASE_PASSWORD": "p", "DATABASE_ENCRYPT": "yes"}
-    s = jdbc.settings_from(env)
-    assert s.login_timeout == 10 and s.encrypt and s.trust_server_certificate and not s.trusted_connection
-    opts = jdbc.jdbc_options(s, "AllLivePO", partitioning=jdbc.Partitioning("PONum", 1, 1000, 16),
-                             read_uncommitted=True)
-    assert opts["url"] == ("jdbc:sqlserver://db1;databaseName=erp;encrypt=true;trustServerCertificate=true;"
-                           "loginTimeout=10")
-    assert opts["dbtable"] == "[dbo].[AllLivePO]" and opts["numPartitions"] == "16"
-    assert opts["user"] == "u" and "READ UNCOMMITTED" in opts["sessionInitStatement"]
-    trusted = jdbc.settings_from({"DATABASE_SERVER": "db1", "DATABASE_NAME": "erp"})
-    assert jdbc.jdbc_url(trusted).endswith("integratedSecurity=true")
-    for bad in ({"DATABASE_SERVER": "db1"}, {**env, "DATABASE_CONNECTION_TIMEOUT": "0"},
-                {**env, "DATABASE_ENCRYPT": "maybe"}, {**env, "DATABASE_CONNECTION_TIMEOUT": "x"}):
-        with pytest.raises(ValueError):
-            jdbc.settings_from(bad)
+def test_jdbc_options_file(spark, tmp_path):
+    mapping = {"options": {"url": "jdbc:x://db1", "driver": "x.Driver", "user": "u", "fetchsize": 5},
+               "relations": {
+                   "AllLivePO": {"table": "erp.po_lines", "columns": {"PODetPart": "part_number"},
+                                 "partition": {"column": "PONum", "lower": 1, "upper": 1000, "parts": 16},
+                                 "options": {"sessionInitStatement": "SET X"}},
+                   "employees": {"options": {"query": "select 1"}}}}
+    path = tmp_path / "jdbc.json"
+    path.write_text(json.dumps(mapping, indent=1))
+    read = jdbc.load_mapping(spark, str(path))
+    assert read == mapping
+    opts = jdbc.reader_options(read, "AllLivePO")
+    assert opts == {"url": "jdbc:x://db1", "driver": "x.Driver", "user": "u", "fetchsize": "5", "dbtable": "erp.po_lines",
+                    "partitionColumn": "PONum", "lowerBound": "1", "upperBound": "1000", "numPartitions": "16",
+                    "sessionInitStatement": "SET X"}
+    assert jdbc.renames(read, "AllLivePO") == {"part_number": "PODetPart"}
+    assert "dbtable" not in jdbc.reader_options(read, "employees")
+    assert jdbc.reader_options(read, "AllItems")["dbtable"] == "AllItems" and jdbc.renames(read, "AllItems") == {}
+    for name in jdbc.FACTS[1:]:
+        with pytest.raises(ValueError, match="partition"):
+            jdbc.reader_options(read, name)
+    with pytest.raises(ValueError, match="url"):
+        jdbc.reader_options({}, "AllItems")
+    tables = jdbc.jdbc_tables(spark, read, ["AllLivePO", "employees"])
+    assert "alllivepo" in tables and tables.names() == ["AllLivePO", "employees"]
+
+
+def test_tables_keep_their_own_plans(spark, tmp_path):
+    path = str(tmp_path / "Rel.parquet")
+    spark.range(3).write.parquet(path)
+    t = Tables.from_parquet(spark, str(tmp_path), ["Rel"])
+    a = t.plan(("k",), lambda: t["rel"].where("id > 0"))
+    assert t.plan(("k",), lambda: None) is a and a.count() == 2
+    spark.range(3, 9).write.mode("append").parquet(path)
+    again = t.fresh()
+    assert again["REL"].count() == 9 and again.plan(("k",), lambda: again["rel"]) is not a
 
 
 def test_export_header_labels_in_metadata(spark):
