@@ -12,14 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opskpi.functions import dates as S
-from opskpi.operators.classify import first_nonzero_class, sign_state, target_interval
-from opskpi.operators.payload import (axis_domain, display_format, numeric_label_key, to_kpi_rows,
-                                      truncate_label)
+from opskpi.functions.clock import AsOf
+from opskpi.functions.text import key_eq
+from opskpi.operators.classify import (first_nonzero_class, in_band, rag_class, sign_state, target_interval,
+                                       threshold_class)
+from opskpi.operators.payload import (axis_domain, display_format, numeric_label_key, sanitize_class, sort_rows,
+                                      to_kpi_rows, truncate_label)
 from opskpi.operators.rank import ranked
 from opskpi.operators.relational import anti_exception, dedupe_then_project, latest_per_key, top_n
 from opskpi.functions.numbers import try_decimal
 from opskpi.plans import oracle_sql as O
-from opskpi.plans.catalog import department_kpi_rows, metric_catalog
+from opskpi.plans.catalog import (DEPARTMENT_ITEMS, ITEM_PAGE, ITEM_QUERY, department_kpi_rows, department_metric,
+                                  item_crosswalk, metric_catalog, normalise_department)
 from opskpi.plans.metric import all_metrics
 from opskpi.plans.queries import AS_OF, DRIVER_PARAMS
 from opskpi.plans.snapshot import kpi_union
@@ -27,6 +31,10 @@ from opskpi.sources.driver import driver_tables
 
 C = F.col
 AXIS_METRICS = ("D1d", "D3a", "Q1", "P10")
+ENTITLED_METRICS = ("Q8", "Q8b", "P10", "D12", "Q3_customer")
+AFTERNOON = AsOf.parse("2000-06-30 14:00:00")
+# department names as users type them, picked by the tool number
+TYPED_DEPARTMENTS = (" Purchasing ", "QA", "eng", "Manufacturing", "warehouse", "ALL")
 
 
 def _chart(t, mid: str) -> DataFrame:
@@ -146,6 +154,83 @@ def op_sort_label_numeric(spark: SparkSession, sf: str) -> DataFrame:
     return ranked(d12.withColumn("_one", F.lit(1)), "_one", keys).drop("_one")
 
 
+def op_value_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """Text that is no number drops its row; NULL becomes 0 under the ``zero`` policy."""
+    t = driver_tables(spark, sf)
+    text = F.when(C("GRNLineNo") % 3 == 0, F.lit(None).cast("string")).otherwise(C("LOST_STOCK_GREEN"))
+    rows = t["AllLostStock"].select(C("GRNNo").alias("label"), text.alias("value"))
+    return to_kpi_rows(rows, "LOST", null_value_policy="zero").select("metric_id", "label", "value")
+
+
+def op_value_label_keys(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    return to_kpi_rows(t["worksOrder"], "WO", value_key="WOQtyOS", label_key="WONo").select("metric_id", "label", "value")
+
+
+def op_sanitize_class(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    return t["AllItems"].select("PartNo", sanitize_class(C("PartGroupCode")).alias("class_name"))
+
+
+def op_sort_modes(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    rows = t["worksOrder"].select(C("WONo").cast("string").alias("label"), C("WOQtyOS").alias("value"), F.lit(1).alias("_g"))
+    return ranked(rows, "_g", [*sort_rows(rows, "descending"), *sort_rows(rows, "label")]).drop("_g")
+
+
+def op_in_band(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    due = AS_OF.due(C("WOSchedStartDate"))
+    end = F.when(C("WONo") % 5 == 0, F.lit(None)).otherwise(F.lit(-30)).cast("bigint")
+    return t["worksOrder"].select("WONo", in_band(due, F.lit(30), end).alias("in_band"))
+
+
+def op_threshold_classes(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    age = AS_OF.age(C("WOSchedStartDate"))
+    return t["worksOrder"].select(
+        "WONo", rag_class(age, 30, 365).alias("by_age"), rag_class(C("WOQtyOS"), 9, 3, higher_is_worse=False).alias("by_qty"),
+        threshold_class(C("WOQtyOS"), 5, otherwise="fine").alias("by_threshold"))
+
+
+def op_item_entitlement(spark: SparkSession, sf: str) -> DataFrame:
+    """KPI rows by dashboard item and department (crosswalk and entitlement matrix)."""
+    t = driver_tables(spark, sf)
+    counts = None
+    for mid in ENTITLED_METRICS:
+        r = to_kpi_rows(_chart(t, mid), mid).groupBy("metric_id").agg(F.count(F.lit(1)).alias("rows"))
+        counts = r if counts is None else counts.unionByName(r)
+    items = item_crosswalk(spark).where(C("kind") == "chart")
+    return (counts.join(items, counts["metric_id"] == items["query_id"]).join(department_metric(spark), "item_id")
+            .select("department", "item_id", "page", "exportable", "rows"))
+
+
+def op_normalise_department(spark: SparkSession, sf: str) -> DataFrame:
+    t = driver_tables(spark, sf)
+    typed = F.element_at(F.array(*map(F.lit, TYPED_DEPARTMENTS)), (C("ToolNo") % len(TYPED_DEPARTMENTS)).cast("int") + 1)
+    typed = F.when(C("ToolNo") % 11 == 0, F.lit(None).cast("string")).otherwise(typed)
+    return t["AllCalibration"].select("ToolNo", normalise_department(typed).alias("department"))
+
+
+def op_folded_part_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Lots whose part numbers come in mixed case with trailing blanks, joined to the part master."""
+    t = driver_tables(spark, sf)
+    part = F.when(C("GRNLineNo") % 2 == 0, F.concat(F.lower("GRNPartNo"), F.lit("  "))).otherwise(C("GRNPartNo"))
+    lots = t["AllLiveGRN"].select("GRNNo", "GRNLineNo", part.alias("GRNPartNo"))
+    items = t["AllItems"].select("PartNo", "PartDescription")
+    return lots.join(items, key_eq(lots["GRNPartNo"], items["PartNo"])).select(
+        "GRNNo", "GRNLineNo", "GRNPartNo", "PartDescription")
+
+
+def op_timestamp_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Comparisons of a timestamp column with an afternoon as-of, to the hour."""
+    t = driver_tables(spark, sf)
+    at = C("WOSchedStartDate").cast("timestamp_ntz") + F.make_dt_interval(hours=(C("WONo") % 24).cast("int"))
+    return t["worksOrder"].select("WONo", at.alias("at")).select(
+        "WONo", AFTERNOON.date_ge_now(C("at"), -360).alias("ge"), AFTERNOON.date_gt_now(C("at"), -360).alias("gt"),
+        AFTERNOON.date_le_now(C("at"), 28).alias("le"), AFTERNOON.date_lt_now(C("at")).alias("lt"))
+
+
 def operator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op_") and callable(fn)}
 
@@ -174,6 +259,16 @@ def _union_sql(ids) -> str:
 _PUR = ("S1_days_since_accident", "Q2_grn", "Q7", "S1", "D1a1", "D1a2", "D1b", "D1d", "D2", "D3b", "D4", "D7", "D8", "D9", "I12", "I14",
         "P3a", "P3b", "P6")
 
+def _item_values() -> str:
+    from opskpi.plans.catalog import EXPORTABLE_ITEMS
+    return ", ".join(f"('{i}', '{ITEM_QUERY.get(i, i)}', '{ITEM_PAGE[i[0]]}', {i in EXPORTABLE_ITEMS})"
+                     for i in DEPARTMENT_ITEMS["all"])
+
+
+def _department_values() -> str:
+    return ", ".join(f"('{d}', '{i}')" for d, items in DEPARTMENT_ITEMS.items() for i in items)
+
+
 OP_ORACLE: dict[str, Callable[[], str]] = {
     "op_latest_event_per_key": lambda: """
 SELECT TransferGRNNo, TranferGRNLineNo, CAST(MAX(TransferDate) AS VARCHAR) AS LastTransfer
@@ -261,4 +356,40 @@ SELECT label, CAST(row_number() OVER (
                   TRY_CAST(regexp_extract(label, '(\\d+)', 1) AS DECIMAL(38,0)) NULLS FIRST,
                   lower(label) NULLS FIRST, label NULLS FIRST) AS BIGINT) AS row_rank
 FROM ({O.BODIES['kpi_D12'].strip()})""",
+    "op_value_policy": lambda: """
+SELECT 'LOST' AS metric_id, CAST(GRNNo AS VARCHAR) AS label, COALESCE(TRY_CAST(v AS DOUBLE), 0) AS value
+FROM (SELECT GRNNo, CASE WHEN GRNLineNo % 3 <> 0 THEN LOST_STOCK_GREEN END AS v FROM AllLostStock)
+WHERE v IS NULL OR TRY_CAST(v AS DOUBLE) IS NOT NULL""",
+    "op_value_label_keys": lambda: """
+SELECT 'WO' AS metric_id, CAST(WONo AS VARCHAR) AS label, CAST(WOQtyOS AS DOUBLE) AS value FROM worksOrder""",
+    "op_sanitize_class": lambda: """
+SELECT PartNo, regexp_replace(regexp_replace(trim(COALESCE(PartGroupCode, '')), '\\s+', ' ', 'g'),
+                              '[^A-Za-z0-9_ -]', '-', 'g') AS class_name FROM AllItems""",
+    "op_sort_modes": lambda: """
+SELECT CAST(WONo AS VARCHAR) AS label, WOQtyOS AS value,
+       row_number() OVER (ORDER BY WOQtyOS DESC NULLS LAST, WONo) AS row_rank FROM worksOrder""",
+    "op_in_band": lambda: f"""
+SELECT WONo, CASE WHEN WONo % 5 <> 0 THEN {O.due('WOSchedStartDate')} BETWEEN -30 AND 30 END AS in_band FROM worksOrder""",
+    "op_threshold_classes": lambda: f"""
+SELECT WONo, CASE WHEN a >= 365 THEN 'red' WHEN a >= 30 THEN 'amber' WHEN a IS NOT NULL THEN 'green' END AS by_age,
+       CASE WHEN q <= 3 THEN 'red' WHEN q <= 9 THEN 'amber' WHEN q IS NOT NULL THEN 'green' END AS by_qty,
+       CASE WHEN q < 5 THEN 'warning' ELSE 'fine' END AS by_threshold
+FROM (SELECT WONo, WOQtyOS AS q, {O.age('WOSchedStartDate')} AS a FROM worksOrder)""",
+    "op_item_entitlement": lambda: f"""
+SELECT department, item_id, page, exportable, rows
+FROM (SELECT metric_id, COUNT(*) AS rows FROM ({_union_sql(ENTITLED_METRICS)}) GROUP BY metric_id)
+JOIN (VALUES {_item_values()}) AS x(item_id, query_id, page, exportable) ON query_id = metric_id
+JOIN (VALUES {_department_values()}) AS d(department, item) ON item = item_id""",
+    "op_normalise_department": lambda: """
+SELECT ToolNo, CASE WHEN ToolNo % 11 = 0 THEN 'all' WHEN ToolNo % 6 = 0 THEN 'pur' WHEN ToolNo % 6 = 1 THEN 'qa'
+                    WHEN ToolNo % 6 = 2 THEN 'eng' WHEN ToolNo % 6 = 3 THEN 'man' ELSE 'all' END AS department
+FROM AllCalibration""",
+    "op_folded_part_join": lambda: """
+SELECT GRNNo, GRNLineNo, part AS GRNPartNo, PartDescription
+FROM (SELECT GRNNo, GRNLineNo, CASE WHEN GRNLineNo % 2 = 0 THEN lower(GRNPartNo) || '  ' ELSE GRNPartNo END AS part
+      FROM AllLiveGRN) JOIN AllItems ON lower(rtrim(part)) = lower(rtrim(PartNo))""",
+    "op_timestamp_bounds": lambda: """
+SELECT WONo, at >= n - INTERVAL 360 DAY AS ge, at > n - INTERVAL 360 DAY AS gt, at <= n + INTERVAL 28 DAY AS le, at < n AS lt
+FROM (SELECT WONo, CAST(WOSchedStartDate AS TIMESTAMP) + to_hours(WONo % 24) AS at,
+             TIMESTAMP '2000-06-30 14:00:00' AS n FROM worksOrder)""",
 }

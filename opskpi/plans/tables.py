@@ -12,9 +12,17 @@ from opskpi.sources.tables import Tables
 
 C = F.col
 
+# --- fixed values: header texts of the tables and exports -------------------
+PARTS_HEADERS = {"PartNo": "Part Number", "PartDescription": "Part Description",
+                 "PartDefLocation": "Stock Location", "FinalStockBalance": "Final Balance"}
+CHANGES_HEADERS = {"When": "When", "TransObjectID": "PartNumber", "TransUser": "Who", "TransMemo": "What"}
+ISSUES_HEADERS = {"Details": "Details (Last 4 Days, Value > £100)", "IssueNotes": "Notes", "Value": "Value"}
+NEW_PARTS_HEADERS = {"PartNo": "PartNo", "PartDesc": "Description", "Cust": "Customer", "UsedIn": "Used In"}
+REVIEWS_HEADERS = {"What": "What", "When": "When", "Who": "Who"}
+
 
 @table("I3", "Stock Write Offs", ("Details", "IssueNotes", "Value"), (("_issued", "desc"),), page="inventory",
-       headers={"Details": "Details (Last 4 Days, Value > £100)", "IssueNotes": "Notes", "Value": "Value"})
+       headers=ISSUES_HEADERS)
 def i3(t: Tables, clock: AsOf) -> DataFrame:
     si = t["StockIssue"].where((C("IssueUnitCost") * C("IssueQty") > 100) & (C("IssueDate") > clock.now_plus(-4))
                                & text_eq(C("IssueType"), "WRITE_OFF"))
@@ -29,7 +37,7 @@ def i3(t: Tables, clock: AsOf) -> DataFrame:
 
 
 @table("D10", "Critical Parts", ("PartNo", "PartDesc", "Cust", "UsedIn"), (), page="deliverables",
-       headers={"PartNo": "PartNo", "PartDesc": "Description", "Cust": "Customer", "UsedIn": "Used In"})
+       headers=NEW_PARTS_HEADERS)
 def d10(t: Tables, clock: AsOf) -> DataFrame:
     return t["PV755"].select("PartNo", "PartDesc", "Cust", "UsedIn")
 
@@ -42,10 +50,6 @@ def parts_to_purchase(t: Tables) -> DataFrame:
         "PartNo", "PartDescription", "PartDefLocation", balance.alias("FinalStockBalance"))
 
 
-PARTS_HEADERS = {"PartNo": "Part Number", "PartDescription": "Part Description",
-                 "PartDefLocation": "Stock Location", "FinalStockBalance": "Final Balance"}
-
-
 @table("D11", "Parts to be purchased", ("PartNo", "PartDescription", "PartDefLocation", "FinalStockBalance"),
        (), page="deliverables", headers=PARTS_HEADERS)
 def d11(t: Tables, clock: AsOf) -> DataFrame:
@@ -55,7 +59,7 @@ def d11(t: Tables, clock: AsOf) -> DataFrame:
 @table("I15", "Part Detail Changes not checked",
        ("When", "TransObjectType", "TransObjectID", "TransUser", "TransMemo"), (("When", "desc"),),
        page="inventory",
-       headers={"When": "When", "TransObjectID": "PartNumber", "TransUser": "Who", "TransMemo": "What"},
+       headers=CHANGES_HEADERS,
        note="TransObjectType has no header label; the column name is used")
 def i15(t: Tables, clock: AsOf) -> DataFrame:
     te = t["TransAltEdit"]
@@ -64,7 +68,7 @@ def i15(t: Tables, clock: AsOf) -> DataFrame:
 
 
 @table("P8", "Procedures to be reviewed", ("What", "Who", "When"), (("_review", "asc"),), page="productivity",
-       headers={"What": "What", "When": "When", "Who": "Who"})
+       headers=REVIEWS_HEADERS)
 def p8(t: Tables, clock: AsOf) -> DataFrame:
     pr = t["AllProcedures"].where(clock.date_lt_now(C("DocNextReview"), 30) & text_eq(C("Status"), "Published"))
     return pr.select(label(C("DocNumber"), " - ", C("DocName")).alias("What"), C("DocOwner").alias("Who"),
