@@ -70,7 +70,7 @@ def test_defined_cases(spark):
     rows = [(1, None, ARTICLE), (2, "https://x.example/", None), (2, "https://x.example/", None), (None, "no url", "<p>a"),
             (3, "https://x.example/", ""), (4, "https://x.example/", "<p>" + "word " * 40_000)]
     got = run(spark, rows)
-    assert (1, None, "Title\nOne two three.\nFour", 24) in got and got.count((2, "https://x.example/", "", 0)) == 2
+    assert (1, None, "Title\nOne two three.\nFour", 25) in got and got.count((2, "https://x.example/", "", 0)) == 2
     assert (None, "no url", "a", 1) in got and any(r[0] == 4 and r[3] == 199_999 for r in got)
     assert run(spark, []) == []
 
