@@ -174,8 +174,8 @@ def op_sanitize_class(spark: SparkSession, sf: str) -> DataFrame:
 
 def op_sort_modes(spark: SparkSession, sf: str) -> DataFrame:
     t = driver_tables(spark, sf)
-    rows = t["worksOrder"].select(C("WONo").cast("string").alias("label"), C("WOQtyOS").alias("value"), F.lit(1).alias("_g"))
-    return ranked(rows, "_g", [*sort_rows(rows, "descending"), *sort_rows(rows, "label")]).drop("_g")
+    rows = t["worksOrder"].select(C("WONo").cast("string").alias("label"), C("WOQtyOS").alias("value"), F.lit(1).alias("_one"))
+    return ranked(rows, "_one", [*sort_rows(rows, "descending"), *sort_rows(rows, "label")]).drop("_one")
 
 
 def op_in_band(spark: SparkSession, sf: str) -> DataFrame:
@@ -389,7 +389,7 @@ SELECT GRNNo, GRNLineNo, part AS GRNPartNo, PartDescription
 FROM (SELECT GRNNo, GRNLineNo, CASE WHEN GRNLineNo % 2 = 0 THEN lower(GRNPartNo) || '  ' ELSE GRNPartNo END AS part
       FROM AllLiveGRN) JOIN AllItems ON lower(rtrim(part)) = lower(rtrim(PartNo))""",
     "op_timestamp_bounds": lambda: """
-SELECT WONo, at >= n - INTERVAL 360 DAY AS ge, at > n - INTERVAL 360 DAY AS gt, at <= n + INTERVAL 28 DAY AS le, at < n AS lt
-FROM (SELECT WONo, CAST(WOSchedStartDate AS TIMESTAMP) + to_hours(WONo % 24) AS at,
+SELECT WONo, m >= n - INTERVAL 360 DAY AS ge, m > n - INTERVAL 360 DAY AS gt, m <= n + INTERVAL 28 DAY AS le, m < n AS lt
+FROM (SELECT WONo, CAST(WOSchedStartDate AS TIMESTAMP) + to_hours(WONo % 24) AS m,
              TIMESTAMP '2000-06-30 14:00:00' AS n FROM worksOrder)""",
 }
