@@ -203,15 +203,18 @@ class IdMemory:
         self.keys = np.insert(self.keys, where, keys)
 
     def lay_out(self, keys: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all keys in a row, and where those of each end; ``learn(first places)`` gives unknown ones."""
+        """Ids of all keys in a row, and where those of each end; ``learn(first places)`` gives unknown ones.
+
+        Keys are looked up once each and in order, which reads the sorted arrays front to back.
+        """
         if len(self.keys) > self.limit:
             self.clear()
-        at, known = self.find(keys)
+        kinds, first, kind = np.unique(keys, return_index=True, return_inverse=True)
+        at, known = self.find(kinds)
         if not known.all():
-            new = np.flatnonzero(~known)
-            fresh, first = np.unique(keys[new], return_index=True)
-            self.add(fresh, learn(new[first]))
-            at, _ = self.find(keys)
+            self.add(kinds[~known], learn(first[~known]))
+            at, _ = self.find(kinds)
+        at = at[kind]
         n = self.n[at]
         end = np.cumsum(n)
         total = int(end[-1]) if len(end) else 0
