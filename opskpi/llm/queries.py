@@ -95,7 +95,6 @@ c AS (SELECT w.rid, doc_id, source, lang, len(words)::BIGINT AS n_words,
 s AS (SELECT rid, source, lang, share, CASE WHEN den > 0 THEN (num * 10000) // den ELSE 0 END AS v FROM (
       SELECT rid, source, lang, 'symbols' AS share, n_symbols AS num, word_chars AS den FROM c WHERE n_words > 0 UNION ALL
       SELECT rid, source, lang, 'dup_lines', n_dup_lines, n_lines FROM c WHERE n_words > 0 UNION ALL
-      SELECT rid, source, lang, 'repeats', n_repeat_words, n_words FROM c WHERE n_words > 0 UNION ALL
       SELECT rid, source, lang, 'word_length', word_chars, n_words * 20 FROM c WHERE n_words > 0)),
 h AS (SELECT source, lang, share, bin, count(*) AS n FROM (
       SELECT *, CASE WHEN v < 64 THEN v ELSE (p - 5) * 32 + (v >> (p - 5)) END AS bin
@@ -118,14 +117,13 @@ x AS (SELECT o.source, o.lang, o.share,
 f AS (SELECT source, lang,
              max(mid + greatest(4 * (hi - mid), 500)) FILTER (share = 'symbols') AS f1,
              max(mid + greatest(4 * (hi - mid), 3000)) FILTER (share = 'dup_lines') AS f2,
-             max(mid + greatest(4 * (hi - mid), 1000)) FILTER (share = 'repeats') AS f3,
              max(mid + greatest(4 * (hi - mid), 5000)) FILTER (share = 'word_length') AS f4,
              max(mid - greatest(4 * (mid - lo), 1500)) FILTER (share = 'word_length') AS f5 FROM x GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (
            (word_chars > 0 AND (n_symbols * 10000) // word_chars > f1) OR (n_lines > 0 AND (n_dup_lines * 10000) // n_lines > f2)
-           OR (n_words > 0 AND ((n_repeat_words * 10000) // n_words > f3 OR (word_chars * 10000) // (n_words * 20) > f4
+           OR (n_words > 0 AND ((word_chars * 10000) // (n_words * 20) > f4
                                 OR (word_chars * 10000) // (n_words * 20) < f5))) AS kept
 FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source AND c.lang IS NOT DISTINCT FROM f.lang
 """}

@@ -1,7 +1,7 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-Each text gets a handful of shares (symbols, duplicate lines, repeated words,
-word length).  A mergeable quantile sketch of each share is kept per source
+A base rule drops texts of few words or many repeated ones.  Beyond it, each
+text gets a handful of shares (symbols, duplicate lines, word length).  A mergeable quantile sketch of each share is kept per source
 and language: a histogram whose bins are exact up to 63 and grow by 1/32 of a
 power of two beyond (a share is scaled to a whole number first), so two
 sketches merge by adding counts and any part of the corpus may be counted
@@ -32,7 +32,6 @@ SCALE = 10_000
 SHARES = {
     "symbols": ("n_symbols", "word_chars", "high", 500),
     "dup_lines": ("n_dup_lines", "n_lines", "high", 3000),
-    "repeats": ("n_repeat_words", "n_words", "high", 1000),
     "long_words": ("word_chars", "n_words * 20", "high", 5000),
     "short_words": ("word_chars", "n_words * 20", "low", 1500),
 }
