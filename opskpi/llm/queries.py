@@ -116,7 +116,7 @@ x AS (SELECT o.source, o.lang, o.share,
                JOIN k a ON a.lev = 2 AND o.share = a.share),
 f AS (SELECT source, lang,
              max(mid + greatest(4 * (hi - mid), 500)) FILTER (share = 'symbols') AS f1,
-             max(mid + greatest(4 * (hi - mid), 3000)) FILTER (share = 'dup_lines') AS f2,
+             max(mid + greatest(4 * (hi - mid), 5000)) FILTER (share = 'dup_lines') AS f2,
              max(mid + greatest(4 * (hi - mid), 5000)) FILTER (share = 'word_length') AS f4,
              max(mid - greatest(4 * (mid - lo), 1500)) FILTER (share = 'word_length') AS f5 FROM x GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

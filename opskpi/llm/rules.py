@@ -31,7 +31,7 @@ SCALE = 10_000
 #: Share -> (numerator, denominator, which side is poor, least distance from the median to be an outlier).
 SHARES = {
     "symbols": ("n_symbols", "word_chars", "high", 500),
-    "dup_lines": ("n_dup_lines", "n_lines", "high", 3000),
+    "dup_lines": ("n_dup_lines", "n_lines", "high", 5000),
     "long_words": ("word_chars", "n_words * 20", "high", 5000),
     "short_words": ("word_chars", "n_words * 20", "low", 1500),
 }
