@@ -26,11 +26,12 @@ from opskpi.plans.catalog import (DEPARTMENT_ITEMS, ITEM_PAGE, ITEM_QUERY, depar
                                   item_crosswalk, metric_catalog, normalise_department)
 from opskpi.plans.metric import all_metrics
 from opskpi.plans.queries import AS_OF, DRIVER_PARAMS
-from opskpi.plans.snapshot import kpi_union
+from opskpi.plans.snapshot import kpi_union, rank_kpi_rows
 from opskpi.sources.driver import driver_tables
 
 C = F.col
 AXIS_METRICS = ("D1d", "D3a", "Q1", "P10")
+RANKED_METRICS = ("D1d", "P3a", "Q8", "D9")   # the first two descend by value, the others ascend
 ENTITLED_METRICS = ("Q8", "Q8b", "P10", "D12", "Q3_customer")
 AFTERNOON = AsOf.parse("2000-06-30 14:00:00")
 # department names as users type them, picked by the tool number
@@ -141,6 +142,13 @@ def op_snapshot_union(spark: SparkSession, sf: str) -> DataFrame:
     return u.drop(*[c for c in u.columns if c.startswith("_k")])
 
 
+def op_snapshot_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """KPI rows with their place in each metric's presentation order."""
+    t = driver_tables(spark, sf)
+    metrics = [all_metrics()[f"kpi_{m}"] for m in RANKED_METRICS]
+    return rank_kpi_rows(kpi_union(t, AS_OF, DRIVER_PARAMS, metrics)).select("metric_id", "label", "value", "row_rank")
+
+
 def op_label_truncate(spark: SparkSession, sf: str) -> DataFrame:
     t = driver_tables(spark, sf)
     q1 = _chart(t, "Q1")
@@ -356,6 +364,11 @@ SELECT label, CAST(row_number() OVER (
                   TRY_CAST(regexp_extract(label, '(\\d+)', 1) AS DECIMAL(38,0)) NULLS FIRST,
                   lower(label) NULLS FIRST, label NULLS FIRST) AS BIGINT) AS row_rank
 FROM ({O.BODIES['kpi_D12'].strip()})""",
+    "op_snapshot_ranked": lambda: f"""
+SELECT metric_id, label, value,
+       row_number() OVER (PARTITION BY metric_id ORDER BY CASE WHEN metric_id IN ('D1d', 'P3a') THEN -value ELSE value END,
+                          label) AS row_rank
+FROM ({_union_sql(RANKED_METRICS)})""",
     "op_value_policy": lambda: """
 SELECT 'LOST' AS metric_id, CAST(GRNNo AS VARCHAR) AS label, COALESCE(TRY_CAST(v AS DOUBLE), 0) AS value
 FROM (SELECT GRNNo, CASE WHEN GRNLineNo % 3 <> 0 THEN LOST_STOCK_GREEN END AS v FROM AllLostStock)
