@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 
 import duckdb
 import pytest
@@ -35,7 +36,10 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    """All but the training-data operators, which have tests of their own where SQL cannot express them."""
+    other = re.compile(r"op\d+_|pipeline$")
+    assert {k for k in entry.queries() if not other.match(k)} == {k for k in entry.oracle_sql() if not other.match(k)}
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("key", sorted(entry.oracle_sql()))
