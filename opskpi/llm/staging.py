@@ -13,26 +13,51 @@ from pyspark.sql import DataFrame, SparkSession
 from opskpi.session import ensure_checkpoint_dir
 
 
+#: Folders begun inside each open ``scratch`` block.
+_BLOCKS: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class scratch:
+    """``with scratch(spark):`` - tables staged inside are removed at its end.
+
+    For callers that write an operator's result inside the block; a result
+    that is still to be read needs its tables.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        _BLOCKS.append([])
+
+    def __exit__(self, *exc) -> None:
+        for root in _BLOCKS.pop():
+            _delete(self.spark, root)
+
+
 class Staging:
     """Tables of one operator run; ``drop`` frees those that later steps no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
         self._n = 0
+        for block in _BLOCKS:
+            block.append(self.root)
 
     def put(self, df: DataFrame, label: str = "t") -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{label}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._staged_at = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
         for f in frames:
-            path = jvm.org.apache.hadoop.fs.Path(f._staged_at)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f._staged_at)

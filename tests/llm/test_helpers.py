@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opskpi.llm.cells import by_cell, with_cells
 from opskpi.llm.components import connected_components
 from opskpi.llm.local import IdMemory, Links, key_runs, prefix_hash, span_hash, text_chunks, word_spans
-from opskpi.llm.staging import Staging
+from opskpi.llm.staging import Staging, scratch
 from tests.llm.cases import Sets
 
 
@@ -33,6 +33,18 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long"), Staging(spark, "t")).count() == 0
 
 
+def test_scratch_tables_go(spark):
+    kept = Staging(spark, "kept")
+    with scratch(spark):
+        inner = Staging(spark, "inner")
+        table = inner.put(spark.range(5).toDF("x"))
+        out = kept.put(table.where("x > 1"))
+        assert table.count() == 5
+    assert out.count() == 3
+    left = spark._jvm.org.apache.hadoop.fs.Path(inner.root)
+    assert not left.getFileSystem(spark._jsc.hadoopConfiguration()).exists(left)
+
+
 def test_hub_is_one_component(spark):
     edges = spark.range(1, 5000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
     got = connected_components(edges, Staging(spark, "t"))
