@@ -44,8 +44,8 @@ END_ID = 1
 MAX_TOKENS = 4096
 
 #: Words, and parts of words, whose ids a worker remembers; a full memory starts anew (speed only, never the result).
-WORD_MEMORY = 3_000_000
-PART_MEMORY = 300_000
+WORD_MEMORY = 1_000_000
+PART_MEMORY = 150_000
 _LONG_WORD = 48
 _PLAIN = "\u0250"  # below it a character is in normal form and has no sense for its neighbours
 
