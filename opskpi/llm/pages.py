@@ -20,6 +20,12 @@ main element, or else the body), without
 * paths of low importance - these only where the page names no article, since
   inside one a passage that the site repeats is still the article's.
 
+Inside an article a word in a name is not enough, since headings and sections
+are named after what they say (``id='related-work'``).  There a container is
+dropped by name if one of its classes, or its id, is as a whole the name of an
+advert or the like or of reader comments; under a container whose name merely
+has a word of furniture, what the site repeats (a path of low importance) goes.
+
 Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one newline in page order; line breaks
 (``br``) are white space.
@@ -70,6 +76,16 @@ NOISE_WORDS = frozenset(
     "notice notices popup modal overlay newsletter subscribe subscription signup signin login share sharing social "
     "related recommended recommendations comment comments disqus respond reply replies pagination pager widget widgets "
     "skip toolbar search copyright".split())
+#: Whole classes or ids that make a container inside an article furniture, and those of reader comments.
+CONTAINERS = frozenset("div span ins ul ol li table figure center iframe".split())
+NOISE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising advertorial sponsored promo promos breadcrumb breadcrumbs sidebar "
+    "sidebars popup newsletter signup sharing pagination pager navbar cookie-notice".split())
+COMMENT_NAMES = frozenset(
+    "comment comments reader-comments user-comments comment-list comments-list comments-area comment-respond disqus_thread "
+    "respond replies".split())
+#: Inside an article these never count as furniture by a word of their names.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p section article blockquote pre".split())
 OUTSIDE_WORDS = frozenset("header masthead topbar".split())
 NOISE_ROLES = frozenset("navigation complementary contentinfo search form dialog alertdialog alert menu menubar toolbar".split())
 
@@ -87,19 +103,28 @@ def _names(attrs: dict[str, str]) -> set[str]:
     return {w.lower() for w in _WORDS.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
 
 
+def _furniture(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether an element inside an article is furniture by a whole class or id."""
+    classes = set(attrs.get("class", "").lower().split())
+    names = classes | {attrs.get("id", "").lower()}
+    if tag in ("section", "article"):
+        return bool(classes & COMMENT_NAMES)
+    return tag in CONTAINERS and bool(names & (NOISE_NAMES | COMMENT_NAMES))
+
+
 class Walk:
     """One pass over a page: the tree's nodes on the way, and the text blocks with where they stand."""
 
     def __init__(self, page: str):
-        #: (path, children's tags, own text) of each path; blocks: [parts, in article, in main, path]
+        #: (path, children's tags, own text) of each path; blocks: [parts, in article, in main, path, named as furniture]
         self.style: dict[int, list[str]] = {}
         self.said: dict[int, list[str]] = {}
-        self.blocks: list[tuple[str, bool, bool, int]] = []
+        self.blocks: list[tuple[str, bool, bool, int, bool]] = []
         self.has_article = self.has_main = False
-        # an open element: tag, path, dropped, inside article, inside main
-        self.stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        # an open element: tag, path, dropped, inside article, inside main, a word of furniture in a name within the article
+        self.stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", 0, False, False, False, False)]
         self._run: list[str] = []
-        self._run_at: tuple[bool, bool, int] | None = None
+        self._run_at: tuple[bool, bool, int, bool] | None = None
         self._read(page)
         self._flush()
 
@@ -108,8 +133,8 @@ class Walk:
             text = " ".join("".join(self._run).split())
             self._run.clear()
             if text:
-                article, main, path = self._run_at
-                self.blocks.append((text, article, main, path))
+                article, main, path, named = self._run_at
+                self.blocks.append((text, article, main, path, named))
                 self.said.setdefault(path, []).append(text)
         self._run_at = None
 
@@ -120,7 +145,7 @@ class Walk:
         if self._run_at is None:
             if raw.isspace():
                 return
-            self._run_at = (top[3], top[4], top[1])
+            self._run_at = (top[3], top[4], top[1], top[5])
         self._run.append(html.unescape(raw) if "&" in raw else raw)
 
     def _pop(self, at: int) -> None:
@@ -146,25 +171,27 @@ class Walk:
             self._close(names.split(), until)
         if tag in BLOCKS:
             self._flush()
-        _, path, dropped, article, main = self.stack[-1]
+        _, path, dropped, article, main, named = self.stack[-1]
         self.style.setdefault(path, []).append(tag)
         if tag in VOID:
             if tag == "br":
                 self._text(" ")
             return
         if dropped:
-            self.stack.append((tag, path, True, article, main))
+            self.stack.append((tag, path, True, article, main, named))
             return
         attrs: dict[str, str] = {}
         for m in _ATTR.finditer(raw):
             attrs.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
         role = attrs.get("role", "").lower()
         names = _names(attrs)
+        word = bool(names & NOISE_WORDS)
         content = tag in ("article", "main", "body", "html") or role in ("main", "article")
         dropped = (tag in NO_PROSE or tag in FURNITURE or role in NOISE_ROLES or "hidden" in attrs
                    or attrs.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(attrs.get("style", "")))
                    or (not article and (tag == "header" or role == "banner" or bool(names & OUTSIDE_WORDS)) and not content)
-                   or (bool(names & NOISE_WORDS) and tag not in ("html", "body", "main")
+                   or (article and _furniture(tag, attrs))
+                   or (not article and word and tag not in ("html", "body", "main")
                        and (not content or bool(names & {"comment", "comments", "reply", "replies", "ad", "ads", "promo",
                                                          "sponsored", "related"}))))
         shape = re.sub(r"\d+", "", f"{tag}.{'.'.join(sorted(attrs.get('class', '').split()))}#{attrs.get('id', '')}")
@@ -173,7 +200,8 @@ class Walk:
             article = self.has_article = True
         if not dropped and (tag == "main" or role == "main"):
             main = self.has_main = True
-        self.stack.append((tag, path, dropped, article, main))
+        named = named or (article and word and tag in BLOCKS and tag not in PROSE)
+        self.stack.append((tag, path, dropped, article, main, named))
 
     def _read(self, page: str) -> None:
         at, n = 0, len(page)
@@ -208,7 +236,7 @@ class Walk:
                 at = end.end()
 
     def text(self, low: frozenset[int] | set[int] = frozenset()) -> str:
-        if self.has_article and (own := [b[0] for b in self.blocks if b[1]]):
+        if self.has_article and (own := [b[0] for b in self.blocks if b[1] and not (b[4] and b[3] in low)]):
             return "\n".join(own)
         if self.has_main and (own := [b[0] for b in self.blocks if b[2] and b[3] not in low]):
             return "\n".join(own)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,26 @@ def test_given_pages(spark):
         inside = r["html"].split("<article>", 1)[1].split("</article>")[0]
         assert got[r["page_id"]].split("\n")[0][:20] in inside.replace("&amp;", "&").replace("&quot;", '"')
         assert "track(" not in got[r["page_id"]] and "©" not in got[r["page_id"]]
+
+
+@pytest.mark.parametrize("part", [
+    "<h2 id='ad-hoc-queries'>A</h2>", "<section id='related-work'><h2>R</h2><p>r</p></section>", "<div id=social-history>s</div>",
+    "<section id='search-algorithms'><p>b</p></section>", "<h3 id=menu-planning>m</h3>", "<p class=notice>n</p>",
+    "<section class='notice'>n</section>", "<div class='share-prices'><p>up</p></div>", "<section id=comments>in code</section>",
+])
+def test_slug_names_inside_an_article_are_prose(part):
+    inside = Walk(f"<article>{part}</article>").text()
+    assert inside and inside == Walk("<article>" + re.sub(r" (id|class)=('[^']*'|[\w-]+)", "", part) + "</article>").text()
+
+
+@pytest.mark.parametrize("part", ["<div class='box ads'>x</div>", "<div id=newsletter><p>x</p></div>",
+                                  "<section class=comments><p>x</p></section>", "<aside>x</aside>", "<article class=comment>x</article>"])
+def test_furniture_inside_an_article_goes(part):
+    assert Walk(f"<article><p>p</p>{part}</article>").text() == "p"
+
+
+def test_named_containers_in_articles_need_the_style_tree(spark):
+    rows = [(i, f"https://h.example/p{i}", f"<article><p>Own {i}</p><div class='share-bar'><p>Share this</p></div>"
+             f"<div id=menu-planning><ul><li>Dish {i}</li></ul></div><section id=related-work><h2>Related work</h2><p>Cites {i}"
+             "</p></section></article>") for i in range(20)]
+    assert all(r[2] == f"Own {r[0]}\nDish {r[0]}\nRelated work\nCites {r[0]}" for r in run(spark, rows))
