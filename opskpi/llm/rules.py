@@ -5,10 +5,12 @@ text gets a handful of shares (symbols, duplicate lines, word length).  A mergea
 and language: a histogram whose bins are exact up to 63 and grow by 1/32 of a
 power of two beyond (a share is scaled to a whole number first), so two
 sketches merge by adding counts and any part of the corpus may be counted
-anywhere.  From the merged sketch of a group come its median and its upper and
-lower quantiles, and from those the fences beyond which a text is an outlier
-*of its group*; groups with few texts lean on the sketch of their language,
-then on that of the corpus.  The fences join back to the texts.
+anywhere.  From the merged sketch of a group come its median and the median
+distance from it, which up to half of the texts cannot inflate, and from those
+the fences beyond which a text is an outlier *of its group*; groups with few
+texts lean on the sketch of their language, then on that of the corpus, and so
+do groups whose very median is an outlier there.  The fences join back to the
+texts.
 
 Defined cases: null text has no words and fails the base rule; null source or
 language is a group of its own; repeated rows count as often as they stand;
@@ -35,8 +37,8 @@ SHARES = {
     "long_words": ("word_chars", "n_words * 20", "high", 5000),
     "short_words": ("word_chars", "n_words * 20", "low", 1500),
 }
-#: Fence: this many times the distance from the median to the outer quantile beyond that quantile.
-REACH = 3
+#: Fence: this many median distances from the median (about five standard deviations of normal shares).
+REACH = 7.6
 OUTER = 0.9
 #: Texts that a group needs to be judged by its own sketch.
 GROUP_ROWS = 100
@@ -118,17 +120,30 @@ def sketches(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows, median and outer quantiles of each sketch."""
+    """Rows, median, outer quantiles and median distance from the median (``mad``) of each sketch."""
     up = Window.partitionBy(*keys, "share").orderBy("bin")
     whole = Window.partitionBy(*keys, "share")
     ranked = sketch.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(whole))
 
-    def at(q: float) -> Column:
-        return F.min(F.when(C("upto") >= F.ceil(C("total") * F.lit(q)), C("bin")))
+    def at(q: float, upto: str = "upto", value: str = "bin") -> Column:
+        return F.min(F.when(C(upto) >= F.ceil(C("total") * F.lit(q)), C(value)))
 
+    ranked = ranked.withColumn("away", F.abs(_bin_top(C("bin")) - _bin_top(at(0.5).over(whole))))
+    ranked = ranked.withColumn("within", F.sum("n").over(whole.orderBy("away")))
     return ranked.groupBy(*keys, "share").agg(
-        F.max("total").alias("rows"), at(0.5).alias("mid"), at(OUTER).alias("high"), at(1 - OUTER).alias("low")).select(
-        *keys, "share", "rows", *(_bin_top(C(c)).alias(c) for c in ("mid", "high", "low")))
+        F.max("total").alias("rows"), at(0.5).alias("mid"), at(OUTER).alias("high"), at(1 - OUTER).alias("low"),
+        at(0.5, "within", "away").alias("mad")).select(
+        *keys, "share", "rows", *(_bin_top(C(c)).alias(c) for c in ("mid", "high", "low")), "mad")
+
+
+def with_fence(levels: DataFrame) -> DataFrame:
+    """Adds ``fence`` and ``sign`` (1: poor is above it, -1: below) by the own median and distance of each sketch."""
+    sign, fence = F.lit(None), F.lit(None)
+    for name, (_, _, side, least) in SHARES.items():
+        own, here = (1 if side == "high" else -1), C("share") == name
+        sign = F.when(here, F.lit(own)).otherwise(sign)
+        fence = F.when(here, C("mid") + own * F.greatest(REACH * C("mad"), F.lit(float(least)))).otherwise(fence)
+    return levels.withColumn("sign", sign).withColumn("fence", fence)
 
 
 def thresholds(counts: DataFrame, group: tuple[str, str] = ("source", "lang")) -> DataFrame:
@@ -137,24 +152,20 @@ def thresholds(counts: DataFrame, group: tuple[str, str] = ("source", "lang")) -
     fine = sketches(counts, [source, lang])
     by_lang = fine.groupBy(lang, "share", "bin").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("share", "bin").agg(F.sum("n").alias("n"))
-    own = quantiles(fine, [source, lang]).alias("o")
-    middle = quantiles(by_lang, [lang]).alias("m")
-    world = quantiles(overall, []).alias("w")
+    own = with_fence(quantiles(fine, [source, lang])).alias("o")
+    middle = with_fence(quantiles(by_lang, [lang])).alias("m")
+    world = with_fence(quantiles(overall, [])).alias("w")
     level = own.join(middle, C(f"o.{lang}").eqNullSafe(C(f"m.{lang}")) & (C("o.share") == C("m.share"))) \
                .join(world, C("o.share") == C("w.share"))
 
-    def pick(c: str) -> Column:
-        return F.when(C("o.rows") >= GROUP_ROWS, C(f"o.{c}")).when(C("m.rows") >= GROUP_ROWS, C(f"m.{c}")) \
-                .otherwise(C(f"w.{c}"))
+    def unless_poor(a: str, wider: Column) -> Column:
+        few, poor = C(f"{a}.rows") < GROUP_ROWS, C("o.sign") * (C(f"{a}.mid") - wider) > 0
+        return F.when(few | poor, wider).otherwise(C(f"{a}.fence"))
 
-    mid, high, low = pick("mid"), pick("high"), pick("low")
-    fences = []
-    for name, (_, _, side, least) in SHARES.items():
-        reach = REACH * (high - mid) if side == "high" else REACH * (mid - low)
-        fence = mid + F.greatest(high - mid + reach, F.lit(least)) if side == "high" \
-            else mid - F.greatest(mid - low + reach, F.lit(least))
-        fences.append(F.max(F.when(C("o.share") == name, fence)).alias(f"{name}_fence"))
-    return level.groupBy(C(f"o.{source}").alias(source), C(f"o.{lang}").alias(lang)).agg(*fences)
+    fence = unless_poor("o", unless_poor("m", C("w.fence")))
+    return level.select(C(f"o.{source}").alias(source), C(f"o.{lang}").alias(lang), C("o.share").alias("share"),
+                        fence.alias("fence")).groupBy(source, lang).agg(
+        *(F.max(F.when(C("share") == name, C("fence"))).alias(f"{name}_fence") for name in SHARES))
 
 
 def judge(docs: DataFrame, group: tuple[str, str] = ("source", "lang")) -> DataFrame:

@@ -86,3 +86,24 @@ def test_no_python_on_the_main_path(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert rules.judge(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.05, 0.11, 0.2, 0.33, 0.6])
+def test_poor_texts_do_not_move_the_fence(spark, share):
+    def text(i, poor):
+        w = prose(i, 60).split()
+        return " ".join([*w, *(["####"] * 3 + ["$$$" + x for x in w[:35]] if poor else ["|"] * (i % 4))])
+
+    n = 250
+    rows = [(k * n + i, text(k * n + i, k == 0 and i < share * n), "en", f"s{k}") for k in range(4) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in rules.judge(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {i for i in range(n) if i < share * n}
+
+
+def test_median_distance_of_a_sketch(spark):
+    values = [0] * 20 + [5] * 30 + [9] * 10 + [60] * 30
+    sketch = spark.createDataFrame([("x", v, values.count(v)) for v in set(values)], "share string, bin long, n long")
+    r = rules.quantiles(sketch, []).first()
+    assert (r["mid"], r["mad"]) == (int(np.sort(values)[44]), int(np.sort(np.abs(np.array(values) - 5))[44]))
