@@ -1,4 +1,9 @@
-"""Exact substring deduplication over a sparse suffix array, by bucket-pointer refinement.
+"""Exact substring deduplication over sampled windows, by hash refinement of buckets.
+
+This replaces bucket-pointer refinement: no suffix is sorted and no bucket
+identifier of a later offset is reused; identifiers are hashes of the bytes of
+each range.  One offset in 170 is looked at instead of ranking every suffix
+in each round, and no rank has to be joined on.
 
 A byte goes when a string of ``length`` bytes around it also starts anywhere
 else in the corpus.  Not every suffix is sorted: a *sampled* suffix starts at
