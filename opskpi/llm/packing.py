@@ -15,6 +15,11 @@ laid out over a run of equal sequences); each piece finds its place by its
 rank among the pieces of its length.  The rank is a count inside the task plus
 an offset of the task, so no length is gathered into one task.
 
+Text that spells a special token (``<|endoftext|>``) is encoded as the text it
+is (the library's ``encode_special_tokens``), so that no document can forge the
+end of one; the library's default would give the special token's id, and so
+other ids, lengths and checksums for such documents.
+
 Defined cases: null text packs as empty text (only the end token); a repeated
 row is packed again; an empty table gives no rows; further input columns are
 ignored.
