@@ -8,15 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opskpi.llm import bytepairs
+from opskpi.llm import bytepairs, codes
 from opskpi.llm.language import identify
 from opskpi.llm.lines import dedup_lines
+from opskpi.llm.mixing import mix
 from opskpi.llm.packing import pack
 from opskpi.llm.pages import main_text
 from opskpi.llm.rules import judge
 from opskpi.llm.setjoin import near_duplicates
 from opskpi.llm.sites import quality
+from opskpi.llm.statements import CONVERSATION_REPAIR, VECTOR_CODES
 from opskpi.llm.suffixes import remove_repeats
+from opskpi.llm.turns import damage_and_repair
 from opskpi.llm.vectors import near_vectors
 
 
@@ -70,10 +73,23 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).drop("source")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digest(*codes.compress(_table(spark, sf_dir, "embeddings")))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_best_fit_packing, op4_quality_classifier, op5_quality_rules,
                                     op6_embedding_dedup, op7_jaccard_join, op8_byte_bpe, op9_language_id,
-                                    op10_html_extraction)}
+                                    op10_html_extraction, op11_conversation_repair, op12_source_mixing,
+                                    op13_vector_codes)}
 
 
 #: The operators of approximate search, models, tokenizers and markup have no SQL form; their tests use brute force.
@@ -130,4 +146,4 @@ FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source AND c.lang IS NOT D
 
 
 def llm_oracle() -> dict[str, str]:
-    return dict(ORACLE)
+    return {**ORACLE, "op11_conversation_repair": CONVERSATION_REPAIR, "op13_vector_codes": VECTOR_CODES}
