@@ -12,6 +12,7 @@ Plan notes that apply to all of them
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 
 from opskpi.functions import dates as S
 from opskpi.functions.clock import AsOf
-from opskpi.functions.text import key_eq, fold, label, left, text_eq, text_ne
-from opskpi.operators.relational import anti_exception, semi_filter
-from opskpi.plans.metric import chart
+from opskpi.functions.text import fold, label, left, text_eq, text_ne
+from opskpi.plans.metric import chart, ruled
+from opskpi.plans.rules import Lookup, Rule
 from opskpi.sources.tables import Tables
 
 PAGE = "deliverables"
@@ -40,60 +41,52 @@ def po_label(cut: int | None = 50):
 
 
 # --------------------------------------------------------------------------
-@chart("D1a1", "Overdue Purchase Orders (Promised)", XY, (("value", "desc"),), PAGE,
-       x_label="Days Late", formatter="integer",
-       note="latest-date sentinels written as slash text in the source; built as an exclusion "
-            "of the sentinel dates (NULL latest drops out). The label is kept whole.")
-def d1a1(t: Tables, clock: AsOf, promised_after: date = S.PROMISED_CUTOFF) -> DataFrame:
-    po = t["AllLivePO"]
-    p = C("PODetDatePromised")
-    return (po.where(clock.age_gt(p, 0) & (p > F.lit(promised_after))
-                     & S.sentinel_not_in(C("PODetDateLatest"), S.D1A1_LATEST_EXCLUDED))
-            .select(po_label(None).alias("label"), clock.age(p).alias("value")))
-
-
-@chart("D1b", "Unknown Delivery Date Purchase Orders", XY, (("value", "asc"),), PAGE,
-       x_label="Days Until PO Required Date", formatter="integer")
-def d1b(t: Tables, clock: AsOf) -> DataFrame:
-    po = t["AllLivePO"]
-    return (po.where(S.sentinel_in(C("PODetDatePromised"), S.UNKNOWN_DELIVERY)
-                     | S.sentinel_in(C("PODetDateLatest"), S.UNKNOWN_DELIVERY))
-            .select(po_label().alias("label"), clock.due(C("PODetDateReq")).alias("value")))
-
-
-@chart("D1c", "Overdue Purchase Orders (Received not Booked In)", XY, (("value", "desc"),), PAGE,
-       x_label="Days Since PO Promised Date", formatter="integer")
-def d1c(t: Tables, clock: AsOf, promised_after: date = S.PROMISED_CUTOFF) -> DataFrame:
-    po = t["AllLivePO"]
-    p = C("PODetDatePromised")
-    return (po.where(clock.age_gt(p, 1) & (p > F.lit(promised_after))
-                     & S.sentinel_in(C("PODetDateLatest"), S.RECEIVED_NOT_BOOKED))
-            .select(po_label().alias("label"), clock.age(p).alias("value")))
-
-
-@chart("D1d", "Overdue Purchase Orders - Confirmed Shipped", XY + ("target",), (("value", "desc"),),
-       PAGE, x_label="Days Late", formatter="integer")
-def d1d(t: Tables, clock: AsOf, promised_after: date = S.PROMISED_CUTOFF) -> DataFrame:
-    po = t["AllLivePO"]
-    p = C("PODetDatePromised")
-    return (po.where(clock.age_gt(p, 0) & (p > F.lit(promised_after))
-                     & S.sentinel_in(C("PODetDateLatest"), S.SHIPPED))
-            .select(po_label().alias("label"), clock.age(p).alias("value"), big(5).alias("target")))
-
-
-@chart("D1a2", "Overdue Purchase Orders (Requested) > 7 Days", XY, (("value", "desc"),), PAGE,
-       x_label="Days Late", formatter="integer")
-def d1a2(t: Tables, clock: AsOf) -> DataFrame:
-    po = t["AllLivePO"]
-    emp = t["employees"].select("BadgeNo", "Name")
-    lines = po.where(C("PODetPart").isNotNull() & clock.age_gt(C("PODetDateReq"), 7)
-                     & S.sentinel_not_in(C("PODetDateLatest"), S.D1A2_LATEST_EXCLUDED))
-    keyed = lines.join(emp, lines["POBuyer"] == emp["BadgeNo"], "left")
-    grouped = (keyed.groupBy("PONum", "PODetItemNum", "PODetPart", "PODetPartDescr",
-                             "POSuppAddressName", "Name", "PODetDateReq", "PODetDateLatest")
-               .agg(F.max("PODetDatePromised").alias("max_promised")))
-    return (grouped.where(S.sentinel_not_in(C("max_promised"), S.D1A2_PROMISED_EXCLUDED))
-            .select(po_label().alias("label"), clock.age(C("PODetDateReq")).alias("value")))
+BUYER = Lookup("employees", (("POBuyer", "BadgeNo"),), ("Name",))
+BUYER_IF_KNOWN = replace(BUYER, how="left")
+
+ruled(Rule("AllLivePO", params={"promised_after": S.PROMISED_CUTOFF},
+           where=lambda clock, promised_after: (
+               clock.age_gt(C("PODetDatePromised"), 0) & (C("PODetDatePromised") > F.lit(promised_after))
+               & S.sentinel_not_in(C("PODetDateLatest"), S.D1A1_LATEST_EXCLUDED)),
+           out=lambda clock: {"label": po_label(None), "value": clock.age(C("PODetDatePromised"))}),
+      "D1a1", "Overdue Purchase Orders (Promised)", XY, (("value", "desc"),), PAGE,
+      x_label="Days Late", formatter="integer",
+      note="latest-date sentinels written as slash text in the source; built as an exclusion "
+           "of the sentinel dates (NULL latest drops out). The label is kept whole.")
+
+ruled(Rule("AllLivePO",
+           where=lambda clock: (S.sentinel_in(C("PODetDatePromised"), S.UNKNOWN_DELIVERY)
+                                | S.sentinel_in(C("PODetDateLatest"), S.UNKNOWN_DELIVERY)),
+           out=lambda clock: {"label": po_label(), "value": clock.due(C("PODetDateReq"))}),
+      "D1b", "Unknown Delivery Date Purchase Orders", XY, (("value", "asc"),), PAGE,
+      x_label="Days Until PO Required Date", formatter="integer")
+
+ruled(Rule("AllLivePO", params={"promised_after": S.PROMISED_CUTOFF},
+           where=lambda clock, promised_after: (
+               clock.age_gt(C("PODetDatePromised"), 1) & (C("PODetDatePromised") > F.lit(promised_after))
+               & S.sentinel_in(C("PODetDateLatest"), S.RECEIVED_NOT_BOOKED)),
+           out=lambda clock: {"label": po_label(), "value": clock.age(C("PODetDatePromised"))}),
+      "D1c", "Overdue Purchase Orders (Received not Booked In)", XY, (("value", "desc"),), PAGE,
+      x_label="Days Since PO Promised Date", formatter="integer")
+
+ruled(Rule("AllLivePO", params={"promised_after": S.PROMISED_CUTOFF},
+           where=lambda clock, promised_after: (
+               clock.age_gt(C("PODetDatePromised"), 0) & (C("PODetDatePromised") > F.lit(promised_after))
+               & S.sentinel_in(C("PODetDateLatest"), S.SHIPPED)),
+           out=lambda clock: {"label": po_label(), "value": clock.age(C("PODetDatePromised")), "target": big(5)}),
+      "D1d", "Overdue Purchase Orders - Confirmed Shipped", XY + ("target",), (("value", "desc"),),
+      PAGE, x_label="Days Late", formatter="integer")
+
+ruled(Rule("AllLivePO", lookups=(BUYER_IF_KNOWN,),
+           where=lambda clock: (C("PODetPart").isNotNull() & clock.age_gt(C("PODetDateReq"), 7)
+                                & S.sentinel_not_in(C("PODetDateLatest"), S.D1A2_LATEST_EXCLUDED)),
+           keys=("PONum", "PODetItemNum", "PODetPart", "PODetPartDescr", "POSuppAddressName", "Name", "PODetDateReq",
+                 "PODetDateLatest"),
+           measures=lambda: {"max_promised": ("max", C("PODetDatePromised"))},
+           late_having=lambda clock: S.sentinel_not_in(C("max_promised"), S.D1A2_PROMISED_EXCLUDED),
+           out=lambda clock: {"label": po_label(), "value": clock.age(C("PODetDateReq"))}),
+      "D1a2", "Overdue Purchase Orders (Requested) > 7 Days", XY, (("value", "desc"),), PAGE,
+      x_label="Days Late", formatter="integer")
 
 
 # --------------------------------------------------------------------------
@@ -138,102 +131,100 @@ def d2(t: Tables, clock: AsOf, raised_after: date = S.QUERY_RAISED_CUTOFF) -> Da
 
 
 # --------------------------------------------------------------------------
-def demand_lines(t: Tables, clock: AsOf) -> DataFrame:
-    """PO lines > £100 whose part has demand at least 28 days out.
+def required_date():
+    """Earlier of the part's first WO start and first SO promise (either may be NULL)."""
+    return S.earliest_of(C("MinOfWOSchedStartDate"), C("MinOfSOLinePromisedDate"))
 
-    The allow-list anti-join only reads PO columns, so it runs before the
-    dimension joins.  ``RequiredDate`` = earlier of the part's first WO start
-    and first SO promise (either may be NULL); ``DemandType`` says which won.
-    """
-    po = t["AllLivePO"]
-    items = t["AllItems"].select("PartNo", "MinOfWOSchedStartDate", "MinOfSOLinePromisedDate",
-                                 "DemandSO", "DemandWO")
-    emp = t["employees"].select("BadgeNo", "Name")
-    value = C("PODetUnitPrice") * C("PODetQtyReq")
-    lines = po.where((value > 100) & S.sentinel_not_in(C("PODetDatePromised"), S.D3_PROMISED_EXCLUDED))
-    lines = anti_exception(lines, t["PONoDemandOK"], [("PONum", "PO"), ("PODetItemNum", "Line")])
-    lines = lines.join(items, key_eq(lines["PODetPart"], items["PartNo"]), "left")
-    lines = lines.join(emp, lines["POBuyer"] == emp["BadgeNo"], "left")
-    wo, so = C("MinOfWOSchedStartDate"), C("MinOfSOLinePromisedDate")
-    lines = (lines.withColumn("RequiredDate", S.earliest_of(wo, so))
-             .withColumn("DemandType", F.when(wo.isNull(), "SO").when(so < wo, "SO").otherwise("WO"))
-             .withColumn("POValue", value))
-    return lines.where(clock.due_ge(C("RequiredDate"), 28)
-                       & ((F.coalesce(C("DemandSO"), big(0)) + F.coalesce(C("DemandWO"), big(0))) > 0))
+
+def po_value():
+    return C("PODetUnitPrice") * C("PODetQtyReq")
 
 
 def demand_label():
-    return label(C("PONum"), "/", C("PODetItemNum"), " # ", C("PartNo"), " # £", C("POValue"),
-                 " (", C("Name"), ")")
+    return label(C("PONum"), "/", C("PODetItemNum"), " # ", C("PartNo"), " # £", po_value(), " (", C("Name"), ")")
 
 
-@chart("D3a", "PO's With Promised Date over 4 Weeks before Demand > £100",
-       XY + ("target", "target_start"), (("value", "desc"),), PAGE, x_label="Days",
-       formatter="integer")
-def d3a(t: Tables, clock: AsOf) -> DataFrame:
-    rows = demand_lines(t, clock)
+def _ahead_of_demand(clock: AsOf):
     # the promise keeps its time of day
     promised = C("PODetDatePromised").cast("timestamp_ntz") + F.expr("interval 28 days")
-    rows = rows.where(C("RequiredDate").cast("timestamp_ntz") > promised)
-    return rows.select(demand_label().alias("label"), clock.due(C("RequiredDate")).alias("value"),
-                       clock.due(C("PODetDatePromised")).alias("target"), big(0).alias("target_start"))
+    return required_date().cast("timestamp_ntz") > promised
+
 
+def _other_month(clock: AsOf):
+    return (required_date() > C("PODetDatePromised")) & S.month_differs(required_date(), C("PODetDatePromised"))
 
-@chart("D3b", "PO Demand Date Review", XY + ("secondary_value",), (("value", "desc"),), PAGE,
-       x_label="Days", formatter="integer",
-       meta={"secondaryValueFormatter": "integer", "secondaryValueLabel": "Days Till Due",
-             "subtitle": "Days Till Required | Days Till Due"})
-def d3b(t: Tables, clock: AsOf) -> DataFrame:
-    rows = demand_lines(t, clock)
-    rows = rows.where((C("RequiredDate") > C("PODetDatePromised"))
-                      & S.month_differs(C("RequiredDate"), C("PODetDatePromised")))
-    return rows.select(demand_label().alias("label"), clock.due(C("RequiredDate")).alias("value"),
-                       clock.due(C("PODetDatePromised")).alias("secondary_value"))
+
+#: PO lines > £100 whose part has demand at least 28 days out.  The allow-list
+#: anti-join only reads PO columns, so it comes before the dimension joins.
+DEMAND = Rule(
+    "AllLivePO",
+    where=lambda clock: (po_value() > 100) & S.sentinel_not_in(C("PODetDatePromised"), S.D3_PROMISED_EXCLUDED),
+    lookups=(Lookup("PONoDemandOK", (("PONum", "PO"), ("PODetItemNum", "Line")), how="anti"),
+             Lookup("AllItems", (("PODetPart", "PartNo"),),
+                    ("PartNo", "MinOfWOSchedStartDate", "MinOfSOLinePromisedDate", "DemandSO", "DemandWO"), "left", folded=True),
+             BUYER_IF_KNOWN),
+    having=lambda clock: (clock.due_ge(required_date(), 28)
+                          & ((F.coalesce(C("DemandSO"), big(0)) + F.coalesce(C("DemandWO"), big(0))) > 0)),
+    out=lambda clock: {"label": demand_label(), "value": clock.due(required_date())})
+
+
+def demand_lines(t: Tables, clock: AsOf) -> DataFrame:
+    """The demand lines with ``RequiredDate``, ``DemandType`` (which of the two dates won) and ``POValue``."""
+    wo, so = C("MinOfWOSchedStartDate"), C("MinOfSOLinePromisedDate")
+    return (DEMAND.joined(t, clock).withColumn("RequiredDate", required_date())
+            .withColumn("DemandType", F.when(wo.isNull(), "SO").when(so < wo, "SO").otherwise("WO"))
+            .withColumn("POValue", po_value()))
+
+
+ruled(replace(DEMAND, having=lambda clock: DEMAND.having(clock) & _ahead_of_demand(clock),
+              out=lambda clock: {**DEMAND.out(clock), "target": clock.due(C("PODetDatePromised")), "target_start": big(0)}),
+      "D3a", "PO's With Promised Date over 4 Weeks before Demand > £100",
+      XY + ("target", "target_start"), (("value", "desc"),), PAGE, x_label="Days", formatter="integer")
+
+ruled(replace(DEMAND, having=lambda clock: DEMAND.having(clock) & _other_month(clock),
+              out=lambda clock: {**DEMAND.out(clock), "secondary_value": clock.due(C("PODetDatePromised"))}),
+      "D3b", "PO Demand Date Review", XY + ("secondary_value",), (("value", "desc"),), PAGE,
+      x_label="Days", formatter="integer",
+      meta={"secondaryValueFormatter": "integer", "secondaryValueLabel": "Days Till Due",
+            "subtitle": "Days Till Required | Days Till Due"})
 
 
 # --------------------------------------------------------------------------
+#: PO lines promised on the 'pending approval' sentinel, per PO line and buyer.
+PENDING = Rule(
+    "AllLivePO", lookups=(BUYER,),
+    where=lambda clock: S.sentinel_in(C("PODetDatePromised"), S.PENDING_APPROVAL),
+    keys=("PONum", "PODetItemNum", "POSuppAddressName", "PODetDatePromised", "Name"),
+    measures=lambda: {"FirstOfPODetDateReq": ("min", C("PODetDateReq")),
+                      "PoValue": ("sum", C("PODetQtyReq") * C("PODetUnitPrice"))},
+    out=lambda clock: {"label": left(label(C("PONum"), "/", C("PODetItemNum"), " # ", C("Name"), " # ",
+                                           C("POSuppAddressName")), 50)},
+    late=lambda clock: {"value": clock.due(C("FirstOfPODetDateReq")), "right_value": C("PoValue").cast("double")})
+
+
 def pending_approval(t: Tables, clock: AsOf) -> DataFrame:
-    """PO lines promised on the 'pending approval' sentinel, per PO line and buyer."""
-    po = t["AllLivePO"]
-    emp = t["employees"].select("BadgeNo", "Name")
-    lines = po.where(S.sentinel_in(C("PODetDatePromised"), S.PENDING_APPROVAL))
-    lines = lines.join(emp, lines["POBuyer"] == emp["BadgeNo"], "inner")
-    return (lines.groupBy("PONum", "PODetItemNum", "POSuppAddressName", "PODetDatePromised", "Name")
-            .agg(F.min("PODetDateReq").alias("FirstOfPODetDateReq"),
-                 F.sum(C("PODetQtyReq") * C("PODetUnitPrice")).alias("PoValue")))
-
-
-@chart("D4", "Risk Orders Pending Approval", XY + ("right_value",), (("value", "asc"),), PAGE,
-       x_label="Days Until PO Required Date", formatter="integer",
-       meta={"rightValueFormatter": "currency", "rightValueLabel": "PO Value",
-             "showRowSeparators": True})
-def d4(t: Tables, clock: AsOf) -> DataFrame:
-    g = pending_approval(t, clock)
-    return g.select(
-        left(label(C("PONum"), "/", C("PODetItemNum"), " # ", C("Name"), " # ", C("POSuppAddressName")), 50)
-        .alias("label"),
-        clock.due(C("FirstOfPODetDateReq")).alias("value"),
-        C("PoValue").cast("double").alias("right_value"))
-
-
-@chart("D5", "Enquiry Status - Received", XY, (("value", "asc"),), PAGE,
-       x_label="Days Until Enq Response Required", formatter="integer")
-def d5(t: Tables, clock: AsOf) -> DataFrame:
-    enq = t["AllEnq"]
-    keys = enq.where(text_eq(C("EnqStatus"), "#Received")).select(
-        "EnquiryNo", "EnqCustID", "EnqDepartment", "EnqRequiredDate", "EnqStatus").distinct()
-    return keys.select(label(C("EnquiryNo"), " ", C("EnqCustID"), " # ", C("EnqDepartment")).alias("label"),
-                       clock.due(C("EnqRequiredDate")).alias("value"))
-
-
-@chart("D7", "PO Not Submitted", XY + ("target",), (("value", "desc"),), PAGE,
-       x_label="Days Since PO Entered", formatter="integer")
-def d7(t: Tables, clock: AsOf) -> DataFrame:
-    po = t["AllLivePO"]
-    keys = (po.where(S.sentinel_not_in(C("PODetDatePromised"), S.PENDING_APPROVAL) & (C("POSubmitted") == 0))
-            .select("PONum", "POOrderDate", "POSuppAddressName", "POSubmitted").distinct())
-    return keys.select(left(label(C("PONum"), " # ", C("POSuppAddressName")), 14).alias("label"),
-                       clock.age(C("POOrderDate")).alias("value"), big(7).alias("target"))
+    return PENDING.grouped(t, clock)
+
+
+ruled(PENDING, "D4", "Risk Orders Pending Approval", XY + ("right_value",), (("value", "asc"),), PAGE,
+      x_label="Days Until PO Required Date", formatter="integer",
+      meta={"rightValueFormatter": "currency", "rightValueLabel": "PO Value", "showRowSeparators": True})
+
+
+ruled(Rule("AllEnq", where=lambda clock: text_eq(C("EnqStatus"), "#Received"),
+           keys=("EnquiryNo", "EnqCustID", "EnqDepartment", "EnqRequiredDate", "EnqStatus"),
+           out=lambda clock: {"label": label(C("EnquiryNo"), " ", C("EnqCustID"), " # ", C("EnqDepartment")),
+                              "value": clock.due(C("EnqRequiredDate"))}),
+      "D5", "Enquiry Status - Received", XY, (("value", "asc"),), PAGE,
+      x_label="Days Until Enq Response Required", formatter="integer")
+
+ruled(Rule("AllLivePO",
+           where=lambda clock: S.sentinel_not_in(C("PODetDatePromised"), S.PENDING_APPROVAL) & (C("POSubmitted") == 0),
+           keys=("PONum", "POOrderDate", "POSuppAddressName", "POSubmitted"),
+           out=lambda clock: {"label": left(label(C("PONum"), " # ", C("POSuppAddressName")), 14),
+                              "value": clock.age(C("POOrderDate")), "target": big(7)}),
+      "D7", "PO Not Submitted", XY + ("target",), (("value", "desc"),), PAGE,
+      x_label="Days Since PO Entered", formatter="integer")
 
 
 # --------------------------------------------------------------------------
@@ -276,30 +267,31 @@ def d8(t: Tables, clock: AsOf) -> DataFrame:
 
 
 # --------------------------------------------------------------------------
-def due_soon_lines(t: Tables, clock: AsOf, strict: bool, keep_tracker: bool = False) -> DataFrame:
+def _due_soon(window, tracker: str) -> Rule:
     """PO lines promised within 14 days (incl. overdue), quantity still to
     come, no sentinel in promised/latest (NULL allowed), part known and the
     supplier not yet confirmed on the tracker."""
-    po = t["AllLivePO"]
-    p = C("PODetDatePromised")
-    window = clock.date_lt_now(p, 14) if strict else clock.due_le(p, 14)
-    lines = po.where(window & ((C("PODetQtyReq") - C("PODetQtyRec")) > 0)
-                     & S.sentinel_free(C("PODetDateLatest"), S.D9_EXCLUDED)
-                     & S.sentinel_free(p, S.D9_EXCLUDED))
-    lines = semi_filter(lines, t["AllItems"], [("PODetPart", "PartNo")], folded=True)
-    oob = t["OOB_TRACKER_RECEIVED"].where(text_eq(C("RECEIVED"), "N"))
-    lines = lines.join(oob, fold(lines["POSuppAddressName"]) == fold(oob["SuppName"]),
-                       "inner" if keep_tracker else "left_semi")
-    emp = t["employees"].select("BadgeNo", "Name")
-    return lines.join(emp, lines["POBuyer"] == emp["BadgeNo"], "inner")
-
-
-@chart("D9", "PO's due in next 2 weeks inc overdue (Not confirmed)", XY, (("value", "asc"),), PAGE,
-       x_label="Days until PO promised", formatter="integer")
-def d9(t: Tables, clock: AsOf) -> DataFrame:
-    rows = due_soon_lines(t, clock, strict=False)
-    return rows.select(label(C("PONum"), "/", C("PODetItemNum"), " <", C("Name"), ">").alias("label"),
-                       clock.due(C("PODetDatePromised")).alias("value")).distinct()
+    return Rule(
+        "AllLivePO",
+        where=lambda clock: (window(clock, C("PODetDatePromised")) & ((C("PODetQtyReq") - C("PODetQtyRec")) > 0)
+                             & S.sentinel_free(C("PODetDateLatest"), S.D9_EXCLUDED)
+                             & S.sentinel_free(C("PODetDatePromised"), S.D9_EXCLUDED)),
+        lookups=(Lookup("AllItems", (("PODetPart", "PartNo"),), how="semi", folded=True),
+                 Lookup("OOB_TRACKER_RECEIVED", (("POSuppAddressName", "SuppName"),),
+                        ("SuppName", "RECEIVED") if tracker == "inner" else (), tracker,
+                        lambda: text_eq(C("RECEIVED"), "N"), folded=True),
+                 BUYER),
+        distinct=True,
+        out=lambda clock: {"label": label(C("PONum"), "/", C("PODetItemNum"), " <", C("Name"), ">"),
+                           "value": clock.due(C("PODetDatePromised"))})
+
+
+#: For the export: strictly before the day, with the tracker's columns.
+DUE_SOON_TRACKED = _due_soon(lambda clock, p: clock.date_lt_now(p, 14), "inner")
+
+ruled(_due_soon(lambda clock, p: clock.due_le(p, 14), "semi"),
+      "D9", "PO's due in next 2 weeks inc overdue (Not confirmed)", XY, (("value", "asc"),), PAGE,
+      x_label="Days until PO promised", formatter="integer")
 
 
 @chart("D12", "SO On Hold (Exc. MEG-VMI)", XY, (("value", "asc"),), PAGE,

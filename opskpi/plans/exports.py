@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from opskpi.functions import dates as S
 from opskpi.functions.clock import AsOf
 from opskpi.functions.text import fold, label, text_eq
-from opskpi.plans.deliverables import (demand_lines, due_soon_lines, excess_columns, pending_approval,
+from opskpi.plans.deliverables import (DUE_SOON_TRACKED, demand_lines, excess_columns, pending_approval,
                                        queried_pos)
 from opskpi.plans.inventory import expiring_lots
 from opskpi.plans.metric import table
@@ -60,7 +60,7 @@ def i12(t: Tables, clock: AsOf) -> DataFrame:
          "POSuppAddressName", "RECEIVED"), (("DaysDue", "asc"),),
         note="promised strictly before as-of + 14 days (the chart is inclusive); sentinels read dd/mm")
 def d9(t: Tables, clock: AsOf) -> DataFrame:
-    rows = due_soon_lines(t, clock, strict=True, keep_tracker=True)
+    rows = DUE_SOON_TRACKED.joined(t, clock)
     keys = rows.select("PONum", "PODetItemNum", "PODetDatePromised", "PODetQtyReq", "PODetQtyRec", "Name",
                        "PODetPart", "POSuppAddressName", "RECEIVED", "PODetDateLatest").distinct()
     return keys.select("PONum", "PODetItemNum", clock.due(C("PODetDatePromised")).alias("DaysDue"),

@@ -20,7 +20,8 @@ from opskpi.functions.numbers import qty_day_diff, try_decimal
 from opskpi.functions.text import fold, key_eq, label, left, none_like, text_eq, text_ne, text_not_in, text_not_like
 from opskpi.operators.classify import first_nonzero_class
 from opskpi.operators.relational import repeat_by_matches
-from opskpi.plans.metric import chart
+from opskpi.plans.metric import chart, ruled
+from opskpi.plans.rules import Lookup, Rule
 from opskpi.sources.tables import Tables
 
 PAGE = "inventory"
@@ -39,42 +40,32 @@ def big(n: int):
     return F.lit(n).cast("bigint")
 
 
-@chart("I2a_wip", "WIP - Days since WO Start Date (Oldest 10)", XY, (("_start", "asc"),), PAGE,
-       limit=10, x_label="Days Since WO Start Date (Scheduled)", formatter="integer",
-       note="ordered by scheduled start; a NULL start sorts first and enters the top 10")
-def i2a(t: Tables, clock: AsOf) -> DataFrame:
-    wo = t["worksOrder"]
-    rows = wo.where((C("WOQtyOS") > 0) & text_eq(C("WOStatusDescription"), "WIP")
-                    & none_like(C("WOPartNo"), ("%-REPAIR", "%-RETURN")))
-    return rows.select(
-        label(C("WONo"), " | ", C("WOQtyOS"), " | ", F.coalesce(C("WOPartNo"), F.lit(""))).alias("label"),
-        clock.age(C("WOSchedStartDate")).alias("value"), C("WOSchedStartDate").alias("_start"))
-
-
-@chart("I2b_wip", "WIP - Works Orders ON-HOLD", XY, (("_start", "asc"),), PAGE,
-       x_label="Days", formatter="integer")
-def i2b(t: Tables, clock: AsOf) -> DataFrame:
-    wo = t["worksOrder"]
-    return wo.where(text_eq(C("WOStatusDescription"), "On Hold")).select(
-        C("WOPartNo").alias("label"), clock.due(C("WOSchedStartDate")).alias("value"),
-        C("WOSchedStartDate").alias("_start"))
-
-
-@chart("I6_location", "Works Orders not in Prod Location (Top 20)", XY, (("value", "desc"),), PAGE,
-       limit=20, x_label="Days Since WO Start Date (Scheduled)", formatter="integer")
-def i6(t: Tables, clock: AsOf) -> DataFrame:
-    wo = t["worksOrder"]
-    job = C("WOJobType")
-    part = C("WOPartNo")
-    rows = wo.where(
-        C("WOSchedStartDate").isNotNull() & clock.age_gt(C("WOSchedStartDate"), 0)
-        & (job.isNull() | (text_not_like(job, "PR%") & text_not_in(job, I6_JOB_TYPES_EXCLUDED)))
-        & text_not_in(C("WOStatusDescription"), ("Completed", "Total Qty Received", "On Hold"))
-        & text_not_in(part, I6_PARTS_EXCLUDED) & none_like(part, I6_PART_PATTERNS_EXCLUDED))
-    return rows.select(
-        left(label(C("WONo"), " | ", F.coalesce(job, F.lit("")), " | ", F.coalesce(part, F.lit(""))), 80)
-        .alias("label"),
-        clock.age(C("WOSchedStartDate")).alias("value"))
+ruled(Rule("worksOrder",
+           where=lambda clock: ((C("WOQtyOS") > 0) & text_eq(C("WOStatusDescription"), "WIP")
+                                & none_like(C("WOPartNo"), ("%-REPAIR", "%-RETURN"))),
+           out=lambda clock: {"label": label(C("WONo"), " | ", C("WOQtyOS"), " | ", F.coalesce(C("WOPartNo"), F.lit(""))),
+                              "value": clock.age(C("WOSchedStartDate")), "_start": C("WOSchedStartDate")}),
+      "I2a_wip", "WIP - Days since WO Start Date (Oldest 10)", XY, (("_start", "asc"),), PAGE,
+      limit=10, x_label="Days Since WO Start Date (Scheduled)", formatter="integer",
+      note="ordered by scheduled start; a NULL start sorts first and enters the top 10")
+
+ruled(Rule("worksOrder", where=lambda clock: text_eq(C("WOStatusDescription"), "On Hold"),
+           out=lambda clock: {"label": C("WOPartNo"), "value": clock.due(C("WOSchedStartDate")),
+                              "_start": C("WOSchedStartDate")}),
+      "I2b_wip", "WIP - Works Orders ON-HOLD", XY, (("_start", "asc"),), PAGE, x_label="Days", formatter="integer")
+
+ruled(Rule("worksOrder",
+           where=lambda clock: (
+               C("WOSchedStartDate").isNotNull() & clock.age_gt(C("WOSchedStartDate"), 0)
+               & (C("WOJobType").isNull() | (text_not_like(C("WOJobType"), "PR%")
+                                             & text_not_in(C("WOJobType"), I6_JOB_TYPES_EXCLUDED)))
+               & text_not_in(C("WOStatusDescription"), ("Completed", "Total Qty Received", "On Hold"))
+               & text_not_in(C("WOPartNo"), I6_PARTS_EXCLUDED) & none_like(C("WOPartNo"), I6_PART_PATTERNS_EXCLUDED)),
+           out=lambda clock: {"label": left(label(C("WONo"), " | ", F.coalesce(C("WOJobType"), F.lit("")), " | ",
+                                                  F.coalesce(C("WOPartNo"), F.lit(""))), 80),
+                              "value": clock.age(C("WOSchedStartDate"))}),
+      "I6_location", "Works Orders not in Prod Location (Top 20)", XY, (("value", "desc"),), PAGE,
+      limit=20, x_label="Days Since WO Start Date (Scheduled)", formatter="integer")
 
 
 @chart("I10_material", "Material Only WO (Start Date 12/12/12)", XY, (("value", "desc"),), PAGE,
@@ -101,28 +92,23 @@ def lots_with_last_transfer(t: Tables, location_pattern: str) -> DataFrame:
     return j.groupBy("GRNNo", "GRNLocation", "GRNPartNo").agg(F.max("LastTransfer").alias("LastTransfer"))
 
 
-@chart("I8", "Grey Market Inspection", XY + ("target",), (("value", "desc"),), PAGE,
-       x_label="Days", formatter="integer")
-def i8(t: Tables, clock: AsOf) -> DataFrame:
-    grn = t["AllLiveGRN"].where(text_eq(C("GRNLocation"), "GREY MARKET INSPECTION"))
-    return grn.select(label(C("GRNNo"), " (X", C("GRNQtyLeft"), ") ", C("GRNPartNo")).alias("label"),
-                      clock.age(C("GRNDateReceived")).alias("value"), big(5).alias("target"))
-
-
-@chart("I4", "Stock Awaiting Release (Days since parts Received)", XY + ("target",), (("value", "desc"),),
-       PAGE, x_label="Days In WIP", formatter="integer",
-       note="target 5 is emitted (the source's 'Target' alias is lost by the case-sensitive "
-            "payload). The join to the WO part-demand list only decides a grouping key that is "
-            "a function of the part, so it cannot change the rows and is not performed.")
-def i4(t: Tables, clock: AsOf) -> DataFrame:
-    grn = t["AllLiveGRN"].where((C("GRNRequiresRelease") == 1) & text_not_like(C("GRNLocation"), "MRB%")
-                                & text_ne(C("GRNLocation"), "GREY MARKET INSPECTION"))
-    items = t["AllItems"].select("PartNo", "PartDescription")
-    j = grn.join(items, key_eq(grn["GRNPartNo"], items["PartNo"]), "left")
-    keys = j.select("GRNNo", "GRNPartNo", "PartDescription", "GRNDateReceived").distinct()
-    return keys.select(
-        left(label(C("GRNNo"), " <", C("GRNPartNo"), "> ", C("PartDescription")), 25).alias("label"),
-        clock.age(C("GRNDateReceived")).alias("value"), big(5).alias("target"))
+ruled(Rule("AllLiveGRN", where=lambda clock: text_eq(C("GRNLocation"), "GREY MARKET INSPECTION"),
+           out=lambda clock: {"label": label(C("GRNNo"), " (X", C("GRNQtyLeft"), ") ", C("GRNPartNo")),
+                              "value": clock.age(C("GRNDateReceived")), "target": big(5)}),
+      "I8", "Grey Market Inspection", XY + ("target",), (("value", "desc"),), PAGE, x_label="Days", formatter="integer")
+
+ruled(Rule("AllLiveGRN",
+           where=lambda clock: ((C("GRNRequiresRelease") == 1) & text_not_like(C("GRNLocation"), "MRB%")
+                                & text_ne(C("GRNLocation"), "GREY MARKET INSPECTION")),
+           lookups=(Lookup("AllItems", (("GRNPartNo", "PartNo"),), ("PartDescription",), "left", folded=True),),
+           keys=("GRNNo", "GRNPartNo", "PartDescription", "GRNDateReceived"),
+           out=lambda clock: {"label": left(label(C("GRNNo"), " <", C("GRNPartNo"), "> ", C("PartDescription")), 25),
+                              "value": clock.age(C("GRNDateReceived")), "target": big(5)}),
+      "I4", "Stock Awaiting Release (Days since parts Received)", XY + ("target",), (("value", "desc"),),
+      PAGE, x_label="Days In WIP", formatter="integer",
+      note="target 5 is emitted (the source's 'Target' alias is lost by the case-sensitive "
+           "payload). The join to the WO part-demand list only decides a grouping key that is "
+           "a function of the part, so it cannot change the rows and is not performed.")
 
 
 @chart("I7", "LOST STOCK Location (Days)", XY + ("class_name", "target"), (("_last", "asc"),), PAGE,
@@ -184,25 +170,24 @@ def i11(t: Tables, clock: AsOf) -> DataFrame:
 
 
 # --------------------------------------------------------------------------
+#: Lots expiring in < 60 days (incl. expired) outside quarantine, deduped on lot, part and part attributes.
+EXPIRING = Rule(
+    "AllLiveGRN",
+    where=lambda clock: clock.due_lt(C("GRNExpiryDate"), 60) & text_not_like(C("GRNLocation"), "%QUARANTINE%"),
+    lookups=(Lookup("AllItems", (("GRNPartNo", "PartNo"),),
+                    ("PartDescription", "PartLeadTime", "PartGroupCode", "DemandSO", "DemandWO", "PartStockActive"), folded=True),),
+    derived=lambda: {"Demand": C("DemandSO") + C("DemandWO")},
+    keys=("GRNNo", "GRNPartNo", "PartDescription", "GRNQtyLeft", "PartLeadTime", "GRNExpiryDate", "PartGroupCode",
+          "GRNLocation", "Demand", "PartStockActive"),
+    out=lambda clock: {"label": label(C("GRNNo"), " <", C("GRNPartNo"), ">"), "value": clock.due(C("GRNExpiryDate"))})
+
+
 def expiring_lots(t: Tables, clock: AsOf) -> DataFrame:
-    """Lots expiring in < 60 days (incl. expired) outside quarantine, deduped
-    on lot, part and part attributes."""
-    grn = t["AllLiveGRN"].where(clock.due_lt(C("GRNExpiryDate"), 60)
-                                & text_not_like(C("GRNLocation"), "%QUARANTINE%"))
-    items = t["AllItems"].select("PartNo", "PartDescription", "PartLeadTime", "PartGroupCode",
-                                 "DemandSO", "DemandWO", "PartStockActive")
-    j = grn.join(items, key_eq(grn["GRNPartNo"], items["PartNo"]), "inner")
-    return j.select(
-        "GRNNo", "GRNPartNo", "PartDescription", "GRNQtyLeft", "PartLeadTime",
-        clock.due(C("GRNExpiryDate")).alias("DaysTillExpiry"), "GRNExpiryDate", "PartGroupCode",
-        "GRNLocation", (C("DemandSO") + C("DemandWO")).alias("Demand"), "PartStockActive").distinct()
+    return EXPIRING.grouped(t, clock).withColumn("DaysTillExpiry", clock.due(C("GRNExpiryDate")))
 
 
-@chart("I12", "Material and PCB Shelf Life Expiry Within 60 Days", XY, (("value", "asc"),), PAGE,
-       x_label="Days Until Expiry", formatter="integer")
-def i12(t: Tables, clock: AsOf) -> DataFrame:
-    return expiring_lots(t, clock).select(label(C("GRNNo"), " <", C("GRNPartNo"), ">").alias("label"),
-                                          C("DaysTillExpiry").alias("value"))
+ruled(EXPIRING, "I12", "Material and PCB Shelf Life Expiry Within 60 Days", XY, (("value", "asc"),), PAGE,
+      x_label="Days Until Expiry", formatter="integer")
 
 
 @chart("I13", "WO Completed with OS Material Issues", XY, (("value", "desc"),), PAGE,

@@ -3,17 +3,16 @@ training and CoSHH reviews (P1 ... P13)."""
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opskpi.functions import dates as S
 from opskpi.functions import params as P
 from opskpi.functions.clock import AsOf
-from opskpi.functions.text import (key_eq, any_like, label, left, none_like, text_eq, text_in, text_like,
+from opskpi.functions.text import (any_like, label, left, none_like, text_eq, text_in, text_like,
                                    text_not_in)
-from opskpi.plans.metric import chart
+from opskpi.plans.metric import chart, ruled
+from opskpi.plans.rules import Lookup, Rule
 from opskpi.sources.tables import Tables
 
 PAGE = "productivity"
@@ -34,47 +33,39 @@ def big(n: int):
     return F.lit(n).cast("bigint")
 
 
-def print_queue(t: Tables, clock: AsOf, ready: bool) -> DataFrame:
+def print_queue(ready: bool) -> Rule:
     """WIP/Created WOs starting between 360 days ago and 28 days ahead, with
     outstanding quantity, not printed yet, not material-only.  ``ready``
     selects items whose status is outside the not-ready list (NULL status
-    drops out of both lists)."""
-    start = C("WOSchedStartDate")
-    patterns = P2_PART_PATTERNS_EXCLUDED if ready else P1_PART_PATTERNS_EXCLUDED
-    wo = t["worksOrder"].where(
-        clock.date_ge_now(start, -360) & clock.date_le_now(start, 28) & (C("WOQtyOS") > 0)
-        & text_in(C("WOStatusDescription"), ("WIP", "Created"))
-        & S.sentinel_not_in(C("WOEarliestStartDate"), S.MATERIAL_ONLY_START)
-        & none_like(C("WOPartNo"), patterns))
-    status = C("StatusDescription")
-    status_ok = text_not_in(status, NOT_READY_STATUSES) if ready else text_in(status, NOT_READY_STATUSES)
-    items = t["AllItems"].where(status_ok).select("PartNo", "StatusDescription")
-    j = wo.join(items, key_eq(wo["WOPartNo"], items["PartNo"]), "inner")
-    # "not printed": left join + PrintedBy IS NULL, exactly as a WO with a
-    # NULL-printer row still passes even when another row names a printer
-    # the print log is the non-preserved side: distinct (WO, printer) pairs are
-    # all that can reach the deduped output, so collapse them before the join
-    pv = t["PV601"].select("WorksOrder", "PrintedBy").distinct()
-    j = j.join(pv, j["WONo"] == pv["WorksOrder"], "left").where(C("PrintedBy").isNull())
-    keys = j.select("WOSchedStartDate", "StatusDescription", "WOQtyOS", "WOStatusDescription", "PrintedBy",
-                    "WOPartNo", "WOEarliestStartDate", "WONo").distinct()
-    return keys.select(
-        label(C("WONo"), " (", C("WOSchedStartDate"), ") : ", C("WOPartNo")).alias("label"),
-        clock.due(C("WOSchedStartDate")).alias("value"), big(7).alias("target"),
-        big(0).alias("target_start"), C("WOSchedStartDate").alias("_start"))
-
+    drops out of both lists).
 
-@chart("P1", "TBR / IN-DEV / ENG-HOLD / NPI / CAUTION / DORMANT WO's", XY + ("target", "target_start"),
-       (("value", "asc"),), PAGE, x_label="Days Until Start Date", formatter="integer",
-       note="'*REPAIR'/'*RETURN' read as '%REPAIR'/'%RETURN'; the label is kept whole")
-def p1(t: Tables, clock: AsOf) -> DataFrame:
-    return print_queue(t, clock, ready=False)
-
-
-@chart("P2", "WO's ready to Print - Due Within 28 Days", XY + ("target", "target_start"),
-       (("_start", "asc"),), PAGE, x_label="Days Until Start Date", formatter="integer")
-def p2(t: Tables, clock: AsOf) -> DataFrame:
-    return print_queue(t, clock, ready=True)
+    "Not printed" is a left join + PrintedBy IS NULL: a WO with a NULL-printer
+    row still passes even when another row names a printer.  Only distinct
+    (WO, printer) pairs can reach the deduped output."""
+    patterns = P2_PART_PATTERNS_EXCLUDED if ready else P1_PART_PATTERNS_EXCLUDED
+    status_in = text_not_in if ready else text_in
+    return Rule(
+        "worksOrder",
+        where=lambda clock: (
+            clock.date_ge_now(C("WOSchedStartDate"), -360) & clock.date_le_now(C("WOSchedStartDate"), 28)
+            & (C("WOQtyOS") > 0) & text_in(C("WOStatusDescription"), ("WIP", "Created"))
+            & S.sentinel_not_in(C("WOEarliestStartDate"), S.MATERIAL_ONLY_START) & none_like(C("WOPartNo"), patterns)),
+        lookups=(Lookup("AllItems", (("WOPartNo", "PartNo"),), ("StatusDescription",), folded=True),
+                 Lookup("PV601", (("WONo", "WorksOrder"),), ("PrintedBy",), "left", distinct=True)),
+        having=lambda clock: status_in(C("StatusDescription"), NOT_READY_STATUSES) & C("PrintedBy").isNull(),
+        keys=("WOSchedStartDate", "StatusDescription", "WOQtyOS", "WOStatusDescription", "PrintedBy", "WOPartNo",
+              "WOEarliestStartDate", "WONo"),
+        out=lambda clock: {"label": label(C("WONo"), " (", C("WOSchedStartDate"), ") : ", C("WOPartNo")),
+                           "value": clock.due(C("WOSchedStartDate")), "target": big(7), "target_start": big(0),
+                           "_start": C("WOSchedStartDate")})
+
+
+ruled(print_queue(ready=False), "P1", "TBR / IN-DEV / ENG-HOLD / NPI / CAUTION / DORMANT WO's",
+      XY + ("target", "target_start"), (("value", "asc"),), PAGE, x_label="Days Until Start Date", formatter="integer",
+      note="'*REPAIR'/'*RETURN' read as '%REPAIR'/'%RETURN'; the label is kept whole")
+
+ruled(print_queue(ready=True), "P2", "WO's ready to Print - Due Within 28 Days", XY + ("target", "target_start"),
+      (("_start", "asc"),), PAGE, x_label="Days Until Start Date", formatter="integer")
 
 
 @chart("P3a", "Overdue CR Actions", XY, (("value", "desc"),), PAGE, x_label="QTY Overdue Actions",
@@ -111,29 +102,25 @@ def p4(t: Tables, clock: AsOf) -> DataFrame:
                        big(90).alias("target"))
 
 
-@chart("P5", "Enquiry Status - Submitted", XY, (("value", "asc"),), PAGE,
-       x_label="Days Until Follow-Up Required", formatter="integer",
-       note="estimator and sales-rep joins only repeat rows the DISTINCT removes; not performed")
-def p5(t: Tables, clock: AsOf, enquiry_from: date = S.ENQUIRY_CUTOFF) -> DataFrame:
-    enq = t["AllEnq"].where(clock.due_le(C("EnqDecisionDate"), 7) & (C("EnqDecisionDate") >= F.lit(enquiry_from))
-                            & text_eq(C("EnqStatus"), "#Submitted"))
-    emp = t["employees"].select("BadgeNo", "Name")
-    j = enq.join(emp, enq["EnqFollowUpBy"] == emp["BadgeNo"], "left")
-    return j.select(label(C("EnquiryNo"), " ", C("EnqCustID"), " (S-)", C("Name")).alias("label"),
-                    clock.due(C("EnqDecisionDate")).alias("value")).distinct()
-
-
-@chart("P6", "PO's waiting Confirmation (Top 20)", XY + ("target_start", "target"), (("value", "desc"),),
-       PAGE, limit=20, x_label="Days Since PO Submitted", formatter="integer")
-def p6(t: Tables, clock: AsOf) -> DataFrame:
-    po = t["AllLivePO"].where(S.sentinel_not_in(C("PODetDatePromised"), S.P6_PROMISED_EXCLUDED)
-                              & (C("POSubmitted") == 1) & (C("POConfirmation") == 0)
-                              & C("POSentDate").isNotNull())
-    emp = t["employees"].select("BadgeNo", "Name")
-    j = po.join(emp, po["POBuyer"] == emp["BadgeNo"], "inner")
-    return j.select(label(C("PONum"), " / ", C("Name"), " / ", left(C("POSuppAddressName"), 15)).alias("label"),
-                    clock.age(C("POSentDate")).alias("value"), big(0).alias("target_start"),
-                    big(7).alias("target")).distinct()
+ruled(Rule("AllEnq", params={"enquiry_from": S.ENQUIRY_CUTOFF},
+           where=lambda clock, enquiry_from: (
+               clock.due_le(C("EnqDecisionDate"), 7) & (C("EnqDecisionDate") >= F.lit(enquiry_from))
+               & text_eq(C("EnqStatus"), "#Submitted")),
+           lookups=(Lookup("employees", (("EnqFollowUpBy", "BadgeNo"),), ("Name",), "left"),), distinct=True,
+           out=lambda clock: {"label": label(C("EnquiryNo"), " ", C("EnqCustID"), " (S-)", C("Name")),
+                              "value": clock.due(C("EnqDecisionDate"))}),
+      "P5", "Enquiry Status - Submitted", XY, (("value", "asc"),), PAGE,
+      x_label="Days Until Follow-Up Required", formatter="integer",
+      note="estimator and sales-rep joins only repeat rows the DISTINCT removes; not performed")
+
+ruled(Rule("AllLivePO",
+           where=lambda clock: (S.sentinel_not_in(C("PODetDatePromised"), S.P6_PROMISED_EXCLUDED)
+                                & (C("POSubmitted") == 1) & (C("POConfirmation") == 0) & C("POSentDate").isNotNull()),
+           lookups=(Lookup("employees", (("POBuyer", "BadgeNo"),), ("Name",)),), distinct=True,
+           out=lambda clock: {"label": label(C("PONum"), " / ", C("Name"), " / ", left(C("POSuppAddressName"), 15)),
+                              "value": clock.age(C("POSentDate")), "target_start": big(0), "target": big(7)}),
+      "P6", "PO's waiting Confirmation (Top 20)", XY + ("target_start", "target"), (("value", "desc"),),
+      PAGE, limit=20, x_label="Days Since PO Submitted", formatter="integer")
 
 
 @chart("P9", "Obsolescence Log Open Items (PV718) Top 25 by Days Open", XY + ("target_start", "target"),

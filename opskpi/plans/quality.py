@@ -10,7 +10,8 @@ from opskpi.functions.clock import AsOf
 from opskpi.functions.text import key_eq, any_like, label, text_eq, text_like, text_ne, text_not_in
 from opskpi.operators.relational import left_join_split
 from opskpi.plans.inventory import lots_with_last_transfer
-from opskpi.plans.metric import chart
+from opskpi.plans.metric import chart, ruled
+from opskpi.plans.rules import Lookup, Rule
 from opskpi.sources.tables import Tables
 
 PAGE = "quality"
@@ -68,12 +69,10 @@ def q2(t: Tables, clock: AsOf, location_pattern: str = "MR%") -> DataFrame:
                        big(7).alias("target"))
 
 
-@chart("Q3_customer", "WO's Pending Customer Query", XY, (("value", "asc"),), PAGE,
-       x_label="Days Since Scheduled Finish", formatter="integer")
-def q3(t: Tables, clock: AsOf) -> DataFrame:
-    wo = t["worksOrder"].where((C("WOQtyOS") > 0) & text_eq(C("WOJobType"), "PENDING CUSTOMER"))
-    return wo.select(label(C("WONo"), " (", C("WOPartNo"), ")").alias("label"),
-                     clock.age(C("WOSchedFinishDate")).alias("value"))
+ruled(Rule("worksOrder", where=lambda clock: (C("WOQtyOS") > 0) & text_eq(C("WOJobType"), "PENDING CUSTOMER"),
+           out=lambda clock: {"label": label(C("WONo"), " (", C("WOPartNo"), ")"), "value": clock.age(C("WOSchedFinishDate"))}),
+      "Q3_customer", "WO's Pending Customer Query", XY, (("value", "asc"),), PAGE,
+      x_label="Days Since Scheduled Finish", formatter="integer")
 
 
 @chart("Q6", "Open NCR (Days) Top 20 With Open Actions (Pre/Cor)", XY + ("target_start", "target"),
@@ -98,29 +97,24 @@ def q7(t: Tables, clock: AsOf, type_pattern: str = "%") -> DataFrame:
                     clock.due(C("Target")).alias("value"))
 
 
-def calibration_due(t: Tables, clock: AsOf, calibrated_group: bool) -> DataFrame:
-    group = text_eq(C("GroupName"), "CALIBRATED") if calibrated_group else C("GroupName").isNull()
-    cal = t["AllCalibration"].where(
-        clock.due_le(C("ToolNextCalibration"), 7) & text_ne(C("CalibrationStatusDesc"), "closed")
-        & (C("ToolRequiresCalibration") == 1) & group
-        & (C("ToolLocation").isNull() | text_not_in(C("ToolLocation"), OUT_OF_SERVICE_LOCATIONS)))
-    emp = t["employees"].select("BadgeNo", "Name")
-    j = cal.join(emp, cal["ToolResponsible"] == emp["BadgeNo"], "left")
-    return j.select(label(C("ToolCompanySerialNo"), " (", C("ToolNo"), ") ", " # ", C("Name"), " # ",
-                          C("ToolLocation")).alias("label"),
-                    clock.due(C("ToolNextCalibration")).alias("value"))
-
+def calibration_due(group) -> Rule:
+    return Rule(
+        "AllCalibration",
+        where=lambda clock: (
+            clock.due_le(C("ToolNextCalibration"), 7) & text_ne(C("CalibrationStatusDesc"), "closed")
+            & (C("ToolRequiresCalibration") == 1) & group(C("GroupName"))
+            & (C("ToolLocation").isNull() | text_not_in(C("ToolLocation"), OUT_OF_SERVICE_LOCATIONS))),
+        lookups=(Lookup("employees", (("ToolResponsible", "BadgeNo"),), ("Name",), "left"),),
+        out=lambda clock: {"label": label(C("ToolCompanySerialNo"), " (", C("ToolNo"), ") ", " # ", C("Name"), " # ",
+                                          C("ToolLocation")),
+                           "value": clock.due(C("ToolNextCalibration"))})
 
-@chart("Q8", "Calibration Due in Next 7 Days", XY, (("value", "asc"),), PAGE,
-       x_label="Days Until Due", formatter="integer")
-def q8(t: Tables, clock: AsOf) -> DataFrame:
-    return calibration_due(t, clock, calibrated_group=True)
 
+ruled(calibration_due(lambda g: text_eq(g, "CALIBRATED")), "Q8", "Calibration Due in Next 7 Days", XY,
+      (("value", "asc"),), PAGE, x_label="Days Until Due", formatter="integer")
 
-@chart("Q8b", "Tooling Checks Due in Next 7 Days", XY, (("value", "asc"),), PAGE,
-       x_label="Days Until Due", formatter="integer")
-def q8b(t: Tables, clock: AsOf) -> DataFrame:
-    return calibration_due(t, clock, calibrated_group=False)
+ruled(calibration_due(lambda g: g.isNull()), "Q8b", "Tooling Checks Due in Next 7 Days", XY, (("value", "asc"),), PAGE,
+      x_label="Days Until Due", formatter="integer")
 
 
 @chart("Q9", "Stock in QUARANTINE", XY, (("value", "desc"),), PAGE,
