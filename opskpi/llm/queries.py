@@ -108,33 +108,31 @@ c AS (SELECT w.rid, doc_id, source, lang, len(words)::BIGINT AS n_words,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
              len(lines)::BIGINT AS n_lines
       FROM w LEFT JOIN r USING (rid)),
+p(share, sign, least) AS (VALUES ('symbols', 1, 500), ('dup_lines', 1, 5000), ('long_words', 1, 5000), ('short_words', -1, 1500)),
 s AS (SELECT rid, source, lang, share, CASE WHEN den > 0 THEN (num * 10000) // den ELSE 0 END AS v FROM (
-      SELECT rid, source, lang, 'symbols' AS share, n_symbols AS num, word_chars AS den FROM c WHERE n_words > 0 UNION ALL
-      SELECT rid, source, lang, 'dup_lines', n_dup_lines, n_lines FROM c WHERE n_words > 0 UNION ALL
-      SELECT rid, source, lang, 'word_length', word_chars, n_words * 20 FROM c WHERE n_words > 0)),
+      SELECT rid, source, lang, share, CASE share WHEN 'symbols' THEN n_symbols WHEN 'dup_lines' THEN n_dup_lines ELSE word_chars END AS num,
+             CASE share WHEN 'symbols' THEN word_chars WHEN 'dup_lines' THEN n_lines ELSE n_words * 20 END AS den
+      FROM c, p WHERE n_words > 0)),
 h AS (SELECT source, lang, share, bin, count(*) AS n FROM (
-      SELECT *, CASE WHEN v < 64 THEN v ELSE (p - 5) * 32 + (v >> (p - 5)) END AS bin
-      FROM (SELECT *, CASE WHEN v < 64 THEN 0 ELSE floor(log2(v + 0.5))::INT END AS p FROM s)) GROUP BY ALL),
+      SELECT *, CASE WHEN v < 64 THEN v ELSE (e - 5) * 32 + (v >> (e - 5)) END AS bin
+      FROM (SELECT *, CASE WHEN v < 64 THEN 0 ELSE floor(log2(v + 0.5))::INT END AS e FROM s)) GROUP BY ALL),
 l AS (SELECT 0 AS lev, source, lang, share, bin, n FROM h UNION ALL
       SELECT 1, NULL, lang, share, bin, sum(n) FROM h GROUP BY lang, share, bin UNION ALL
       SELECT 2, NULL, NULL, share, bin, sum(n) FROM h GROUP BY share, bin),
+b AS (SELECT *, CASE WHEN bin < 64 THEN bin ELSE (bin - (bin // 32 - 1) * 32 + 1) * (1 << (bin // 32 - 1)::INT) - 1 END AS top FROM l),
 u AS (SELECT *, sum(n) OVER (PARTITION BY lev, source, lang, share ORDER BY bin) AS upto,
-                sum(n) OVER (PARTITION BY lev, source, lang, share) AS total FROM l),
-q AS (SELECT lev, source, lang, share, max(total) AS n,
-             min(bin) FILTER (upto >= ceil(total * 0.5::DOUBLE)) AS mid, min(bin) FILTER (upto >= ceil(total * 0.9::DOUBLE)) AS hi,
-             min(bin) FILTER (upto >= ceil(total * (1 - 0.9::DOUBLE))) AS lo FROM u GROUP BY ALL),
-k AS (SELECT lev, source, lang, share, n, CASE WHEN mid < 64 THEN mid ELSE (mid - (mid // 32 - 1) * 32 + 1) * (1 << (mid // 32 - 1)::INT) - 1 END AS mid, CASE WHEN hi < 64 THEN hi ELSE (hi - (hi // 32 - 1) * 32 + 1) * (1 << (hi // 32 - 1)::INT) - 1 END AS hi, CASE WHEN lo < 64 THEN lo ELSE (lo - (lo // 32 - 1) * 32 + 1) * (1 << (lo // 32 - 1)::INT) - 1 END AS lo FROM q),
-x AS (SELECT o.source, o.lang, o.share,
-             CASE WHEN o.n >= 100 THEN o.mid WHEN m.n >= 100 THEN m.mid ELSE a.mid END AS mid,
-             CASE WHEN o.n >= 100 THEN o.hi WHEN m.n >= 100 THEN m.hi ELSE a.hi END AS hi,
-             CASE WHEN o.n >= 100 THEN o.lo WHEN m.n >= 100 THEN m.lo ELSE a.lo END AS lo
-      FROM k o JOIN k m ON o.lev = 0 AND m.lev = 1 AND o.lang IS NOT DISTINCT FROM m.lang AND o.share = m.share
-               JOIN k a ON a.lev = 2 AND o.share = a.share),
-f AS (SELECT source, lang,
-             max(mid + greatest(4 * (hi - mid), 500)) FILTER (share = 'symbols') AS f1,
-             max(mid + greatest(4 * (hi - mid), 5000)) FILTER (share = 'dup_lines') AS f2,
-             max(mid + greatest(4 * (hi - mid), 5000)) FILTER (share = 'word_length') AS f4,
-             max(mid - greatest(4 * (mid - lo), 1500)) FILTER (share = 'word_length') AS f5 FROM x GROUP BY ALL)
+                sum(n) OVER (PARTITION BY lev, source, lang, share) AS total FROM b),
+m AS (SELECT *, min(top) FILTER (upto >= ceil(total * 0.5::DOUBLE)) OVER (PARTITION BY lev, source, lang, share) AS mid FROM u),
+d2 AS (SELECT *, sum(n) OVER (PARTITION BY lev, source, lang, share ORDER BY abs(top - mid)) AS within FROM m),
+k AS (SELECT lev, source, lang, share, max(total) AS n, min(mid) AS mid,
+             min(abs(top - mid)) FILTER (within >= ceil(total * 0.5::DOUBLE)) AS mad FROM d2 GROUP BY ALL),
+y AS (SELECT k.*, sign, mid + sign * greatest(7.6::DOUBLE * mad, least) AS fence FROM k JOIN p USING (share)),
+x AS (SELECT o.source, o.lang, o.share, o.sign, o.n, o.mid, o.fence, CASE WHEN g.n >= 100 THEN g.fence ELSE a.fence END AS wide
+      FROM y o JOIN y g ON o.lev = 0 AND g.lev = 1 AND o.lang IS NOT DISTINCT FROM g.lang AND o.share = g.share
+               JOIN y a ON a.lev = 2 AND o.share = a.share),
+z AS (SELECT source, lang, share, CASE WHEN n < 100 OR sign * (mid - wide) > 0 THEN wide ELSE fence END AS fence FROM x),
+f AS (SELECT source, lang, max(fence) FILTER (share = 'symbols') AS f1, max(fence) FILTER (share = 'dup_lines') AS f2,
+             max(fence) FILTER (share = 'long_words') AS f4, max(fence) FILTER (share = 'short_words') AS f5 FROM z GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (

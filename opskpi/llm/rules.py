@@ -7,10 +7,11 @@ power of two beyond (a share is scaled to a whole number first), so two
 sketches merge by adding counts and any part of the corpus may be counted
 anywhere.  From the merged sketch of a group come its median and the median
 distance from it, which up to half of the texts cannot inflate, and from those
-the fences beyond which a text is an outlier *of its group*; groups with few
-texts lean on the sketch of their language, then on that of the corpus, and so
-do groups whose very median is an outlier there.  The fences join back to the
-texts.
+the fences beyond which a text is an outlier *of its group*; a group with few
+texts leans on the sketch of its language, and so does one whose very median is
+an outlier there.  A language with few texts leans on the sketch of the corpus,
+but one with enough is never judged by the fence of others: words of a script
+without blanks are not long words.  The fences join back to the texts.
 
 Defined cases: null text has no words and fails the base rule; null source or
 language is a group of its own; repeated rows count as often as they stand;
@@ -158,11 +159,11 @@ def thresholds(counts: DataFrame, group: tuple[str, str] = ("source", "lang")) -
     level = own.join(middle, C(f"o.{lang}").eqNullSafe(C(f"m.{lang}")) & (C("o.share") == C("m.share"))) \
                .join(world, C("o.share") == C("w.share"))
 
-    def unless_poor(a: str, wider: Column) -> Column:
-        few, poor = C(f"{a}.rows") < GROUP_ROWS, C("o.sign") * (C(f"{a}.mid") - wider) > 0
-        return F.when(few | poor, wider).otherwise(C(f"{a}.fence"))
-
-    fence = unless_poor("o", unless_poor("m", C("w.fence")))
+    # a language is judged by the corpus only where it has too few texts of its own; a source by its
+    # language also where its very median is an outlier there
+    middle_fence = F.when(C("m.rows") < GROUP_ROWS, C("w.fence")).otherwise(C("m.fence"))
+    poor = C("o.sign") * (C("o.mid") - middle_fence) > 0
+    fence = F.when((C("o.rows") < GROUP_ROWS) | poor, middle_fence).otherwise(C("o.fence"))
     return level.select(C(f"o.{source}").alias(source), C(f"o.{lang}").alias(lang), C("o.share").alias("share"),
                         fence.alias("fence")).groupBy(source, lang).agg(
         *(F.max(F.when(C("share") == name, C("fence"))).alias(f"{name}_fence") for name in SHARES))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import duckdb
@@ -107,3 +108,20 @@ def test_median_distance_of_a_sketch(spark):
     sketch = spark.createDataFrame([("x", v, values.count(v)) for v in set(values)], "share string, bin long, n long")
     r = rules.quantiles(sketch, []).first()
     assert (r["mid"], r["mad"]) == (int(np.sort(values)[44]), int(np.sort(np.abs(np.array(values) - 5))[44]))
+
+
+@pytest.mark.parametrize("script", ["漢字語文明日本人山川田中", "กขคงจฉชซฌญฎฏ"])
+def test_languages_without_blanks_keep_their_own_measure(spark, script):
+    r = random.Random(7)
+
+    def line():
+        return "".join(r.choice(script) for _ in range(r.randint(18, 60)))
+
+    english = [(i, prose(i, r.randint(40, 160)), "en", f"e{i % 4}") for i in range(2000)]
+    other = [(5000 + i, "\n".join(line() for _ in range(r.randint(12, 30))), "xx", f"x{i % 2}") for i in range(1000)]
+    junk = [(9000 + i, "\n".join(line() + "$#|" * 6 for _ in range(14)), "xx", "junk") for i in range(150)]
+    df = spark.createDataFrame(english + other + junk, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in rules.judge(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert sum(not got[i]["kept"] for i, *_ in english) <= 2 and sum(not got[i]["kept"] for i, *_ in other) <= 2
+    assert not any(got[i]["kept"] for i, *_ in junk)    # a poor source falls by its own language's fence
