@@ -20,6 +20,13 @@ main element, or else the body), without
 * paths of low importance - these only where the page names no article, since
   inside one a passage that the site repeats is still the article's.
 
+Outside an article furniture only *marks* a subtree, as surely (a tag, a role or
+a name that says nothing else) or possibly furniture (a form, or a name that
+has a word of it, like ``with-sidebar``).  An article or main element is never
+lost to a mark of its ancestors: a page's articles are those without a mark, or
+else whichever of its marked articles and its main element says most.  Without
+either, sure furniture goes and possible furniture goes where its path is low.
+
 Inside an article a word in a name is not enough, since headings and sections
 are named after what they say (``id='related-work'``).  There a container is
 dropped by name if one of its classes, or its id, is as a whole the name of an
@@ -86,6 +93,12 @@ COMMENT_NAMES = frozenset(
     "respond replies".split())
 #: Inside an article these never count as furniture by a word of their names.
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p section article blockquote pre".split())
+#: Beside a word of furniture these say nothing else; with one of the others a name tells what a page has or lacks.
+GENERIC = frozenset(
+    "area bar block blocks body bottom box buttons container content desktop footer form group header icons inner item items "
+    "left links list main mobile module outer panel posts articles stories right row section site slot top unit wrap wrapper "
+    "post article text global primary secondary".split())
+TELLING = frozenset("with without no has layout page".split())
 OUTSIDE_WORDS = frozenset("header masthead topbar".split())
 NOISE_ROLES = frozenset("navigation complementary contentinfo search form dialog alertdialog alert menu menubar toolbar".split())
 
@@ -112,19 +125,37 @@ def _furniture(tag: str, attrs: dict[str, str]) -> bool:
     return tag in CONTAINERS and bool(names & (NOISE_NAMES | COMMENT_NAMES))
 
 
+def _mark(tag: str, role: str, attrs: dict[str, str]) -> int:
+    """Whether an element outside an article is surely (2), possibly (1) or not (0) furniture."""
+    content = tag in ("article", "main", "body", "html") or role in ("main", "article")
+    if content:
+        about = _names(attrs) & {"comment", "comments", "reply", "replies", "ad", "ads", "promo", "sponsored", "related"}
+        return 2 if about and tag not in ("html", "body", "main") else 0
+    if tag == "header" or role == "banner" or (tag in FURNITURE and tag != "form") or (role in NOISE_ROLES and role != "form"):
+        return 2
+    mark = 1 if tag == "form" or role == "form" else 0
+    for name in (*attrs.get("class", "").split(), attrs.get("id", "")):
+        words = [w.lower() for w in _WORDS.findall(name)]
+        noise = [w for w in words if w in NOISE_WORDS or w in OUTSIDE_WORDS]
+        if noise:
+            sure = all(w in NOISE_WORDS or w in OUTSIDE_WORDS or w in GENERIC for w in words)
+            mark = max(mark, 2 if sure and not TELLING.intersection(words) else 1)
+    return mark
+
+
 class Walk:
     """One pass over a page: the tree's nodes on the way, and the text blocks with where they stand."""
 
     def __init__(self, page: str):
-        #: (path, children's tags, own text) of each path; blocks: [parts, in article, in main, path, named as furniture]
+        #: (path, children's tags, own text) of each path; blocks: (text, in article, in main, path, named as furniture, mark)
         self.style: dict[int, list[str]] = {}
         self.said: dict[int, list[str]] = {}
-        self.blocks: list[tuple[str, bool, bool, int, bool]] = []
-        self.has_article = self.has_main = False
-        # an open element: tag, path, dropped, inside article, inside main, a word of furniture in a name within the article
-        self.stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", 0, False, False, False, False)]
+        self.blocks: list[tuple[str, bool, bool, int, bool, int]] = []
+        # an open element: tag, path, dropped, inside article, inside main, a word of furniture in a name within the
+        # article, the mark of furniture outside it
+        self.stack: list[tuple[str, int, bool, bool, bool, bool, int]] = [("", 0, False, False, False, False, 0)]
         self._run: list[str] = []
-        self._run_at: tuple[bool, bool, int, bool] | None = None
+        self._run_at: tuple[bool, bool, int, bool, int] | None = None
         self._read(page)
         self._flush()
 
@@ -133,8 +164,8 @@ class Walk:
             text = " ".join("".join(self._run).split())
             self._run.clear()
             if text:
-                article, main, path, named = self._run_at
-                self.blocks.append((text, article, main, path, named))
+                article, main, path, named, mark = self._run_at
+                self.blocks.append((text, article, main, path, named, mark))
                 self.said.setdefault(path, []).append(text)
         self._run_at = None
 
@@ -145,7 +176,7 @@ class Walk:
         if self._run_at is None:
             if raw.isspace():
                 return
-            self._run_at = (top[3], top[4], top[1], top[5])
+            self._run_at = (top[3], top[4], top[1], top[5], top[6])
         self._run.append(html.unescape(raw) if "&" in raw else raw)
 
     def _pop(self, at: int) -> None:
@@ -171,37 +202,31 @@ class Walk:
             self._close(names.split(), until)
         if tag in BLOCKS:
             self._flush()
-        _, path, dropped, article, main, named = self.stack[-1]
+        _, path, dropped, article, main, named, mark = self.stack[-1]
         self.style.setdefault(path, []).append(tag)
         if tag in VOID:
             if tag == "br":
                 self._text(" ")
             return
         if dropped:
-            self.stack.append((tag, path, True, article, main, named))
+            self.stack.append((tag, path, True, article, main, named, mark))
             return
         attrs: dict[str, str] = {}
         for m in _ATTR.finditer(raw):
             attrs.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
         role = attrs.get("role", "").lower()
-        names = _names(attrs)
-        word = bool(names & NOISE_WORDS)
-        content = tag in ("article", "main", "body", "html") or role in ("main", "article")
-        dropped = (tag in NO_PROSE or tag in FURNITURE or role in NOISE_ROLES or "hidden" in attrs
-                   or attrs.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(attrs.get("style", "")))
-                   or (not article and (tag == "header" or role == "banner" or bool(names & OUTSIDE_WORDS)) and not content)
-                   or (article and _furniture(tag, attrs))
-                   or (not article and word and tag not in ("html", "body", "main")
-                       and (not content or bool(names & {"comment", "comments", "reply", "replies", "ad", "ads", "promo",
-                                                         "sponsored", "related"}))))
+        word = bool(_names(attrs) & NOISE_WORDS)
+        dropped = (tag in NO_PROSE or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
+                   or bool(_HIDDEN.search(attrs.get("style", "")))
+                   or (article and (tag in FURNITURE or role in NOISE_ROLES or _furniture(tag, attrs))))
+        if not article:
+            mark = max(mark, _mark(tag, role, attrs))
         shape = re.sub(r"\d+", "", f"{tag}.{'.'.join(sorted(attrs.get('class', '').split()))}#{attrs.get('id', '')}")
         path = xxhash.xxh3_64_intdigest(shape, path & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
-        if not dropped and (tag == "article" or role == "article"):
-            article = self.has_article = True
-        if not dropped and (tag == "main" or role == "main"):
-            main = self.has_main = True
+        article = article or (not dropped and (tag == "article" or role == "article"))
+        main = main or (not dropped and (tag == "main" or role == "main"))
         named = named or (article and word and tag in BLOCKS and tag not in PROSE)
-        self.stack.append((tag, path, dropped, article, main, named))
+        self.stack.append((tag, path, dropped, article, main, named, mark))
 
     def _read(self, page: str) -> None:
         at, n = 0, len(page)
@@ -236,11 +261,12 @@ class Walk:
                 at = end.end()
 
     def text(self, low: frozenset[int] | set[int] = frozenset()) -> str:
-        if self.has_article and (own := [b[0] for b in self.blocks if b[1] and not (b[4] and b[3] in low)]):
-            return "\n".join(own)
-        if self.has_main and (own := [b[0] for b in self.blocks if b[2] and b[3] not in low]):
-            return "\n".join(own)
-        return "\n".join(b[0] for b in self.blocks if b[3] not in low)
+        kept = [b for b in self.blocks if b[5] < 2 and b[3] not in low]     # outside articles
+        articles = [[b[0] for b in self.blocks if b[1] and b[5] == mark and not (b[4] and b[3] in low)] for mark in range(3)]
+        if articles[0]:
+            return "\n".join(articles[0])
+        told = max(([b[0] for b in kept if b[2]], *articles[1:]), key=lambda own: sum(map(len, own)))
+        return "\n".join(told or [b[0] for b in kept])
 
 
 def _host(url):

@@ -107,3 +107,58 @@ def test_named_containers_in_articles_need_the_style_tree(spark):
              f"<div id=menu-planning><ul><li>Dish {i}</li></ul></div><section id=related-work><h2>Related work</h2><p>Cites {i}"
              "</p></section></article>") for i in range(20)]
     assert all(r[2] == f"Own {r[0]}\nDish {r[0]}\nRelated work\nCites {r[0]}" for r in run(spark, rows))
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<div class='layout with-sidebar'><article><p>Story one</p></article></div>", "Story one"),
+    ("<form id='aspnetForm'><main><article><p>A b</p></article></main></form>", "A b"),
+    ("<div class='page no-banner'><main><p>X</p></main></div>", "X"),
+    ("<div id='social-network-story'><p>tale</p></div>", "tale"),
+    ("<body><div class='sidebar'><article><p>only article</p></article></div><p>stray</p></body>", "only article"),
+    ("<div class='related-posts'><article>teaser</article></div><main><p>The long story is here.</p></main>", "The long story is here."),
+    ("<aside><article>side</article></aside><article>main one</article>", "main one"),
+    ("<nav><p>menu</p></nav><div class='cookie-banner'>We use</div><p>text</p>", "text"),
+    ("<div class='article-comments'><article class=comment>Nice!</article></div><article>Own</article>", "Own"),
+])
+def test_no_ancestor_loses_an_article(page, text):
+    assert Walk(page).text() == text
+
+
+def test_given_pages_whole(spark):
+    """Whole texts against the library's parser: the blocks of the article, without other markup."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks, self.run = False, [], ""
+
+        def flush(self):
+            if self.run.split():
+                self.blocks.append(" ".join(self.run.split()))
+            self.run = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            if tag == "br":
+                self.run += " "
+            elif tag in ("article", "p", "h1", "h2", "h3"):
+                self.flush()
+
+        def handle_endtag(self, tag):
+            if tag in ("article", "p", "h1", "h2", "h3"):
+                self.flush()
+            self.inside = self.inside and tag != "article"
+
+        def handle_data(self, data):
+            self.run += data if self.inside else ""
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in main_text(pages).collect()}
+    rows = pages.collect()
+    assert len(rows) == len(got) > 200
+    for r in rows:
+        want = Article()
+        want.feed(r["html"])
+        want.flush()
+        assert got[r["page_id"]] == "\n".join(want.blocks)
