@@ -15,10 +15,9 @@ laid out over a run of equal sequences); each piece finds its place by its
 rank among the pieces of its length.  The rank is a count inside the task plus
 an offset of the task, so no length is gathered into one task.
 
-Text that spells a special token (``<|endoftext|>``) is encoded as the text it
-is (the library's ``encode_special_tokens``), so that no document can forge the
-end of one; the library's default would give the special token's id, and so
-other ids, lengths and checksums for such documents.
+Text that spells a token added to the vocabulary (``<|endoftext|>``) gets that
+token's id, as the library gives it by default: such texts go through the whole
+tokenizer, all others word by word.
 
 Defined cases: null text packs as empty text (only the end token); a repeated
 row is packed again; an empty table gives no rows; further input columns are
@@ -70,11 +69,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.memory = IdMemory(WORD_MEMORY)
         self.parts: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.added = [t["content"] for t in spec["added_tokens"]]
         split, level = spec["pre_tokenizer"]["pretokenizers"]
         suffix = spec["model"]["end_of_word_suffix"]
         self.split = regex.compile(split["pattern"]["Regex"])
@@ -128,6 +127,11 @@ class WordTokenizer:
         A word is known by a 64-bit hash of its bytes; looking up and laying
         out the ids of the words of a stretch are a few array operations.
         """
+        odd = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
+        if odd:
+            whole = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True))
+            plain = self.encode([None if i in whole else t for i, t in enumerate(texts)])
+            return [whole.get(i, ids) for i, ids in enumerate(plain)]
         out: list[bytes] = []
         for _, _, buf, starts in text_chunks(texts, lower=False):
             a, b = word_spans(buf)

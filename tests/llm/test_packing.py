@@ -72,7 +72,6 @@ def test_a_piece_beyond_a_capacity_is_refused():
 
 def test_words_give_the_ids_of_whole_texts():
     tok, full = WordTokenizer(PATH), Tokenizer.from_file(PATH)
-    full.encode_special_tokens = True
     r = random.Random(3)
     letters = list("abXY'stTrE09 \t\n.,!|*%") + ["é", "É", "ß", "İ", "Σ", "σ", "é", "\xa0", "\x85", "\x1c", "漢", "😀",
                                                    "½", "<|endoftext|>", "​", "　", "\x00", "ﬁ", "don't"]
@@ -82,9 +81,8 @@ def test_words_give_the_ids_of_whole_texts():
 
 
 def test_pieces_of_awkward_documents(spark):
-    rows = awkward()
+    rows = [*awkward(), (70, "hello <|endoftext|> x"), (71, "<|startoftext|>")]
     full = Tokenizer.from_file(PATH)
-    full.encode_special_tokens = True
     want = []
     for i, t in rows:
         ids = [*full.encode(t or "", add_special_tokens=False).ids, 1]
