@@ -159,7 +159,7 @@ def op_sort_label_numeric(spark: SparkSession, sf: str) -> DataFrame:
     t = driver_tables(spark, sf)
     d12 = _chart(t, "D12").select("label")
     keys = [k.asc_nulls_first() for k in numeric_label_key(C("label"))]
-    return ranked(d12.withColumn("_one", F.lit(1)), "_one", keys).drop("_one")
+    return ranked(d12.withColumn("_one", F.lit(1)), "_one", keys, checkpoint_input=False).drop("_one")
 
 
 def op_value_policy(spark: SparkSession, sf: str) -> DataFrame:
@@ -360,8 +360,8 @@ SELECT CASE WHEN length(label) > 40 THEN left(label, 39) || '…' ELSE label END
 FROM ({O.BODIES['kpi_Q1'].strip()})""",
     "op_sort_label_numeric": lambda: f"""
 SELECT label, CAST(row_number() OVER (
-         ORDER BY lower(regexp_extract(label, '^(\\D*)', 1)) NULLS FIRST,
-                  TRY_CAST(regexp_extract(label, '(\\d+)', 1) AS DECIMAL(38,0)) NULLS FIRST,
+         ORDER BY regexp_replace(regexp_replace(lower(label), '(\\d+)', repeat('0', 64) || '\\1', 'g'),
+                                 '\\d*(\\d{{64}})', '\\1', 'g') NULLS FIRST,
                   lower(label) NULLS FIRST, label NULLS FIRST) AS BIGINT) AS row_rank
 FROM ({O.BODIES['kpi_D12'].strip()})""",
     "op_snapshot_ranked": lambda: f"""
