@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from opskpi.functions import dates as S
 from opskpi.functions.clock import AsOf, days_between
 from opskpi.functions.numbers import qty_day_diff, try_decimal
-from opskpi.functions.text import fold, key_eq, label, left, none_like, text_eq, text_ne, text_not_in, text_not_like
+from opskpi.functions.text import fold, key_eq, label, left, none_like, text_eq, text_like, text_ne, text_not_in, text_not_like
 from opskpi.operators.classify import first_nonzero_class
 from opskpi.operators.relational import repeat_by_matches
+from opskpi.operators.skew import product_join
 from opskpi.plans.metric import chart, ruled
 from opskpi.plans.rules import Lookup, Rule
 from opskpi.sources.tables import Tables
@@ -84,7 +85,7 @@ def i10(t: Tables, clock: AsOf) -> DataFrame:
 # --------------------------------------------------------------------------
 def lots_with_last_transfer(t: Tables, location_pattern: str) -> DataFrame:
     """Lots in matching locations with their latest transfer date (NULL if none)."""
-    grn = t["AllLiveGRN"].where(F.rtrim(C("GRNLocation")).ilike(location_pattern))
+    grn = t["AllLiveGRN"].where(text_like(C("GRNLocation"), location_pattern))
     tr = (t["AllGRN_Transfer"].groupBy("TransferGRNNo", "TranferGRNLineNo")
           .agg(F.max("TransferDate").alias("LastTransfer")))
     j = grn.join(tr, (grn["GRNNo"] == tr["TransferGRNNo"]) & (grn["GRNLineNo"] == tr["TranferGRNLineNo"]),
@@ -160,10 +161,12 @@ def i9(t: Tables, clock: AsOf) -> DataFrame:
 def i11(t: Tables, clock: AsOf) -> DataFrame:
     wo = t["worksOrder"].where(text_ne(C("WOStatusDescription"), "Completed"))
     wo = repeat_by_matches(wo, t["AllItems"], "WOPartNo", "PartNo")
+    wo = wo.select("WONo", "WOSalesOrder", "WOLineNo", "WOPartNo", "WOSchedFinishDate")
     so = (t["AllSO"].where(qty_day_diff(C("SOLineShipQty"), C("SOLineQty")) > 0)
           .select("SONo", "SOLineNo", "SOLinePromisedDate"))
-    j = wo.join(so, (wo["WOLineNo"] == so["SOLineNo"]) & (wo["WOSalesOrder"] == so["SONo"]), "inner")
-    j = j.where(days_between(C("SOLinePromisedDate"), C("WOSchedFinishDate")) > 0)
+    # the source defines this join as a product per (sales order, line)
+    j = product_join(wo, so, [("WOLineNo", "SOLineNo"), ("WOSalesOrder", "SONo")],
+                     where=days_between(C("SOLinePromisedDate"), C("WOSchedFinishDate")) > 0)
     return j.select(
         label(C("WONo"), " <", C("WOSalesOrder"), "/", C("WOLineNo"), "> ", C("WOPartNo")).alias("label"),
         days_between(C("SOLinePromisedDate"), C("WOSchedFinishDate")).alias("value"))
