@@ -120,7 +120,7 @@ def queried_pos(t: Tables, clock: AsOf, raised_after: date, numeric_fallback: bo
 
 
 @chart("D2", "Purchase Orders In Query", XY + ("target_start", "target"), (("value", "desc"),), PAGE,
-       x_label="Days in Query", formatter="integer")
+       x_label="Days in Query", formatter="integer", window_on=("PV658", "DateRaised"))
 def d2(t: Tables, clock: AsOf, raised_after: date = S.QUERY_RAISED_CUTOFF) -> DataFrame:
     rows = queried_pos(t, clock, raised_after, numeric_fallback=False)
     # two nested GROUP BYs without aggregates == DISTINCT over the outer keys

@@ -474,6 +474,40 @@ BODIES["kpi_S1_days_since_accident"] = f"""
 SELECT 'Days Since Last Accident' AS label, {age('MAX("Date")')} AS value FROM Accident
 """
 
+# ---------------------------------------------------------------- charts of a log in a reporting window
+BODIES["kpi_S1_window"] = f"""
+SELECT concat(' ', strftime("Date", '%y/%m'), ' ') AS label, COUNT(Accident_Description) AS value
+FROM Accident
+WHERE "Date" > {TS} - INTERVAL 365 DAY AND CAST("Date" AS DATE) BETWEEN DATE '1999-10-15' AND DATE '2000-01-31'
+GROUP BY strftime("Date", '%y/%m')
+"""
+
+BODIES["kpi_Q9_window"] = f"""
+SELECT concat(g.GRNNo, '/', g.GRNLineNo, ' (X', g.GRNQtyLeft, ') ', g.GRNPartNo) AS label,
+       {age('MAX(tr.TransferDate)')} AS value
+FROM AllLiveGRN g
+JOIN AllGRN_Transfer tr ON g.GRNLineNo = tr.TranferGRNLineNo AND g.GRNNo = tr.TransferGRNNo
+WHERE {ci('g.GRNLocation')} = 'quarantine' AND {ci('tr.TransferLocation')} = 'quarantine'
+  AND tr.TransferDate BETWEEN DATE '1997-03-01' AND DATE '1998-02-28'
+GROUP BY g.GRNNo, g.GRNLineNo, g.GRNQtyLeft, g.GRNPartNo
+"""
+
+BODIES["kpi_D2_window"] = f"""
+WITH s AS ({_D2_CORE} AND q.DateRaised BETWEEN DATE '1999-09-01' AND DATE '1999-12-31')
+SELECT concat(PO, '/', PO_Line, ' # ', Buyer, ' # ', POSuppAddressName) AS label, DaysInQuery AS value,
+       CAST(0 AS BIGINT) AS target_start, CAST(5 AS BIGINT) AS target
+FROM s GROUP BY PO, PO_Line, Buyer, POSuppAddressName, DaysInQuery
+"""
+
+BODIES["table_I3_window"] = f"""
+SELECT left(concat(strftime(si.IssueDate, '%d/%m/%Y'), ' - ', si.IssueQty, ' x ', si.IssuePartNo, ' : ',
+                   i.PartDescription), 50) AS Details,
+       si.IssueNotes AS IssueNotes, concat('£', ROUND(si.IssueUnitCost * si.IssueQty, 2)) AS Value
+FROM StockIssue si LEFT JOIN AllItems i ON si.IssuePartNo = i.PartNo
+WHERE si.IssueUnitCost * si.IssueQty > 100 AND si.IssueDate > {TS} - INTERVAL 4 DAY
+  AND {ci('si.IssueType')} = 'write_off' AND CAST(si.IssueDate AS DATE) BETWEEN DATE '2000-06-28' AND {D0}
+"""
+
 # ---------------------------------------------------------------- productivity
 _NOT_READY = "('to be reviewed', 'in dev', 'engineering hold', 'npi', 'caution', 'dormant')"
 

@@ -118,7 +118,7 @@ ruled(calibration_due(lambda g: g.isNull()), "Q8b", "Tooling Checks Due in Next
 
 
 @chart("Q9", "Stock in QUARANTINE", XY, (("value", "desc"),), PAGE,
-       x_label="Days in Quarantine", formatter="integer",
+       x_label="Days in Quarantine", formatter="integer", window_on=("AllGRN_Transfer", "TransferDate"),
        note="latest transfer *into* quarantine; the left join is inner by its WHERE clause")
 def q9(t: Tables, clock: AsOf) -> DataFrame:
     grn = t["AllLiveGRN"].where(text_eq(C("GRNLocation"), "QUARANTINE"))

@@ -30,6 +30,11 @@ BRANCHES: dict[str, dict[str, dict[str, str]]] = {
     "kpi_Q2_grn": {"REWORK": {"location": "REWORK"}},
     "kpi_Q7": {"Corrective": {"type": "Corrective"}, "prevent": {"type": "prevent"}},
     "kpi_P12": {"AUTOMOBILE": {"area": "AUTOMOBILE"}},
+    # reporting windows of the logs
+    "kpi_S1": {"window": {"start": "1999-10-15", "end": "2000-01-31"}},
+    "kpi_Q9": {"window": {"start": "1997-03-01", "end": "1998-02-28"}},
+    "kpi_D2": {"window": {"start": "1999-09-01", "end": "1999-12-31"}},
+    "table_I3": {"window": {"start": "2000-06-28"}},   # to the as-of day
 }
 
 
@@ -37,7 +42,7 @@ def _runner(metric: Metric, args: dict[str, str] | None = None) -> Callable[[Spa
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         params = dict(DRIVER_PARAMS)
         if args:
-            params.update(metric.from_args(args))
+            params.update(metric.from_args(args, AS_OF))
         return metric.frame(driver_tables(spark, sf_dir), AS_OF, **params)
     return run
 

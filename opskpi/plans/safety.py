@@ -15,7 +15,7 @@ C = F.col
 
 
 @chart("S1", "Accidents Per Month (Last 12 Months)", ("label", "value"), (("_month", "asc"),), PAGE,
-       x_label="Year / Month", formatter="integer",
+       x_label="Year / Month", formatter="integer", window_on=("Accident", "Date"),
        meta={"orientation": "vertical", "valueKey": "y", "labelKey": "x", "yLabel": "Number of Accidents"},
        note="vertical chart: the month is the label, the count (non-NULL descriptions) the value")
 def s1(t: Tables, clock: AsOf) -> DataFrame:

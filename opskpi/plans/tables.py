@@ -22,7 +22,7 @@ REVIEWS_HEADERS = {"What": "What", "When": "When", "Who": "Who"}
 
 
 @table("I3", "Stock Write Offs", ("Details", "IssueNotes", "Value"), (("_issued", "desc"),), page="inventory",
-       headers=ISSUES_HEADERS)
+       headers=ISSUES_HEADERS, window_on=("StockIssue", "IssueDate"))
 def i3(t: Tables, clock: AsOf) -> DataFrame:
     si = t["StockIssue"].where((C("IssueUnitCost") * C("IssueQty") > 100) & (C("IssueDate") > clock.now_plus(-4))
                                & text_eq(C("IssueType"), "WRITE_OFF"))
