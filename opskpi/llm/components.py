@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a grouped minimum (pre-aggregated before its shuffle) and an
-equi-join, so a hub vertex is never gathered into one task; edges are staged
-after each round and nothing but two checksums reaches the driver.
+Every step is a grouped minimum (pre-aggregated before its shuffle) and a join
+to it that leaves the edges of hubs where they are (``hot.py``), so a hub
+vertex is never gathered into one task; edges are staged after each round and
+nothing but two checksums reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opskpi.llm.hot import hot_join
 from opskpi.llm.staging import Staging
 
 C = F.col
@@ -33,8 +35,9 @@ def connected_components(edges: DataFrame, staging: Staging, rounds: int = 60) -
         return e.select(C("a").alias("node"), C("b").alias("comp"))
     for _ in range(rounds):
         both = e.select(C("a").alias("u"), C("b").alias("v")).union(e.select("b", "a"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.where("v > u").join(low, "u").select(C("v").alias("a"), C("m").alias("b"))
+        low = (both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+               .select("u", F.least("u", "m").alias("m"), "n"))
+        large = (hot_join(both.where("v > u"), low, "u", 2 * seen[0]).select(C("v").alias("a"), C("m").alias("b"))
                  .where("a <> b").distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(least, "a").where("b <> m").select(C("b").alias("a"), C("m").alias("b"))

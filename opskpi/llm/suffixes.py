@@ -22,14 +22,15 @@ a range of left offsets is what a bucket refines:
 
 A range found twice stays on, once, as the witness of shorter matches in its
 bucket.  Buckets are counted, never gathered: a grouped count with map-side combining
-and an equi-join give each sample its verdict, so a passage that a third of
-the corpus shares costs no more per row than a rare one.  The 64-gram buckets
+and a join give each sample its verdict; rows of hot buckets are not shuffled
+for it (``hot.py``), so a passage that a third of the corpus shares costs no
+more per row than a rare one.  The 64-gram buckets
 use 64-bit identifiers (a collision only costs a further look); verdicts use
 128-bit identifiers.
 
 Defined cases: null text is empty text; texts shorter than ``length`` keep
 everything; rows with equal ``doc_id`` and text are occurrences like any
-others (each is found in the other); a null ``doc_id`` is an id of its own;
+others (each is found in the other), whose equal ranges are listed once; a null ``doc_id`` is an id of its own;
 an empty table gives no rows; further columns are ignored, or handed through
 in ``row`` when asked for.
 """
@@ -42,6 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opskpi.llm.hot import hot_join
 from opskpi.llm.local import mix64, prefix_hash, text_chunks
 from opskpi.llm.staging import Staging
 
@@ -212,8 +214,14 @@ def _identifiers(ranges: DataFrame, width: int, length: int) -> DataFrame:
 
 
 def _buckets_of_two(rows: DataFrame, key: str) -> DataFrame:
-    return (rows.where(C(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-            .where("_n > 1").select(key))
+    """Keys of two rows or more, with their number."""
+    return rows.where(C(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def _judged(rows: DataFrame, of: DataFrame, key: str, total: int) -> DataFrame:
+    """Rows with a key, and whether the key is there twice in ``of`` (``total`` rows)."""
+    twice = _buckets_of_two(of, key).withColumn("twice", F.lit(True))
+    return hot_join(rows.where(C(key).isNotNull()), twice, key, total, "left")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -223,10 +231,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         raise ValueError("length - gram must stay below 343")
     staging = Staging(docs.sparkSession, "suffixes")
     every = staging.put(_sample_table(docs, length, gram), "samples")
-    shared = staging.put(every.join(_buckets_of_two(every, "gram"), "gram", "left_semi"), "shared")
+    shared = staging.put(hot_join(every, _buckets_of_two(every, "gram"), "gram", every.count(), "left_semi"), "shared")
     staging.drop(every)
-    twice = _buckets_of_two(shared, "context").withColumn("twice", F.lit(True))
-    judged = shared.where("context is not null").join(twice, "context", "left")
+    judged = _judged(shared, shared, "context", shared.count())
     found = [judged.where("twice").select("doc_id", "th", (C("p") - reach).alias("a"), (C("p") + length).alias("b"))]
     cols = ["doc_id", "th", "p", "lmin", "lmax", "gram"]
     open_ = judged.where("twice is null").select(cols).union(shared.where("context is null").select(cols))
@@ -239,9 +246,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     todo = samples.withColumn("los", F.array(F.lit(0)))
     for width in (FAN * FAN, FAN, 1):
         ids = staging.put(_identifiers(todo, width, length), f"ids{width}")
-        twice = _buckets_of_two(ids, "whole").withColumn("twice", F.lit(True))
-        alive = ids.join(_buckets_of_two(ids, "core"), "core", "left_semi")
-        verdict = staging.put(alive.where("whole is not null").join(twice, "whole", "left")
+        total = ids.count()
+        alive = hot_join(ids, _buckets_of_two(ids, "core"), "core", total, "left_semi")
+        verdict = staging.put(_judged(alive, ids, "whole", total)
                               .select("uid", "lo", "core", "whole", F.coalesce("twice", F.lit(False)).alias("twice"))
                               .union(alive.where("whole is null").select("uid", "lo", "core", "whole", F.lit(False))),
                               f"verdict{width}")
@@ -269,7 +276,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     keyed = docs.select(C("doc_id").cast("long").alias("doc_id"), C("text").cast("string").alias("text"), row.alias("row")) \
                 .withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     ranges = (repeated_ranges(keyed.select("doc_id", "th", "text"), length, gram)
-              .groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
+              .groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("ranges")))
     both = keyed.alias("d").join(
         ranges.alias("r"), C("d.doc_id").eqNullSafe(C("r.doc_id")) & (C("d.th") == C("r.th")), "left")
 
