@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from opskpi.functions import dates as S
 from opskpi.functions.clock import AsOf
 from opskpi.functions.text import fold, label, left, text_eq, text_ne
+from opskpi.operators.relational import semi_filter
 from opskpi.plans.metric import chart, ruled
 from opskpi.plans.rules import Lookup, Rule
 from opskpi.sources.tables import Tables
@@ -228,16 +229,23 @@ ruled(Rule("AllLivePO",
 
 
 # --------------------------------------------------------------------------
-def excess_columns(df: DataFrame) -> DataFrame:
-    """Excess on-order quantity and its value at the part's highest PO price.
+def excess_parts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Parts without a minimum stock that have an excess on order (``ExcessQty``), and the PO lines of those parts.
+
+    The quantity reads part columns only, so lines of other parts, which cannot
+    reach the result, go before anything is grouped.
 
     qty   = on-order if on-order < (active + on-order - SO demand - WO demand)
             else that balance (NULL comparison -> the balance)
-    value = max price * qty / purchase-unit conversion (zero divisor -> NULL)
     """
     balance = C("PartStockActive") + C("PartStockOnOrderPO") - C("DemandSO") - C("DemandWO")
     qty = F.when(C("PartStockOnOrderPO") < balance, C("PartStockOnOrderPO")).otherwise(balance)
-    df = df.withColumn("ExcessQty", qty)
+    items = t["AllItems"].where(C("PartMinStockLev") == 0).withColumn("ExcessQty", qty).where(C("ExcessQty") > 0)
+    return items, semi_filter(t["AllLivePO"], items, [("PODetPart", "PartNo")], folded=True)
+
+
+def excess_cost(df: DataFrame) -> DataFrame:
+    """The excess at the part's highest PO price: max price * qty / purchase-unit conversion (zero divisor -> NULL)."""
     return df.withColumn(
         "ExcessCost",
         C("MaxOfPODetUnitPrice").cast("double")
@@ -247,7 +255,7 @@ def excess_columns(df: DataFrame) -> DataFrame:
 @chart("D8", "Excess PO Qty (Top 20 by Excess Value > £20)", XY, (("value", "desc"),), PAGE,
        limit=20, x_label="Excess PO Qty Value £", formatter="integer")
 def d8(t: Tables, clock: AsOf) -> DataFrame:
-    po = t["AllLivePO"]
+    items, po = excess_parts(t)
     badges = t["employees"].select(C("BadgeNo").alias("_badge")).distinct()
     flagged = po.join(badges, po["POBuyer"] == badges["_badge"], "left") \
         .withColumn("_has_buyer", C("_badge").isNotNull())
@@ -258,9 +266,8 @@ def d8(t: Tables, clock: AsOf) -> DataFrame:
                      F.min(F.when(C("_has_buyer"), C("PODetDatePromised"))).alias("MinPromised"),
                      F.max(C("_has_buyer").cast("int")).alias("_any_buyer"))
                 .where(C("_any_buyer") == 1))
-    items = t["AllItems"].where(C("PartMinStockLev") == 0)
-    j = excess_columns(per_part.join(items, per_part["_part"] == fold(items["PartNo"]), "inner"))
-    j = j.where((C("ExcessCost") > 20) & (C("ExcessQty") > 0)
+    j = excess_cost(per_part.join(items, per_part["_part"] == fold(items["PartNo"]), "inner"))
+    j = j.where((C("ExcessCost") > 20)
                 & S.sentinel_not_in(C("MinPromised"), S.D8_MIN_PROMISED_EXCLUDED))
     return (j.select("PODetPart", "ExcessCost", "ExcessQty").distinct()
             .select(C("PODetPart").alias("label"), C("ExcessCost").alias("value")))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from opskpi.functions import dates as S
 from opskpi.functions.clock import AsOf
 from opskpi.functions.text import fold, label, text_eq
-from opskpi.plans.deliverables import (DUE_SOON_TRACKED, demand_lines, excess_columns, pending_approval,
-                                       queried_pos)
+from opskpi.plans.deliverables import (DUE_SOON_TRACKED, demand_lines, excess_cost, excess_parts,
+                                       pending_approval, queried_pos)
 from opskpi.plans.inventory import expiring_lots
 from opskpi.plans.metric import table
 from opskpi.plans.tables import PARTS_HEADERS, parts_to_purchase
@@ -88,7 +88,7 @@ def i15(t: Tables, clock: AsOf) -> DataFrame:
          "PONum"), (("ExcessCost", "desc"),),
         note="grain adds buyer and PO; no top 20")
 def d8(t: Tables, clock: AsOf) -> DataFrame:
-    po = t["AllLivePO"]
+    items, po = excess_parts(t)
     emp = t["employees"].select("BadgeNo", "Name")
     # one pass over the PO lines: per (part, buyer, PO) the earliest promise and
     # the highest price; the part's highest price (over lines of any buyer,
@@ -99,10 +99,9 @@ def d8(t: Tables, clock: AsOf) -> DataFrame:
     top = grain.groupBy(C("_part").alias("_top_part")).agg(F.max("_price").alias("MaxOfPODetUnitPrice"))
     per = grain.join(emp, C("POBuyer") == emp["BadgeNo"], "inner").groupBy("_part", "Name", "PONum").agg(
         F.min("PODetPart").alias("PODetPart"), F.min("_promised").alias("MinPromised"))
-    items = t["AllItems"].where(C("PartMinStockLev") == 0)
     j = per.join(items, per["_part"] == fold(items["PartNo"]), "inner")
-    j = excess_columns(j.join(top, C("_part") == C("_top_part"), "inner"))
-    j = j.where((C("ExcessCost") > 20) & (C("ExcessQty") > 0)
+    j = excess_cost(j.join(top, C("_part") == C("_top_part"), "inner"))
+    j = j.where((C("ExcessCost") > 20)
                 & S.sentinel_not_in(C("MinPromised"), S.D8_MIN_PROMISED_EXCLUDED))
     return j.select("PODetPart", "Name", "ExcessCost", "ExcessQty", "PartStockActive", "DemandWO", "DemandSO",
                     "PartUOMUOPConv", "PONum").distinct()
