@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,23 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long"), Staging(spark, "t")).count() == 0
 
 
+def test_shuffles_of_a_staged_table_go(spark):
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f}
+
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, own = held(), spark.conf.get(conf)
+    df = spark.range(3000).repartition(3, F.col("id") % 7).groupBy((F.col("id") % 5).alias("k")).count()
+    table = Staging(spark, "t").put(df)
+    for _ in range(100):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and spark.conf.get(conf) == own
+    assert {(r["k"], r["count"]) for r in table.collect()} == {(k, 600) for k in range(5)}
+
+
 def test_scratch_tables_go(spark):
     kept = Staging(spark, "kept")
     with scratch(spark):
