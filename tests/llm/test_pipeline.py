@@ -52,6 +52,15 @@ def test_each_stage_on_its_own_input(spark, rows):
     assert {r["doc_id"] for r in packed} == {i for i, _ in fourth}
 
 
+def test_few_rejected_texts_shuffle_no_document(spark, rows):
+    docs = frame(spark, [*rows, (-9, "12345 67890")], clash=False)
+    out = dict(cp.STAGES)["language_id"](spark, docs, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # the anti-join alone, against a table whose size is known when it is planned
+    assert plan.count("Join") == 1 and "BroadcastHashJoin" in plan and "Aggregate" not in plan
+    assert -9 not in {r["doc_id"] for r in out.collect()}
+
+
 def test_extra_columns_with_clashing_names(spark):
     names = ("_th", "_id", "th", "id", "k", "r", "d", "kept", "rejected", "ids", "row", "n")
     text = awkward()[0][1]
