@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 
@@ -8,7 +9,9 @@ from opskpi.operators.payload import to_kpi_rows
 from opskpi.plans.metric import all_metrics
 from opskpi.plans.queries import AS_OF, DRIVER_PARAMS
 from opskpi.plans.rules import SORT_KEY_COLUMNS, shared_rows, sharing, sort_keys
+from opskpi.plans.snapshot import kpi_union
 from opskpi.sources.driver import driver_tables
+from opskpi.staging import Staging
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +62,37 @@ def test_an_unmatched_and_a_repeated_partner(make_tables, clock):
     got = sorted((r["metric_id"], r["label"].split(" ")[0]) for r in shared_rows(t, clock, {}, group).collect())
     alone = sorted((m.id, r["label"].split(" ")[0]) for m in group for r in m.frame(t, clock).collect())
     assert got == alone == [("P1", "1"), ("P1", "1"), ("P1", "3"), ("P1", "3"), ("P2", "1"), ("P2", "3")]
+
+
+def _held(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if "/shuffle_" in f}
+
+
+def _passes(monkeypatch, spark):
+    """Shuffle files that are left when each pass has been written."""
+    before, left, put = _held(spark), [], Staging.put
+
+    def counted(self, df, label="t"):
+        out = put(self, df, label)
+        for _ in range(100):
+            if _held(spark) <= before:
+                break
+            time.sleep(0.1)
+        left.append(len(_held(spark) - before))
+        return out
+
+    monkeypatch.setattr(Staging, "put", counted)
+    return left
+
+
+def test_the_union_keeps_shuffles_of_one_pass_at_a_time(spark, monkeypatch):
+    from opskpi.plans.operator_queries import op_snapshot_union
+    left = _passes(monkeypatch, spark)
+    out = op_snapshot_union(spark, SF)
+    charts = [m for m in all_metrics().values() if m.kind == "chart"]
+    assert left == [0] * (len(charts) - sum(len(g) - 1 for g in groups()))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    plain = kpi_union(driver_tables(spark, SF), AS_OF, DRIVER_PARAMS).select(out.columns)
+    assert out.schema == plain.schema
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
