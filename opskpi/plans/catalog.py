@@ -130,6 +130,10 @@ def department_kpi_rows(t, clock, params=None, department: str | None = None) ->
     """KPI rows of one department's dashboard, planning only its metrics
     (same rows as ``scope_to_department(kpi_union(...))``)."""
     from opskpi.plans.snapshot import kpi_union
+    return kpi_union(t, clock, params, metrics=department_charts(department))
+
+
+def department_charts(department: str | None = None) -> list:
+    """The chart metrics of a department's dashboard."""
     visible = set(visible_query_ids(department))
-    charts = [m for m in all_metrics().values() if m.kind == "chart" and m.id in visible]
-    return kpi_union(t, clock, params, metrics=charts)
+    return [m for m in all_metrics().values() if m.kind == "chart" and m.id in visible]

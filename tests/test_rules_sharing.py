@@ -96,3 +96,15 @@ def test_the_union_keeps_shuffles_of_one_pass_at_a_time(spark, monkeypatch):
     plain = kpi_union(driver_tables(spark, SF), AS_OF, DRIVER_PARAMS).select(out.columns)
     assert out.schema == plain.schema
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+def test_the_department_keeps_shuffles_of_one_pass_at_a_time(spark, monkeypatch):
+    from opskpi.plans.catalog import department_charts, department_kpi_rows
+    from opskpi.plans.operator_queries import op_department_scope
+    left = _passes(monkeypatch, spark)
+    out = op_department_scope(spark, SF)
+    charts = sorted(department_charts("purchasing"), key=lambda m: m.id)
+    assert left == [0] * (len(charts) - sum(len(g) - 1 for g in sharing(charts)))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = department_kpi_rows(driver_tables(spark, SF), AS_OF, DRIVER_PARAMS, "purchasing")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.groupBy("metric_id").count().collect()))
