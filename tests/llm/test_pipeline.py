@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import os
+
 import corpus_pipeline as cp
 import pytest
 from opskpi.llm.queries import llm_queries
+from opskpi.llm.staging import Staging
 
 from tests.conftest import SF_SMALL
 from tests.llm import test_lines, test_setjoin, test_suffixes
@@ -80,6 +83,19 @@ def test_twins_leave_one(spark):
     assert [r["doc_id"] for r in got] == [4]
 
 
+def test_line_dedup_verifies_without_the_texts_of_all_lines(spark, rows, monkeypatch):
+    held, put = {}, Staging.put
+
+    def seen(self, df, label="t"):
+        held[label] = {p.split("-")[-1] for p in (os.listdir(self.root) if os.path.isdir(self.root) else [])}
+        return put(self, df, label)
+
+    monkeypatch.setattr(Staging, "put", seen)
+    cp.line_dedup(spark, frame(spark, rows, clash=False), "").count()
+    assert "forms" in held["members"]                                # lines that met others, each with its sketch, once
+    assert "members" in held["links"] and not held["links"] & {"forms", "keys"}
+
+
 def test_empty_table_through_all_stages(spark):
     docs = frame(spark, [], clash=False)
     for _, stage in cp.STAGES:
